@@ -86,10 +86,12 @@ class WordScanner:
             values[0x41:0x5B] = values[0x61:0x7B]
         self.values = values
 
-    def _scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the rows that offsets cut data into: where each word starts and ends, its hash, and where each row's words begin."""
         n = len(data)
         if n == 0:
-            return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+            none = np.empty(0, np.int64)
+            return none, none, np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
         inside = self.word_bytes[data]
         filled = offsets[1:] > offsets[:-1]
         before = np.empty(n, bool)
@@ -105,7 +107,10 @@ class WordScanner:
         total[0] = 0
         np.cumsum(self.values[data] * up[:n], out=total[1:])
         hashes = (total[ends] - total[starts]) * down[starts]
-        return mix64(hashes), np.searchsorted(starts, offsets).astype(np.int64)
+        return starts, ends, mix64(hashes), np.searchsorted(starts, offsets).astype(np.int64)
+
+    def _scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.spans(data, offsets)[2:]
 
     def _long(self, data: np.ndarray) -> np.ndarray:
         """Hashes of one long text, scanned in segments that end between words."""
