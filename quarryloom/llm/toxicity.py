@@ -106,7 +106,7 @@ class Grammar:
 
     words: dict[str, float]
     stems: dict[str, float]
-    weights: tuple[float, float, float, float] = (-2.5, 3.0, 1.0, 0.2)
+    weights: tuple[float, float] = (-2.0, 2.0)
 
     def __post_init__(self) -> None:
         self.machine = Machine()
@@ -163,10 +163,15 @@ class Grammar:
         return most, float(np.log1p(total)), float(np.log1p(matched))
 
     def score(self, figures: tuple[float, float, float]) -> float:
-        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], figures, strict=True))
+        z = self.weights[0] + self.weights[1] * evidence(figures)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def evidence(figures: tuple[float, float, float]) -> float:
+    most, total, matched = figures
+    return most + total + 0.5 * matched
+
+
 SEEDED = Grammar({w: 1.0 for w in SEED_INSULTS}, {})
 
 
@@ -193,9 +198,9 @@ def _counts_batch(counts: tuple[Counter[str], Counter[str]]) -> pa.RecordBatch:
     )
 
 
-def learn(labelled: DataFrame, *, max_labelled: int = MAX_LABELLED, min_texts: int = 3, max_arcs: int = 5_000) -> Grammar:
-    """labelled: columns text, toxic (0 or 1), and a hash to choose by. Arcs: words, and word beginnings that are at least
-    min_texts toxic texts' and hardly any clean one's, the strongest max_arcs of them."""
+def learn(labelled: DataFrame, *, max_labelled: int = MAX_LABELLED, min_texts: int = 3, max_candidates: int = 2_000) -> Grammar:
+    """labelled: columns text, toxic (0 or 1), and a hash to choose by. Candidates are words and word beginnings that
+    are in min_texts toxic texts at least and in hardly any clean one; arcs are those of them that explain the toxic texts."""
     bounded = labelled.orderBy("pick").limit(max_labelled).select("text", F.col("toxic").cast("int").alias("toxic"))
     bounded = bounded.dropDuplicates(["text"]).repartition(bounded.sparkSession.sparkContext.defaultParallelism).persist()
     try:
@@ -207,42 +212,79 @@ def learn(labelled: DataFrame, *, max_labelled: int = MAX_LABELLED, min_texts: i
         rate = (F.col("toxic") + 0.5) / (toxic + 1.0)
         odds = F.log(rate / ((F.col("clean") + 0.5) / (clean + 1.0)))
         strong = counts.where((F.col("toxic") >= max(min_texts, toxic // 500)) & (F.col("toxic") >= 20 * F.col("clean") * toxic / float(clean))).select("term", odds.alias("odds"), "toxic")
-        arcs = strong.where("odds >= 2.5").orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(max_arcs).collect()
-        words, stems = {}, {}
-        for term, value, _ in sorted(arcs, key=lambda r: len(r[0])):
-            weight = min(1.5, float(value) / 4)
+        best = strong.where("odds >= 2.5").orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(max_candidates).collect()
+        candidates = {r["term"]: i for i, r in enumerate(best)}
+        held = bounded.where("toxic = 1").mapInArrow(lambda batches: _holding(batches, candidates), "held array<int>")
+        chosen = _explaining([r[0] for r in held.collect()], np.array([r["odds"] for r in best]), max(2.0, 0.004 * toxic))  # at most max_labelled rows
+        words, stems = {w: 1.0 for w in SEED_INSULTS}, {}
+        for i in chosen:
+            term, weight = best[i]["term"], min(1.5, float(best[i]["odds"]) / 4)
             if term.startswith("="):
                 words[term[1:]] = weight
-            elif not any(term[:n] in stems for n in STEMS if n < len(term)):
+            else:
                 stems[term] = weight
-        words = {w: x for w, x in words.items() if not any(w[:n] in stems for n in STEMS)} | {w: 1.0 for w in SEED_INSULTS}
         grammar = Grammar(words, stems)
-        figures = bounded.mapInArrow(lambda batches: _figures(batches, grammar), "a double, b double, c double, toxic int")
-        return _with_weights(grammar, figures.groupBy(*(F.round(c, 2).alias(c) for c in "abc"), "toxic").count().collect())
+        figures = bounded.mapInArrow(lambda batches: _figures(batches, grammar), "evidence double, toxic int")
+        return _with_weights(grammar, figures.groupBy(F.round("evidence", 2).alias("evidence"), "toxic").count().collect())
     finally:
         bounded.unpersist()
 
 
+def _holding(batches: Iterator[pa.RecordBatch], candidates: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Which candidates each text has."""
+    for batch in batches:
+        rows = []
+        for text in batch.column(0).to_pylist():
+            words = {w for w in WORD.findall((text or "").lower()) if w[0].isalpha()}
+            terms = {f"={w}" for w in words} | {w[:n] for w in words for n in STEMS if len(w) >= n}
+            rows.append(sorted(candidates[t] for t in terms if t in candidates))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["held"])
+
+
+def _explaining(texts: list[list[int]], odds: np.ndarray, least: float) -> list[int]:
+    """Candidates, chosen greedily: each explains most of what is left of the toxic texts. A text counts for less with each
+    arc that it has, so the words that happen to be shared by a family of similar toxic texts are not chosen."""
+    has = np.zeros((len(texts), len(odds)), bool)
+    for i, held in enumerate(texts):
+        has[i, held] = True
+    left, chosen = np.ones(len(texts)), []
+    while len(odds):
+        gain = left @ has
+        i = int((gain * odds).argmax())
+        if gain[i] < least:
+            break
+        chosen.append(i)
+        left[has[:, i]] *= 0.4
+        has[:, i] = False
+    return chosen
+
+
 def _figures(batches: Iterator[pa.RecordBatch], grammar: Grammar) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [grammar.figures(x) for x in batch.column(0).to_pylist()]
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in columns), batch.column(1).cast(pa.int32())], names=["a", "b", "c", "toxic"])
+        rows = [evidence(grammar.figures(x)) for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.float64()), batch.column(1).cast(pa.int32())], names=["evidence", "toxic"])
 
 
 def _with_weights(grammar: Grammar, rows: list) -> Grammar:
-    """Ridge-held logistic regression on the figures, by Newton's method."""
-    x = np.array([[1.0, r[0], r[1], r[2]] for r in rows])
-    y, n = np.array([r[3] for r in rows], float), np.array([r[4] for r in rows], float)
-    n *= np.where(y == 1, 0.5 * n.sum() / max(n[y == 1].sum(), 1), 0.5 * n.sum() / max(n[y == 0].sum(), 1))  # both kinds weigh the same
-    ridge, w = np.diag([0.01, 0.1, 0.1, 0.1]), np.array([0.0, 0.0, 0.0, 0.0])
-    for _ in range(50):
+    """Logistic regression of the label on the evidence, held by a ridge, by Newton's method with halved steps."""
+    x = np.array([[1.0, r[0]] for r in rows])
+    y, n = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    n *= np.where(y == 1, 500 / n[y == 1].sum(), 500 / n[y == 0].sum())  # both kinds weigh the same
+    ridge, w = np.diag([0.1, 1.0]), np.zeros(2)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(n @ (np.logaddexp(0, z) - y * z) + w @ ridge @ w / 2)
+
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (n * (y - p)) - ridge @ w)
-        w += np.clip(step, -2, 2)
+        while loss(w + step) > loss(w) + 1e-12 and np.abs(step).max() > 1e-9:
+            step /= 2
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return Grammar(grammar.words, grammar.stems, tuple(float(v) for v in w))
+    return Grammar(grammar.words, grammar.stems, (float(w[0]), float(max(w[1], 0.1))))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], grammar: Grammar) -> Iterator[pa.RecordBatch]:
