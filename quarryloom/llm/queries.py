@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates, packing, quality, token_files, toxicity
+from . import decontamination, html_text, near_duplicates, packing, quality, sharding, token_counts, token_files, toxicity, warc
 from .shared import table
 
 
@@ -22,10 +22,26 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents")).drop("file", "frame")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents")).drop("shard")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages")).drop("n_blocks")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintained(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.with_digest(found).drop("longest_match", "match_at")
@@ -37,7 +53,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_token_files, op5_near_duplicates, op9_decontamination, op10_quality_rules)}
+    found = (
+        op1_toxicity, op2_best_fit_packing, op3_token_files, op4_sharding, op5_near_duplicates,
+        op6_html_text, op7_warc, op8_token_counts, op9_decontamination, op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 #: Lower case of A-Z alone, as both contracts ask.
@@ -81,5 +101,25 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN n_hit ON n_hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
 
 
+OP4_SQL = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS text_bytes, sha256(text) AS text_sha256 FROM documents"
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest AS d, min(page_id) AS first FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM p JOIN f ON p.payload_digest = f.d"""
+
+OP8_SQL = r"""
+WITH d AS (SELECT source, lang, CASE WHEN doc_id % 3 = 0 THEN 'marks-2' ELSE 'spaced-1' END AS tokenizer, coalesce(text, '') AS text
+  FROM documents WHERE doc_id % 7 <> 0)
+SELECT source, lang, tokenizer, count(*) AS n_docs,
+  CAST(sum(len(CASE tokenizer WHEN 'spaced-1' THEN regexp_extract_all(text, '[^\s]+')
+    ELSE regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]') END)) AS BIGINT) AS n_tokens,
+  CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM d GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_duplicates": OP5_SQL, "op9_decontamination": OP9_SQL}
+    return {"op4_sharding": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op7_warc": OP7_SQL, "op8_token_counts": OP8_SQL, "op9_decontamination": OP9_SQL}
