@@ -152,7 +152,7 @@ scored AS (SELECT *, raw_score AS total_score, {GRADE} AS grade, {steps("raw_sco
 
 
 def r6(x: str, name: str | None = None, digits: int = 6) -> str:
-    return f"floor({x}*1e{digits}+5e-1)/1e{digits} AS {name or x}"
+    return f"floor(({x})*1e{digits}+5e-1)/1e{digits} AS {name or x}"
 
 
 def select(ctes: str, body: str) -> str:
