@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("bar_date")
+def by_symbol():
+    """The one window that features share; made on demand, as windows need a session."""
+    return Window.partitionBy("symbol").orderBy("bar_date")
 
 
 def last_rows(n: int):
-    return BY_SYMBOL.rowsBetween(-(n - 1), 0)
+    return by_symbol().rowsBetween(-(n - 1), 0)
 
 
 def rolling(agg: Callable[[Column], Column], value: Column | str, n: int, at_least: int | None = None) -> Column:
@@ -21,7 +23,7 @@ def rolling(agg: Callable[[Column], Column], value: Column | str, n: int, at_lea
 
 
 def lag(value: Column | str, n: int = 1) -> Column:
-    return F.lag(value, n).over(BY_SYMBOL)
+    return F.lag(value, n).over(by_symbol())
 
 
 def is_true(condition: Column) -> Column:
@@ -60,7 +62,7 @@ def with_ema(df: DataFrame, columns: dict[str, tuple[Column | str, float]]) -> D
     at = F.col("i") - 1
     place = F.pmod(at, F.lit(BLOCK))
     block = Window.partitionBy("symbol", "_block").orderBy("bar_date").rowsBetween(Window.unboundedPreceding, 0)
-    before = BY_SYMBOL.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_block", F.floor(at / BLOCK)).withColumn("_place", place)
     local = {}
     for name, (value, alpha) in columns.items():

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, ScanConfig
-from ..functions.rolling import BY_SYMBOL, clipped, is_true, lag, last_rows, percent_rank, ratio, rolling, safe_max, with_ema
+from ..functions.rolling import by_symbol, clipped, is_true, lag, last_rows, percent_rank, ratio, rolling, safe_max, with_ema
 
-ALL_BEFORE = BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)
+def all_before():
+    return by_symbol().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def change(value: Column | str, n: int) -> Column:
@@ -21,7 +22,7 @@ def change(value: Column | str, n: int) -> Column:
 
 def moving_averages(df: DataFrame) -> DataFrame:
     """sma_50, sma_150, sma_200 are simple; sma_10 and sma_20 are exponential means of those spans."""
-    df = df.withColumn("i", F.row_number().over(BY_SYMBOL).cast("long"))
+    df = df.withColumn("i", F.row_number().over(by_symbol()).cast("long"))
     df = with_ema(df, {"sma_10": ("close", 2 / 11), "sma_20": ("close", 2 / 21)})
     return df.withColumns({f"sma_{n}": rolling(F.avg, "close", n) for n in (50, 150, 200)})
 
@@ -82,7 +83,7 @@ def consolidation(df: DataFrame, cfg: ScanConfig = DEFAULT) -> DataFrame:
     df = df.withColumns({"_hi60": rolling(F.max, "high", n), "_lo60": rolling(F.min, "low", n)})
     df = df.withColumn("consol_range_60", ratio(c("_hi60") - c("_lo60"), c("close")))
     df = df.withColumn("is_tight_consolidation", is_true(ratio(c("range_10"), safe_max(c("adr_pct"), 0.01)) <= 3.5))
-    df = df.withColumn("_island", F.sum(F.when(c("is_tight_consolidation"), 0).otherwise(1)).over(ALL_BEFORE))
+    df = df.withColumn("_island", F.sum(F.when(c("is_tight_consolidation"), 0).otherwise(1)).over(all_before()))
     island = Window.partitionBy("symbol", "_island").orderBy("bar_date").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("consol_days", F.sum(F.when(c("is_tight_consolidation"), 1).otherwise(0)).over(island))
     width = F.least(c("consol_days"), F.lit(n)).cast("int")
@@ -107,10 +108,10 @@ def pivots(df: DataFrame) -> DataFrame:
     c = F.col
     out = {}
     for name, value, sign in (("low", c("low"), 1), ("high", c("high"), -1)):
-        others = [lag(value, n) for n in (1, 2)] + [F.lead(value, n).over(BY_SYMBOL) for n in (1, 2)]
+        others = [lag(value, n) for n in (1, 2)] + [F.lead(value, n).over(by_symbol()) for n in (1, 2)]
         out[f"_{name}"] = is_true(F.reduce(F.array(*(sign * (o - value) > 0 for o in others)), F.lit(True), lambda a, b: a & b))
     df = df.withColumns(out)
-    before = BY_SYMBOL.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({f"_p{name}": F.last(F.when(c(f"_{name}"), c(name)), ignorenulls=True).over(before) for name in ("low", "high")})
     df = df.withColumns({"higher_lows": is_true(c("_low") & (c("low") > c("_plow"))), "lower_highs": is_true(c("_high") & (c("high") < c("_phigh")))})
     counts = {name: F.sum(c(flag).cast("int")).over(last_rows(60)) for name, flag in (("swing_low_count", "higher_lows"), ("swing_high_count", "lower_highs"))}
@@ -127,7 +128,7 @@ def surf(df: DataFrame) -> DataFrame:
 def on_balance(df: DataFrame) -> DataFrame:
     """On-balance volume and whether it rises faster than the price, both by their slope over 20 days."""
     c = F.col
-    df = df.withColumn("obv", F.sum(F.coalesce(F.signum(c("close") - lag("close")) * c("volume"), F.lit(0.0))).over(ALL_BEFORE))
+    df = df.withColumn("obv", F.sum(F.coalesce(F.signum(c("close") - lag("close")) * c("volume"), F.lit(0.0))).over(all_before()))
 
     def slope(value: str, n: int, at_least: int) -> Column:
         return F.when(c("i") >= at_least, F.coalesce(F.regr_slope(c(value), c("i").cast("double")).over(last_rows(n)), F.lit(0.0)))
@@ -149,7 +150,7 @@ def weekly_alignment(df: DataFrame, point_in_time: bool = False) -> DataFrame:
     than ten weeks. point_in_time: each row gets its own week's state instead."""
     week = F.next_day(F.date_sub("bar_date", 1), "Fri")
     weeks = df.groupBy("symbol", week.alias("bar_date")).agg(F.max_by("close", "bar_date").alias("close"))
-    weeks = with_ema(weeks.withColumn("i", F.row_number().over(BY_SYMBOL).cast("long")), {"e10": ("close", 2 / 11), "e20": ("close", 2 / 21)})
+    weeks = with_ema(weeks.withColumn("i", F.row_number().over(by_symbol()).cast("long")), {"e10": ("close", 2 / 11), "e20": ("close", 2 / 21)})
     state = is_true((F.col("close") > F.col("e10")) & (F.col("e10") > F.col("e20")))
     if point_in_time:
         own = weeks.select("symbol", F.col("bar_date").alias("_week"), (state | (F.col("i") < 10)).alias("weekly_aligned"))

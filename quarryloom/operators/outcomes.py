@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.rolling import BY_SYMBOL, ratio
+from ..functions.rolling import by_symbol, ratio
 
 c = F.col
 
@@ -15,7 +15,7 @@ def forward(signals: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
     Bars are numbered once per symbol, and a signal joins a range of numbers cut into steps of the horizon, so the join
     is an equality on symbol and step (two steps for each signal) and its output is bounded by horizon rows a signal.
     """
-    numbered = bars.withColumn("i", F.row_number().over(BY_SYMBOL))
+    numbered = bars.withColumn("i", F.row_number().over(by_symbol()))
     at = numbered.select("symbol", c("bar_date").alias("scan_date"), c("i").alias("scan_i"))
     step = lambda x: F.floor(x / horizon)
     placed = signals.join(at, ["symbol", "scan_date"]).withColumn("_step", F.explode(F.array_distinct(F.array(step(c("scan_i") + 1), step(c("scan_i") + horizon)))))
@@ -56,14 +56,14 @@ def historical_outcomes(signals: DataFrame, bars: DataFrame, horizon: int = 60)
 
 def forward_returns(signals: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = (5, 10, 20, 60)) -> DataFrame:
     """Entry at the next open; the close that many rows after the entry row, null past the end."""
-    lead = lambda col, n: F.lead(col, n).over(BY_SYMBOL)
+    lead = lambda col, n: F.lead(col, n).over(by_symbol())
     ahead = bars.withColumns({"entry": lead("open", 1)} | {f"fwd_{h}": ratio(lead("close", 1 + h), lead("open", 1)) - 1 for h in horizons})
     return signals.join(ahead.select("symbol", c("bar_date").alias("scan_date"), "entry", *(f"fwd_{h}" for h in horizons)), KEY)
 
 
 def entries(signals: DataFrame, bars: DataFrame, slippage_bps: float = 10.0) -> DataFrame:
     """Next open with slippage; the stop is that day's low, two percent away at least."""
-    after = bars.withColumns({"entry_date": F.lead("bar_date").over(BY_SYMBOL), "_open": F.lead("open").over(BY_SYMBOL), "_low": F.lead("low").over(BY_SYMBOL)})
+    after = bars.withColumns({"entry_date": F.lead("bar_date").over(by_symbol()), "_open": F.lead("open").over(by_symbol()), "_low": F.lead("low").over(by_symbol())})
     df = signals.join(after.select("symbol", c("bar_date").alias("scan_date"), "entry_date", "_open", "_low"), KEY).where("entry_date is not null")
     df = df.withColumn("entry", c("_open") * (1 + slippage_bps / 10_000))
     return df.withColumn("stop", F.least(c("_low"), c("entry") * 0.98)).drop("_open", "_low")
@@ -71,7 +71,7 @@ def entries(signals: DataFrame, bars: DataFrame, slippage_bps: float = 10.0) ->
 
 def breakout_entries(signals: DataFrame, bars: DataFrame, window: int = 15, slippage_bps: float = 10.0) -> DataFrame:
     """The open after the first close at the level within the window (that close itself on a symbol's last bar)."""
-    nexts = bars.withColumns({"next_date": F.lead("bar_date").over(BY_SYMBOL), "next_open": F.lead("open").over(BY_SYMBOL), "next_low": F.lead("low").over(BY_SYMBOL)})
+    nexts = bars.withColumns({"next_date": F.lead("bar_date").over(by_symbol()), "next_open": F.lead("open").over(by_symbol()), "next_low": F.lead("low").over(by_symbol())})
     rows = forward(signals.where("breakout_level > 0"), nexts, window).where("close >= breakout_level")
     hit = rows.groupBy(*KEY).agg(F.min_by(F.struct("bar_date", "close", "low", "next_date", "next_open", "next_low"), "n").alias("h")).select(*KEY, "h.*")
     last = c("next_date").isNull()

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.rolling import BY_SYMBOL, clipped, is_true, lag, last_rows, ratio, rolling, with_ema
+from ..functions.rolling import by_symbol, clipped, is_true, lag, last_rows, ratio, rolling, with_ema
 from .scoring import ladder
 
 c = F.col
@@ -16,7 +16,7 @@ REGIMES = ((70, "BULL", 1.00), (55, "UPTREND", 0.95), (40, "MIXED", 0.85), (25,
 
 
 def index_averages(index: DataFrame) -> DataFrame:
-    df = index.withColumn("i", F.row_number().over(BY_SYMBOL).cast("long"))
+    df = index.withColumn("i", F.row_number().over(by_symbol()).cast("long"))
     return df.withColumns({f"sma_{n}": rolling(F.avg, "close", n) for n in (10, 20, 50, 150, 200)})
 
 
@@ -35,7 +35,7 @@ def index_trend(index: DataFrame) -> DataFrame:
 
 
 def distribution_days(index: DataFrame) -> DataFrame:
-    df = index.where("symbol = 'MAIN'").withColumns({"i": F.row_number().over(BY_SYMBOL), "pct": ratio(c("close"), lag("close")) - 1, "_v": lag("volume")})
+    df = index.where("symbol = 'MAIN'").withColumns({"i": F.row_number().over(by_symbol()), "pct": ratio(c("close"), lag("close")) - 1, "_v": lag("volume")})
     dist = is_true((c("pct") <= -0.002) & (c("volume") > c("_v")))
     stall = is_true((c("pct") > 0) & (c("pct") < 0.002) & (c("volume") > c("_v") * 1.05))
     df = df.withColumns({"distribution_days": F.sum(dist.cast("long")).over(last_rows(25)), "stalling_days": F.sum(stall.cast("long")).over(last_rows(25))})
@@ -46,7 +46,7 @@ def distribution_days(index: DataFrame) -> DataFrame:
 def follow_through(index: DataFrame, lookback: int = 80) -> DataFrame:
     """The latest follow-through day within the last bars: a state machine (uptrend 0, correction 1, rally 2) folded over each day's bars.
     A candidate holds while no later low undercuts the correction's."""
-    df = index.where("symbol = 'MAIN'").withColumns({"i": F.row_number().over(BY_SYMBOL), "high252": rolling(F.max, "high", 252, 50)})
+    df = index.where("symbol = 'MAIN'").withColumns({"i": F.row_number().over(by_symbol()), "high252": rolling(F.max, "high", 252, 50)})
     df = df.withColumn("_bars", F.collect_list(F.struct("close", "low", "volume")).over(last_rows(lookback)))
     state = "named_struct('st', {0}, 'cl', {1}, 'ra', {2}, 'dn', {3}, 'fi', {4}, 'fl', {5})".format
     pct, now, before = "(_bars[k].close / _bars[k-1].close - 1)", "_bars[k]", "_bars[k-1]"
@@ -169,7 +169,7 @@ def with_hurst(df: DataFrame, n: int = 150) -> DataFrame:
 
 
 def macro_signals(index: DataFrame) -> DataFrame:
-    df = index.where("symbol = 'MAIN'").withColumn("i", F.row_number().over(BY_SYMBOL).cast("long"))
+    df = index.where("symbol = 'MAIN'").withColumn("i", F.row_number().over(by_symbol()).cast("long"))
     before = lag("close")
     df = df.withColumn("true_range", F.greatest(c("high") - c("low"), F.abs(c("high") - before), F.abs(c("low") - before)))
     df = with_hurst(directional(df))
@@ -184,7 +184,7 @@ def macro_signals(index: DataFrame) -> DataFrame:
         {
             "confluence": F.coalesce(ratio(signs, known), F.lit(0.0)), "vol_ratio": ratio(c("vol_10"), c("vol_60")), "vol_rising": is_true((c("vol_10") > 1.1 * lag("vol_10", 20)) & (c("i") >= 32)),
             "trend_consistency": F.avg("_up").over(last_rows(62)), "above_200": rolling(F.avg, "close", 200, 150), "high_63": F.max("high").over(last_rows(63)), "low_63": F.min("low").over(last_rows(63)),
-            "drawdown_24m": F.when(c("i") >= 253, ratio(c("close"), F.coalesce(lag("close", 504), F.first("close").over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)))) - 1).otherwise(0.0),
+            "drawdown_24m": F.when(c("i") >= 253, ratio(c("close"), F.coalesce(lag("close", 504), F.first("close").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))) - 1).otherwise(0.0),
         }
     )
     return df.withColumn("above_200", c("close") > c("above_200")).drop("_r", "_up")

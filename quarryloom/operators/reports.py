@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.rolling import BY_SYMBOL, average_rank, ratio, rounded
+from ..functions.rolling import by_symbol, average_rank, ratio, rounded
 from .outcomes import KEY, _after_entry, entries
 
 c = F.col
@@ -75,7 +75,7 @@ def trade_paths(trades: DataFrame, bars: DataFrame, *, trim_r: float = 3.0, hold
     """Result per trade, in R, of this rule: the stop comes first (a gap fills at the open, at most max_loss_r); at trim_r a third is
     sold and the stop moves to the entry; after that a close below the short mean ends the rest; else time. The entry day never exits."""
     slip = 1 - slippage_bps / 10_000
-    means = bars.withColumn("sma10", F.when(F.count("close").over(BY_SYMBOL.rowsBetween(-9, 0)) == 10, F.avg("close").over(BY_SYMBOL.rowsBetween(-9, 0))))
+    means = bars.withColumn("sma10", F.when(F.count("close").over(by_symbol().rowsBetween(-9, 0)) == 10, F.avg("close").over(by_symbol().rowsBetween(-9, 0))))
     rows = _after_entry(trades, means, hold - 1).withColumns({"risk": c("entry") - c("stop"), "target": c("entry") + trim_r * (c("entry") - c("stop"))}).where("risk > 0")
     trade = Window.partitionBy("symbol", "scan_date")
     rows = rows.withColumns({"_stop": F.min(F.when(c("low") <= c("stop"), c("n"))).over(trade), "_hit": F.min(F.when(c("high") >= c("target"), c("n"))).over(trade)})
@@ -129,7 +129,7 @@ def walk_forward(bars: DataFrame, horizon: int = 20) -> DataFrame:
     else:
         table = folds(span[0].isoformat(), span[1].isoformat())
     fold = bars.sparkSession.createDataFrame(table, "fold int, train_from date, train_to date, test_from date, test_to date")
-    rows = bars.select("bar_date", (ratio(F.lead("close", horizon).over(BY_SYMBOL), c("close")) - 1).alias("fwd")).where("fwd is not null")
+    rows = bars.select("bar_date", (ratio(F.lead("close", horizon).over(by_symbol()), c("close")) - 1).alias("fwd")).where("fwd is not null")
     joined = rows.join(F.broadcast(fold), (c("bar_date") >= c("train_from")) & (c("bar_date") < c("test_to")))  # a row for each quarter
     train, test = c("bar_date") <= c("train_to"), c("bar_date") >= c("test_from")
     out = joined.groupBy("fold", "train_from", "train_to", "test_from", "test_to").agg(F.count(F.when(train, 1)).alias("n_train"), F.count(F.when(test, 1)).alias("n_test"), rounded(F.avg(F.when(train, c("fwd")))).alias("train_mean"), rounded(F.avg(F.when(test, c("fwd")))).alias("test_mean"))
@@ -158,7 +158,7 @@ def sector_concentration(scored: DataFrame, sectors: DataFrame, top: int = 10) -
 
 def pair_correlations(bars: DataFrame, least: int = 60) -> DataFrame:
     """Correlation of daily returns of each two symbols over their common dates. Symbols meet by date, so a pair's rows are its common days."""
-    returns = bars.select("symbol", "bar_date", (ratio(c("close"), F.lag("close").over(BY_SYMBOL)) - 1).alias("r")).where("r is not null")
+    returns = bars.select("symbol", "bar_date", (ratio(c("close"), F.lag("close").over(by_symbol())) - 1).alias("r")).where("r is not null")
     a, b = returns.withColumnsRenamed({"symbol": "a", "r": "ra"}), returns.withColumnsRenamed({"symbol": "b", "r": "rb"})
     pairs = a.join(b, "bar_date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("correlation"))
     return pairs.where(c("n") >= least).select("a", "b", "n", rounded("correlation").alias("correlation"))
