@@ -20,10 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Texts are long: batches of Spark's 10,000 rows would be tens of megabytes in the JVM and again in each Python worker.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in small batches, unless the session asks for a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 class Scratch:
     """Tables of one run in the shared folder. Written tables cut lineage: a lost executor costs no recomputation of them."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
