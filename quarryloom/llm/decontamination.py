@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import small_batches
 from .text import ALPHANUMERIC, WordScanner
 
 WINDOW = 10
@@ -191,6 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """Per document: n_words, the hit stretches of words [hit_from, hit_to), the items with occurring windows,
     and the longest verbatim match with any benchmark suffix (its words and where it begins; 0 and -1 if none).
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     size = tests.agg(F.sum(F.length("text"))).first()[0] or 0

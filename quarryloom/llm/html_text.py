@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import small_batches
 from .text import SPACED, WordScanner, row_chunks, string_bytes
 
 #: Fixed values of HTML: block-level and void elements, elements whose content is no text, and what an opening tag closes.
@@ -434,6 +435,7 @@ def _extracted(batches: Iterator[pa.RecordBatch], weights: dict[str, np.ndarray]
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points), n_blocks (all of the page's)."""
+    small_batches(pages.sparkSession)
     weights = network().p
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return own.mapInArrow(lambda batches: _extracted(batches, weights), "page_id long, url string, text string, n_chars long, n_blocks long")

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import small_batches
+
 MAX_LABELLED = 20_000
 #: Word beginnings of these many letters can be arcs.
 STEMS = range(4, 8)
@@ -134,7 +136,7 @@ class Grammar:
             if got is None:
                 got = seen[word] = self.symbol(word)
             out.append(got)
-        if len(seen) > 500_000:
+        if len(seen) > 100_000:
             seen.clear()
         return out
 
@@ -183,7 +185,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = {w for w in WORD.findall((text or "").lower()) if w[0].isalpha()}
             terms = {f"={w}" for w in words} | {w[:n] for w in words for n in STEMS if len(w) >= n}
             counts[bool(toxic)].update(terms)
-            if len(counts[0]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield _counts_batch(counts)
                 counts[0].clear()
                 counts[1].clear()
@@ -303,6 +305,7 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """The grammar learned from the labelled rows that are not held out."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("toxic")).where(F.col("toxic").isNotNull() & ~held_out(F.col("_id")))
     known = known.withColumn("pick", F.xxhash64(F.col("_id"))).orderBy("pick").limit(MAX_LABELLED)
     return learn(docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("text", "toxic", "pick"))
