@@ -26,7 +26,7 @@ from .shared import Scratch
 MIN_REVISIT = 100
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
-#: The dictionary is trained on the payloads of this many records at most, those whose digests are smallest, and as many bytes of each.
+#: The dictionary is trained on this many different payloads at most, those whose digests are smallest, and as many characters of each.
 SAMPLE_RECORDS, SAMPLE_BYTES = 400, 16 << 10
 #: Fixed values of the formats: magic numbers of skippable frames (of the dictionary, of separators), WARC's line end.
 DICTIONARY_MAGIC, SEPARATOR = 0x184D2A5D, "P*M\x18\0\0\0\0"
@@ -35,11 +35,14 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
 def train(pages: DataFrame) -> bytes:
-    """A dictionary; empty if there is too little to train on."""
+    """A dictionary; empty if there is too little to train on. Records are chosen by digest and id, and only their payloads are
+    fetched: a limit over rows with payloads would bring those of every task to the driver. Copies count once."""
     import zstandard
 
-    rows = pages.where("payload_bytes > 0").orderBy("payload_digest", "page_id").limit(SAMPLE_RECORDS).select(F.substring("html", 1, SAMPLE_BYTES)).collect()
-    samples = [r[0].encode() for r in rows]
+    firsts = pages.where("payload_bytes > 0").groupBy("payload_digest").agg(F.min("page_id").alias("page_id"))
+    chosen = {r[0] for r in firsts.orderBy("payload_digest").limit(SAMPLE_RECORDS).select("page_id").collect()}
+    rows = pages.where(F.col("page_id").isin(chosen)).select("payload_digest", F.substring("html", 1, SAMPLE_BYTES)).dropDuplicates(["payload_digest"]).collect() if chosen else []
+    samples = [r[1].encode() for r in sorted(rows)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
