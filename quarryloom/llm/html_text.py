@@ -6,7 +6,8 @@ its hashed words' embeddings and a few measures, so every block is classified wi
 The network is trained here, from a fixed seed, on pages that page_maker composes from templates with known labels;
 ``python -m quarryloom.llm.html_text`` trains it anew and writes the weights file beside this module.
 
-Scripts, styles, comments and the like never become blocks. Character references are decoded, white space inside a block
+Scripts, styles and comments, and templates and SVG graphics that are closed, never become blocks. Formulas stay in their
+sentence; what noscript, iframe, object, canvas, audio or video hold is a block of its own. Character references are decoded, white space inside a block
 (a <br> too) becomes one space, blocks are trimmed and joined by one line break. Null and empty pages, and pages
 without a main block, give an empty text. Unclosed and stray tags, and text without tags, are read as far as they go.
 Repeated pages give repeated rows. Columns other than the three are ignored.
@@ -36,11 +37,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 NO_P = BLOCKS - {"body", "html", "head", "button", "option", "optgroup", "select", "textarea", "title", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "legend"}
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|math|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"""
+    r"""|<(template|svg)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<!/)>(?:(?!<\2[\s/>]).)*?</\2(?=[\s/>])[^>]*>"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
 MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+FALLBACK = frozenset("noscript iframe object canvas audio video".split())
 PARTS = re.compile(r"[a-z]+")
 
 PATH_ROWS, WORD_ROWS, PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 2048, 1024, 16, 8, 5, 16
@@ -95,7 +98,7 @@ def blocks(page: str | None) -> list[Block]:
         if start > last:
             add(page[last:start])
         last = m.end()
-        tag = m.group(3) or m.group(6)
+        tag = m.group(4) or m.group(7)
         if not tag:
             continue
         tag = tag.lower()
@@ -103,16 +106,16 @@ def blocks(page: str | None) -> list[Block]:
             if at_path:
                 pieces.append(" ")
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag in FALLBACK:
             flush()
-        if m.group(2) or m.group(5):
+        if m.group(3) or m.group(6):
             close({tag}, frozenset())
             continue
         if tag in NO_P:
             close({"p"}, frozenset({"table", "td", "button", "blockquote"}))
         if tag in CLOSES:
             close(CLOSES[tag], frozenset({"ul", "ol", "table", "dl", "select"} - {tag}))
-        attributes = m.group(4) or m.group(7) or ""
+        attributes = m.group(5) or m.group(8) or ""
         if tag in VOIDS or attributes.endswith("/") and tag not in BLOCKS:
             continue
         label = tag
