@@ -80,24 +80,31 @@ def breakout_entries(signals: DataFrame, bars: DataFrame, window: int = 15, slip
 
 
 def _after_entry(trades: DataFrame, bars: DataFrame, hold: int) -> DataFrame:
-    """Bars after the entry day, numbered; a trade that has none is kept by the callers' left joins."""
+    """Bars after the entry day, numbered; a trade that has none is kept by the callers' left joins (no_bars)."""
     moved = trades.withColumnsRenamed({"scan_date": "signal_date", "entry_date": "scan_date"})
     return forward(moved, bars, hold).withColumnsRenamed({"scan_date": "entry_date", "signal_date": "scan_date"})
 
 
+def no_bars(trades: DataFrame, exits: DataFrame) -> DataFrame:
+    """exits, and the trades that have no bar after their entry: out at the entry after 0 bars, R 0, 'no_data'."""
+    own = trades.where("entry > stop").select(*KEY, "entry", "entry_date")
+    filled = {"bars_held": F.lit(0).cast("long"), "exit_price": c("entry"), "exit_reason": F.lit("no_data"), "exit_date": c("entry_date"), "r_multiple": F.lit(0.0)}
+    return own.join(exits, KEY, "left").select(*KEY, *(F.coalesce(c(k), v).alias(k) for k, v in filled.items()))
+
+
 def exit_fixed_r(trades: DataFrame, bars: DataFrame, target_r: float, hold: int = 30) -> DataFrame:
     """Stop first, then the target at target_r times the risk, then time; the last close if bars run out."""
     rows = _after_entry(trades, bars, hold).withColumns({"risk": c("entry") - c("stop"), "target": c("entry") + target_r * (c("entry") - c("stop"))})
     stopped, hit = c("low") <= c("stop"), c("high") >= c("target")
     fill = F.when(stopped, F.least(c("open"), c("stop"))).when(hit, F.greatest(c("open"), c("target"))).otherwise(c("close"))
     reason = F.when(stopped, "stop").when(hit, "target").when(c("n") >= hold, "time").otherwise("eod")
-    return _first_exit(rows, stopped | hit | (c("n") >= hold), fill, reason)
+    return no_bars(trades, _first_exit(rows, stopped | hit | (c("n") >= hold), fill, reason))
 
 
 def exit_time(trades: DataFrame, bars: DataFrame, hold: int = 15) -> DataFrame:
     rows = _after_entry(trades, bars, hold).withColumn("risk", c("entry") - c("stop"))
     stopped = c("low") <= c("stop")
-    return _first_exit(rows, stopped | (c("n") >= hold), F.when(stopped, F.least(c("open"), c("stop"))).otherwise(c("close")), F.when(stopped, "stop").when(c("n") >= hold, "time").otherwise("eod"))
+    return no_bars(trades, _first_exit(rows, stopped | (c("n") >= hold), F.when(stopped, F.least(c("open"), c("stop"))).otherwise(c("close")), F.when(stopped, "stop").when(c("n") >= hold, "time").otherwise("eod")))
 
 
 def exit_atr_trail(trades: DataFrame, bars: DataFrame, hold: int = 30, multiple: float = 2.0, activate: float = 1.0) -> DataFrame:
@@ -109,7 +116,7 @@ def exit_atr_trail(trades: DataFrame, bars: DataFrame, hold: int = 30, multiple:
     rows = rows.withColumn("_level", level)
     hit = c("low") <= c("_level")
     reason = F.when(hit & c("_active"), "trail_stop").when(hit, "stop").when(c("n") >= hold, "time").otherwise("eod")
-    return _first_exit(rows, hit | (c("n") >= hold), F.when(hit, F.least(c("open"), c("_level"))).otherwise(c("close")), reason)
+    return no_bars(trades, _first_exit(rows, hit | (c("n") >= hold), F.when(hit, F.least(c("open"), c("_level"))).otherwise(c("close")), reason))
 
 
 def _first_exit(rows: DataFrame, ends: Column, fill: Column, reason: Column) -> DataFrame:

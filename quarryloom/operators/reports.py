@@ -73,7 +73,8 @@ def exit_metrics(strategies: dict[str, DataFrame]) -> DataFrame:
 
 def trade_paths(trades: DataFrame, bars: DataFrame, *, trim_r: float = 3.0, hold: int = 60, max_loss_r: float = 5.0, slippage_bps: float = 10.0) -> DataFrame:
     """Result per trade, in R, of this rule: the stop comes first (a gap fills at the open, at most max_loss_r); at trim_r a third is
-    sold and the stop moves to the entry; after that a close below the short mean ends the rest; else time. The entry day never exits."""
+    sold and the stop moves to the entry; after that a close below the short mean ends the rest; else time. The entry day never exits,
+    but a trade that has no later bar ends at that day's close ('eod')."""
     slip = 1 - slippage_bps / 10_000
     means = bars.withColumn("sma10", F.when(F.count("close").over(by_symbol().rowsBetween(-9, 0)) == 10, F.avg("close").over(by_symbol().rowsBetween(-9, 0))))
     rows = _after_entry(trades, means, hold - 1).withColumns({"risk": c("entry") - c("stop"), "target": c("entry") + trim_r * (c("entry") - c("stop"))}).where("risk > 0")
@@ -90,7 +91,10 @@ def trade_paths(trades: DataFrame, bars: DataFrame, *, trim_r: float = 3.0, hold
     trimmed = F.when(c("_trim") <= c("n"), (c("target") * slip - c("entry")) / c("risk") / 3)
     rest = (fill - c("entry")) / c("risk")
     shown = F.struct(c("n").alias("bars_held"), c("bar_date").alias("exit_date"), reason.alias("exit_reason"), F.when(trimmed.isNotNull(), trimmed + rest * 2 / 3).otherwise(rest).alias("r_multiple"))
-    return rows.groupBy(*KEY).agg(F.coalesce(F.min_by(F.when(ends, shown), F.when(ends, c("n"))), F.max_by(shown, "n")).alias("x")).select(*KEY, "x.*")
+    exits = rows.groupBy(*KEY).agg(F.coalesce(F.min_by(F.when(ends, shown), F.when(ends, c("n"))), F.max_by(shown, "n")).alias("x")).select(*KEY, "x.*")
+    own = trades.where("entry > stop").join(bars.select("symbol", c("bar_date").alias("entry_date"), "close"), ["symbol", "entry_date"])
+    filled = {"bars_held": F.lit(0).cast("long"), "exit_date": c("entry_date"), "exit_reason": F.lit("eod"), "r_multiple": (c("close") * slip - c("entry")) / (c("entry") - c("stop"))}
+    return own.join(exits, KEY, "left").select(*KEY, *(F.coalesce(c(k), v).alias(k) for k, v in filled.items()))
 
 
 def portfolio(spark: SparkSession, scored: DataFrame, bars: DataFrame, *, slots: int = 10, risk: float = 0.005) -> DataFrame:

@@ -189,6 +189,8 @@ def exit_sweep(trades: DataFrame, bars: DataFrame, targets: tuple[float, ...] =
     fill = F.when(stopped, F.least("open", "stop")).when(hit, F.greatest(c("open"), c("entry") + c("target_r") * c("risk"))).otherwise(c("close"))
     r, ends = (fill - c("entry")) / c("risk"), stopped | hit | (c("n") >= hold)
     each = rows.groupBy("target_r", "symbol", "scan_date").agg(F.coalesce(F.min_by(F.when(ends, r), F.when(ends, c("n"))), F.max_by(r, "n")).alias("r"))
+    every = trades.where("entry > stop").select("symbol", "scan_date", F.explode(F.array(*map(F.lit, targets))).alias("target_r"))
+    each = every.join(each, ["target_r", "symbol", "scan_date"], "left").fillna(0.0, "r")  # no bar after the entry: R 0
     return each.groupBy("target_r").agg(F.count("*").alias("n"), rounded(F.avg("r"), 4).alias("mean_r"), _mean(c("r") > 0).alias("win_rate"))
 
 
