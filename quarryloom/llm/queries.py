@@ -111,15 +111,6 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
 FROM p JOIN f ON p.payload_digest = f.d"""
 
-OP8_SQL = r"""
-WITH d AS (SELECT source, lang, CASE WHEN doc_id % 3 = 0 THEN 'marks-2' ELSE 'spaced-1' END AS tokenizer, coalesce(text, '') AS text
-  FROM documents WHERE doc_id % 7 <> 0)
-SELECT source, lang, tokenizer, count(*) AS n_docs,
-  CAST(sum(len(CASE tokenizer WHEN 'spaced-1' THEN regexp_extract_all(text, '[^\s]+')
-    ELSE regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]') END)) AS BIGINT) AS n_tokens,
-  CAST(sum(length(text)) AS BIGINT) AS n_chars
-FROM d GROUP BY ALL"""
-
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op7_warc": OP7_SQL, "op8_token_counts": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op4_sharding": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL}

@@ -2,26 +2,35 @@
 
 Arrivals are appended as small immutable shards. Shards of similar size (the same tier, a power of FANOUT of the smallest
 shard's size) are merged once FANOUT of them are there, into shards of the next tier, up to the target size, which
-are never touched again. So a row is rewritten at most once for each tier. What is current is said by a manifest:
-a numbered file that lists the live shards with their sizes, rows and id ranges. It is written under another name and
-renamed into place, which fails if the number is taken; readers of an older manifest keep their shards until vacuum.
+are never touched again. So a row is rewritten at most once for each tier. A merge joins whole shards without a
+shuffle. What is current is said by a manifest: a numbered file with the schema and the live shards' sizes and rows, some 150
+bytes a shard (a hundred terabytes ask for a target of a gigabyte). A commit that another writer has forestalled is made again
+on that writer's manifest. Superseded shards stay for readers of the last KEPT manifests and are deleted by vacuum.
 
-Rows keep every column. Null texts and repeated rows are kept as they are. An empty arrival commits a manifest without new
-shards. A row larger than the target size makes a shard by itself.
+A merge is only worth its while if fewer shards come out than went in. Where the writer makes more files than asked for
+(spark.sql.files.maxRecordsPerFile), those that come out are sealed, so every merge leaves fewer shards to merge and compaction ends.
+
+Rows keep every column, whatever its name; columns that only later arrivals have are null in earlier rows. Null texts and repeated
+rows are kept as they are. An empty arrival commits a manifest without new shards, and a set of empty arrivals reads as an empty
+table with its columns. A row larger than the target size makes a shard by itself.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .shared import Scratch
+from .versions import Versions
 
 FANOUT = 4
 SMALL_BYTES = 1 << 20
 TARGET_BYTES = 64 << 20
+#: How many of the last manifests keep their shards through a vacuum.
+KEPT = 1
 
 
 def tier(size: int, small: int = SMALL_BYTES, target: int = TARGET_BYTES, fanout: int = FANOUT) -> int | None:
@@ -40,90 +49,101 @@ class ShardSet:
     def __init__(self, spark: SparkSession, path: str, *, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT):
         self.spark, self.path = spark, path.rstrip("/")
         self.small, self.target, self.fanout = small_bytes, target_bytes, fanout
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.versions = Versions(spark, f"{self.path}/manifests")
 
     # Manifests
 
     def version(self) -> int:
-        folder = self._path(f"{self.path}/manifests")
-        if not self._fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return max([0, *(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())])
+        return self.versions.last()
 
-    def manifest(self, version: int | None = None) -> list[dict]:
+    def manifest(self, version: int | None = None) -> dict:
+        """schema, and shards: each with its path below the folder, bytes, rows, and whether it is sealed."""
         version = self.version() if version is None else version
-        if not version:
-            return []
-        text = self.spark.read.option("wholetext", True).text(f"{self.path}/manifests/{version}.json").first()[0]
-        return json.loads(text)["shards"]
-
-    def _commit(self, shards: list[dict], base: int) -> int:
-        folder = f"{self.path}/manifests"
-        self._fs.mkdirs(self._path(folder))
-        staged = self._path(f"{folder}/_{uuid.uuid4().hex}")
-        out = self._fs.create(staged, False)
-        try:
-            out.write(bytearray(json.dumps({"version": base + 1, "shards": shards}).encode()))
-        finally:
-            out.close()
-        final = self._path(f"{folder}/{base + 1}.json")
-        if self._fs.exists(final) or not self._fs.rename(staged, final):
-            self._fs.delete(staged, False)
-            raise RuntimeError(f"version {base + 1} was committed by someone else")
-        return base + 1
+        return self.versions.read(version) if version else {"schema": StructType().jsonValue(), "shards": []}
+
+    def _commit(self, change: Callable[[dict], dict | None]) -> int | None:
+        """Commit what change makes of the last manifest, however often another writer gets in first; None if it makes nothing."""
+        while True:
+            base = self.version()
+            content = change(self.manifest(base))
+            if content is None:
+                return None
+            if self.versions.commit(base, content):
+                return base + 1
 
     # Shards
 
-    def _write(self, rows: DataFrame, level: str) -> list[dict]:
+    def _write(self, rows: DataFrame) -> list[dict]:
         """One immutable shard for each file that Spark writes."""
-        where = f"{self.path}/shards/{level}-{uuid.uuid4().hex}"
-        rows.write.parquet(where)
-        files = self.spark.read.parquet(where)
-        counted = {r["name"]: r for r in files.groupBy(F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()}  # a row for each file
-        return [{"path": r["name"], "bytes": r["size"], "rows": r["rows"], "low": r["low"], "high": r["high"]} for r in counted.values()]
+        name = f"shards/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        files = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
+        held = files.groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows")).collect()  # a row for each file
+        return [{"path": f"{name}/{r['name']}", "bytes": r["bytes"], "rows": r["rows"], "sealed": False} for r in held]
 
     def append(self, arrival: DataFrame) -> int:
         """Commit an arrival as small shards."""
-        base = self.version()
-        return self._commit(self.manifest(base) + self._write(arrival, "new"), base)
+        new = self._write(arrival)
+
+        def change(held: dict) -> dict:
+            old = StructType.fromJson(held["schema"])
+            fields = [*old.fields, *(f for f in arrival.schema.fields if f.name not in old.names)]
+            return {"schema": StructType(fields).jsonValue(), "shards": held["shards"] + new}
+
+        return self._commit(change)
+
+    def _open(self, shards: list[dict], schema: dict) -> DataFrame:
+        kind = StructType.fromJson(schema)
+        if not shards:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*(f"{self.path}/{s['path']}" for s in shards))
 
     def compact(self) -> int:
         """Merge tiers that are full until none is; each merge is a commit of its own."""
         while True:
-            base = self.version()
-            shards = self.manifest(base)
+            held = self.manifest()
             tiers: dict[int, list[dict]] = {}
-            for s in shards:
-                if (t := tier(s["bytes"], self.small, self.target, self.fanout)) is not None:
+            for s in held["shards"]:
+                if not s["sealed"] and (t := tier(s["bytes"], self.small, self.target, self.fanout)) is not None:
                     tiers.setdefault(t, []).append(s)
-            full = [t for t, held in sorted(tiers.items()) if len(held) >= self.fanout]
+            full = [t for t, members in sorted(tiers.items()) if len(members) >= self.fanout]
             if not full:
-                return base
+                return self.version()
             merged = tiers[full[0]]
             size = sum(s["bytes"] for s in merged)
-            # As many files as keep each at the next tier's size, and no larger than the target.
-            files = max(1, round(size / min(self.target, max(self.small, max(s["bytes"] for s in merged)) * self.fanout)))
-            files = min(files, max(1, len(merged) // 2))
-            rows = self.spark.read.parquet(*(s["path"] for s in merged)).repartitionByRange(files, "doc_id", F.xxhash64("doc_id", "text"))
-            new = self._write(rows, f"tier{full[0] + 1}")
+            files = min(-(-size // min(self.target, self.small * self.fanout ** (full[0] + 1))), len(merged) // 2)
+            new = self._write(self._open(merged, held["schema"]).coalesce(max(1, files)))
+            if len(new) >= len(merged):
+                new = [{**s, "sealed": True} for s in new]
             gone = {s["path"] for s in merged}
-            self._commit([s for s in shards if s["path"] not in gone] + new, base)
+
+            def change(last: dict, gone=gone, new=new) -> dict | None:
+                """Nothing if another writer has merged some of these shards meanwhile."""
+                if not gone <= {s["path"] for s in last["shards"]}:
+                    return None
+                return {**last, "shards": [s for s in last["shards"] if s["path"] not in gone] + new}
+
+            self._commit(change)
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(*(s["path"] for s in self.manifest(version)))
+        held = self.manifest(version)
+        return self._open(held["shards"], held["schema"])
 
-    def vacuum(self) -> int:
-        """Delete files that the last manifest does not list; returns how many."""
-        live = {self._path(s["path"]).toUri().getPath() for s in self.manifest()}
+    def vacuum(self, kept: int = KEPT) -> int:
+        """Delete shards that none of the last kept manifests lists; returns how many. Not to be run while others write."""
+        live = {s["path"] for v in self.versions.numbers()[-kept:] for s in self.manifest(v)["shards"]}
+        fs, path = self.versions.fs, self.versions.hadoop_path
         gone = 0
-        for folder in self._fs.listStatus(self._path(f"{self.path}/shards")):
-            for file in self._fs.listStatus(folder.getPath()):
-                where = file.getPath().toUri().getPath()
-                if where.rpartition("/")[2].startswith("part-") and where not in live:
-                    gone += bool(self._fs.delete(file.getPath(), False))
+        for folder in fs.listStatus(path(f"{self.path}/shards")):
+            name = folder.getPath().getName()
+            files = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            dead = [f for f in files if f"shards/{name}/{f.getName()}" not in live]
+            if len(dead) == len(files):
+                fs.delete(folder.getPath(), True)
+            else:
+                for f in dead:
+                    fs.delete(f, False)
+            gone += len(dead)
         return gone
 
 
@@ -131,14 +151,26 @@ class ShardSet:
 ARRIVALS = 6
 
 
+def arrivals(docs: DataFrame, id_col: str = "doc_id", n: int = ARRIVALS) -> list[DataFrame]:
+    """All rows in n ranges of ids, a filter that reaches the scan; rows without an id are in the first."""
+    at = F.col(id_col)
+    low, high = docs.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return [docs]
+    bounds = [low + (high - low + 1) * k // n for k in range(1, n)]
+    parts = zip([None, *bounds], [*bounds, None], strict=True)
+    return [docs.where(at.isNull() | (at < b) if a is None else at >= a if b is None else (at >= a) & (at < b)) for a, b in parts]
+
+
 def sharded(docs: DataFrame) -> DataFrame:
-    """Append all documents in ARRIVALS arrivals by a hash of their ids, compact after each, and read the last manifest's shards
-    back. Per document: doc_id, text_bytes, text_sha256, and the shard's path and rows."""
+    """Append all documents in ARRIVALS arrivals, compact and vacuum after each, and read the last manifest's shards
+    back. Per document: doc_id, text_bytes, text_sha256, and the shard's file name."""
     spark = docs.sparkSession
     shards = ShardSet(spark, Scratch(spark, "sharding").place("set"))
-    for k in range(ARRIVALS):
-        shards.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+    for arrival in arrivals(docs):
+        shards.append(arrival)
         shards.compact()
-    text = F.col("text").cast("binary")
-    rows = shards.read()
-    return rows.select("doc_id", F.length(text).cast("long").alias("text_bytes"), F.sha2(text, 256).alias("text_sha256"), F.col("_metadata.file_name").alias("shard"))
+        shards.vacuum()
+    text, rows = F.col("text").cast("binary"), shards.read()
+    shard = F.col("_metadata.file_name") if shards.manifest()["shards"] else F.lit(None).cast("string")
+    return rows.select("doc_id", F.length(text).cast("long").alias("text_bytes"), F.sha2(text, 256).alias("text_sha256"), shard.alias("shard"))

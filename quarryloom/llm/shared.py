@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets one of its own; a
+    cluster is refused, as its executors do not see the driver's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "checkpoints")
         os.makedirs(root, exist_ok=True)
         found = f"file://{root}"
@@ -32,12 +35,20 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables of one run in the shared folder. Written tables cut lineage: a lost executor costs no recomputation of them."""
+    """Tables of one run in the shared folder. Written tables cut lineage: a lost executor costs no recomputation of them.
+
+    Results may still be read from them, so the folder goes when the driver ends; what is done with sooner is dropped by name.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.path))
+        self._fs.deleteOnExit(self._path(self.path))
 
     def place(self, name: str) -> str:
         self._n += 1
@@ -49,10 +60,14 @@ class Scratch:
         df.write.parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """The tables of these names, or all."""
+        if not names:
+            self._fs.delete(self._path(self.path), True)
+        elif self._fs.exists(self._path(self.path)):
+            for held in self._fs.listStatus(self._path(self.path)):
+                if held.getPath().getName().partition("-")[2] in names:
+                    self._fs.delete(held.getPath(), True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,39 +2,62 @@
 
 A batch of changes is a set of signed rows: an insert adds a document's count, a delete takes it away, a revision
 does both. Only the batch is aggregated; its totals are added to the last version's, so the cost follows the batch and the
-number of groups, never the corpus. A version is a folder of its own, committed by renaming it into place after it is
-complete; it names the batches that it holds, so a batch that is sent again changes nothing.
+number of groups, never the corpus. Totals are written under a name of their own, then committed by a small numbered
+file that names them and the batch. A writer that another has forestalled adds its totals to the other's version. The numbered
+files are the record of all batches ever held: a batch that is sent again is found there and changes nothing.
 
-Null sources and languages are groups of their own. Null texts have no tokens but count as documents. Groups whose
-documents have all been deleted disappear. Repeated rows within a batch add up. Empty batches make a version with
-the same totals. Extra columns of the documents are ignored.
+Tokenizer versions are public vocabularies by name, counted exactly, without special tokens. Null sources and languages are
+groups of their own. Null texts have no tokens but count as documents. Groups whose documents have all been deleted disappear. Repeated rows
+within a batch add up. Empty batches make a version with the same totals. Extra columns of the documents are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import Scratch
+from .text import row_chunks, string_bytes
+from .tokens import CHUNK_BYTES, encoder
+from .versions import Versions
 
 KEYS = ["source", "lang", "tokenizer"]
+COUNTS = ["n_docs", "n_tokens", "n_chars"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
 
-#: Tokenizer versions by name, each a pattern of its tokens: words between white space; ASCII words and single other characters.
-TOKENIZERS = {"spaced-1": r"[^\s]+", "marks-2": r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"}
+#: Tokenizer versions by name: vocabulary files of the public tokenizers.
+TOKENIZERS = {"byte_bpe_50k": "byte_bpe_50k.json", "word_bpe_49k": "word_bpe_49k.json"}
 
+_LOADED: dict[str, object] = {}
 
-def count_tokens(text: Column, tokenizer: str) -> Column:
-    """How many tokens a text has, in the JVM: the matches of the version's pattern."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKENIZERS[tokenizer])), F.lit(0)).cast("long")
+
+def _counted(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(TOKENIZERS[tokenizer])
+    for batch in batches:
+        texts, counts = batch.column(3), []
+        if tokenizer == "byte_bpe_50k":
+            for _, _, _, sizes in encoder(path).encode(texts):
+                counts.extend((sizes - 1).tolist())  # without the end id
+        else:
+            if path not in _LOADED:
+                _LOADED[path] = Tokenizer.from_file(path)
+            _, offsets = string_bytes(texts)
+            for a, b in row_chunks(offsets, CHUNK_BYTES):
+                counts.extend(len(e.ids) for e in _LOADED[path].encode_batch_fast([t or "" for t in texts.slice(a, b - a).to_pylist()], add_special_tokens=False))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), batch.column(4)], names=["doc_id", "source", "lang", "n_tokens", "n_chars"])
 
 
 def measured(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per document: its keys and counts by this tokenizer version."""
-    return docs.select(
-        "doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), count_tokens(F.col("text"), tokenizer).alias("n_tokens"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")
-    )
+    own = docs.select(F.col("doc_id").cast("long"), "source", "lang", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    rows = own.mapInArrow(lambda batches: _counted(batches, tokenizer), "doc_id long, source string, lang string, n_tokens long, n_chars long")
+    return rows.withColumn("tokenizer", F.lit(tokenizer))
 
 
 def inserts(rows: DataFrame) -> DataFrame:
@@ -52,7 +75,7 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def _totals(rows: DataFrame) -> DataFrame:
     """Totals of additive rows; groups without documents go. Partial sums are made before the shuffle, so a hot group is no hot task."""
-    sums = rows.groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in ("n_docs", "n_tokens", "n_chars")))
+    sums = rows.groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in COUNTS))
     return sums.where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
 
@@ -61,53 +84,57 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.versions = Versions(spark, f"{self.path}/versions")
 
     def version(self) -> int:
         """The last complete version, 0 if there is none."""
-        if not self._fs.exists(self._path(self.path)):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return max([0, *(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())])
+        return self.versions.last()
 
     def totals(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{version}/totals")
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{self.versions.read(version)['totals']}")
 
-    def batches(self) -> set[str]:
-        version = self.version()
-        if not version:
-            return set()
-        return {r[0] for r in self.spark.read.schema("batch string").json(f"{self.path}/v{version}/batches").collect()}  # a row for each commit
+    def holds(self, batch: str) -> int | None:
+        """The version that brought a batch, or None. A scan of the numbered files; nothing but the answer reaches the driver."""
+        if not self.version():
+            return None
+        found = self.spark.read.schema("batch string, version long").json(f"{self.path}/versions/*.json").where(F.col("batch") == batch).first()
+        return found["version"] if found else None
 
     def commit(self, batch: str, changes: DataFrame) -> int:
-        """Add a batch of signed rows once; returns the version that holds it."""
-        done, version = self.batches(), self.version()
-        if batch in done:
-            return version
-        delta = changes.select(*KEYS, F.col("sign").cast("long").alias("n_docs"), (F.col("sign") * F.col("n_tokens")).alias("n_tokens"), (F.col("sign") * F.col("n_chars")).alias("n_chars"))
-        staged = f"{self.path}/_staged-{version + 1}"
-        self._fs.delete(self._path(staged), True)
-        _totals(self.totals(version).unionByName(_totals(delta))).write.parquet(f"{staged}/totals")
-        self.spark.createDataFrame([(b,) for b in sorted({*done, batch})], "batch string").coalesce(1).write.json(f"{staged}/batches")
-        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/v{version + 1}")):
-            raise RuntimeError(f"version {version + 1} was committed by someone else")
-        return version + 1
+        """Add a batch of signed rows once; returns the version that brought it."""
+        done = self.holds(batch)
+        if done:
+            return done
+        signed = changes.select(*KEYS, F.col("sign").cast("long").alias("n_docs"), *((F.col("sign") * F.col(k)).alias(k) for k in COUNTS[1:]))
+        delta = f"{self.path}/deltas/{uuid.uuid4().hex}"
+        _totals(signed).write.parquet(delta)
+        while True:
+            base, name = self.version(), f"totals/{uuid.uuid4().hex}"
+            both = self.totals(base).unionByName(self.spark.read.schema(SCHEMA).parquet(delta))
+            _totals(both).coalesce(1).write.parquet(f"{self.path}/{name}")  # a row for each group
+            if self.versions.commit(base, {"batch": batch, "totals": name}):
+                break
+            done = self.holds(batch)
+            if done:
+                break
+        self.versions.fs.delete(self.versions.hadoop_path(delta), True)
+        return done or base + 1
 
 
 def maintained(docs: DataFrame) -> DataFrame:
-    """Insert all documents by the first tokenizer version, revise every third to the second, delete every seventh, send the
-    batches again, and return the totals. The revised and deleted ids stand for a day's changes; all rows are counted."""
+    """Insert all documents by the first tokenizer version, revise every third to the second, delete every seventh and insert
+    it again, send all batches a second time, and return the totals, which hold every document. The revised and deleted ids stand for a day's changes."""
     scratch = Scratch(docs.sparkSession, "token-counts")
     rollup = Rollup(docs.sparkSession, scratch.place("rollup"))
-    old = measured(docs, "spaced-1")
-    third, seventh = F.pmod("doc_id", F.lit(3)) == 0, F.pmod("doc_id", F.lit(7)) == 0
-    new = measured(docs.where(third), "marks-2")
-    batches = {"insert": inserts(old), "revise": revisions(old.where(third), new), "delete": reduce(DataFrame.unionByName, [deletes(old.where(seventh & ~third)), deletes(new.where(seventh))])}
+    first, second = TOKENIZERS
+    third, seventh = (F.coalesce(F.pmod("doc_id", F.lit(n)) == 0, F.lit(False)) for n in (3, 7))
+    old = scratch.table(measured(docs, first), "first")
+    new = scratch.table(measured(docs.where(third), second), "second")
+    current = old.where(seventh & ~third).unionByName(new.where(seventh))
+    batches = {"insert": inserts(old), "revise": revisions(old.where(third), new), "delete": deletes(current), "restore": inserts(current)}
     for name, changes in [*batches.items(), *batches.items()]:
         rollup.commit(name, changes)
     return rollup.totals()

@@ -1,0 +1,84 @@
+"""Numbered versions of a folder, each a small JSON file, committed by one writer at a time.
+
+A version is written whole under another name, then renamed to its number by the writer that holds the number's claim: a file
+made by a create that fails where the file is. So a version is either there as a whole or not at all, and of
+two writers one learns that it has to start again from the other's version. A claim whose writer was lost is taken over
+after a wait. Works on every store that Hadoop's file systems reach and whose create without overwrite is atomic.
+"""
+
+from __future__ import annotations
+
+import json
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import SparkSession
+
+#: A claim without its version is taken for a lost writer's after this many seconds.
+PATIENCE = 60.0
+
+
+class Versions:
+    def __init__(self, spark: SparkSession, path: str, patience: float = PATIENCE):
+        self.spark, self.path, self.patience = spark, path.rstrip("/"), patience
+        jvm = spark.sparkContext._jvm
+        self.hadoop_path = jvm.org.apache.hadoop.fs.Path
+        self.fs = self.hadoop_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.hadoop_path(f"{self.path}/{name}")
+
+    def numbers(self) -> list[int]:
+        """Of all versions, ascending."""
+        folder = self.hadoop_path(self.path)
+        names = [s.getPath().getName() for s in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def last(self) -> int:
+        """The last version's number, 0 if there is none."""
+        return max(self.numbers(), default=0)
+
+    def read(self, version: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/{version}.json", wholetext=True).first()[0])
+
+    def _create(self, name: str, content: str) -> bool:
+        try:
+            out = self.fs.create(self._at(name), False)
+        except Py4JJavaError:
+            if self.fs.exists(self._at(name)):
+                return False
+            raise
+        try:
+            out.write(bytearray(content.encode()))
+        finally:
+            out.close()
+        return True
+
+    def _claimed(self, version: int) -> bool:
+        """Whether this writer may commit the version; waits for another that is at it."""
+        name, waited = f"{version}.claim", 0.0
+        while not self._create(name, ""):
+            if self.fs.exists(self._at(f"{version}.json")):
+                return False
+            if waited >= self.patience:
+                self.fs.delete(self._at(name), False)
+            time.sleep(0.2)
+            waited += 0.2
+        return True
+
+    def commit(self, base: int, content: dict) -> bool:
+        """Make content version base + 1; False if there is such a version already."""
+        version, staged = base + 1, f"_{uuid.uuid4().hex}"
+        self.fs.mkdirs(self.hadoop_path(self.path))
+        if not self._claimed(version):
+            return False
+        try:
+            if self.fs.exists(self._at(f"{version}.json")):
+                return False
+            self._create(staged, json.dumps({**content, "version": version}))
+            if not self.fs.rename(self._at(staged), self._at(f"{version}.json")):
+                raise RuntimeError(f"version {version} could not be put in place")
+            return True
+        finally:
+            self.fs.delete(self._at(f"{version}.claim"), False)

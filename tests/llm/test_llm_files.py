@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarryloom.llm import html_text as H, packing as P, sharding as S, token_counts as C, token_files as F, tokens as K, warc as W
+from quarryloom.llm import html_text as H, packing as P, sharding as S, token_counts as C, token_files as F, tokens as K, versions as V, warc as W
 from quarryloom.llm.shared import Scratch
 
 random.seed(4)
@@ -125,22 +125,81 @@ def test_shards_compact_and_keep_every_row(spark, tmp_path):
     for k in range(8):
         shards.append(spark.createDataFrame(rows[k * 30 : k * 30 + 60], "doc_id long, text string").coalesce(1))
         shards.compact()
-        tiers = [S.tier(s["bytes"], 1500, 20_000, 3) for s in shards.manifest()]
+        tiers = [S.tier(s["bytes"], 1500, 20_000, 3) for s in shards.manifest()["shards"]]
         assert all(tiers.count(t) < 3 for t in set(tiers) if t is not None)
     expected = sorted(str(r) for k in range(8) for r in rows[k * 30 : k * 30 + 60])
     assert sorted(str(tuple(r)) for r in shards.read().collect()) == expected
-    version, old = shards.version(), shards.read(2).count()
+    old = shards.read(2).count()
     assert old == 120 or old == 60
-    with pytest.raises(RuntimeError):
-        shards._commit([], version - 1)
     assert shards.vacuum() > 0 and shards.read().count() == len(expected)
 
 
+def test_compaction_ends_when_the_writer_makes_more_files(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "20")
+    try:
+        shards = S.ShardSet(spark, f"file://{tmp_path}/s")
+        shards.append(spark.range(300).selectExpr("id as doc_id", "cast(id as string) as text").coalesce(1))
+        assert len(shards.manifest()["shards"]) == 15
+        assert shards.compact() == 2 and all(s["sealed"] for s in shards.manifest()["shards"])
+        assert shards.compact() == 2 and shards.read().count() == 300
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_sharded_edges(spark):
+    kind = "doc_id long, text string, shard string, name int, bytes long, rows long, path string"
+    assert S.sharded(spark.createDataFrame([], kind)).count() == 0
+    rows = [(None, "no id", "a", 1, 2, 3, "p"), (1, None, None, None, None, None, None), (1, "", "b", 1, 1, 1, "q"), (1, "", "b", 1, 1, 1, "q"), (-(2**62), "low", "c", 0, 0, 0, ""), (2**62, "é" * 400_000, "d", 0, 0, 0, "")]
+    df = spark.createDataFrame(rows, kind)
+    sha = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+    got = sorted(str((r.doc_id, r.text_bytes, r.text_sha256)) for r in S.sharded(df).collect())
+    assert got == sorted(str((i, None if t is None else len(t.encode()), sha(t))) for i, t, *_ in rows)
+
+
+def test_appends_of_two_writers_and_new_columns(spark, tmp_path):
+    one, other = (S.ShardSet(spark, f"file://{tmp_path}/s") for _ in range(2))
+    one.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    commit = one.versions.commit
+
+    def late(base, content):  # the other commits in between
+        one.versions.commit = commit
+        other.append(spark.createDataFrame([(2, "b", "x")], "doc_id long, text string, extra string"))
+        return commit(base, content)
+
+    one.versions.commit = late
+    assert one.append(spark.createDataFrame([(3, "c")], "doc_id long, text string")) == 3
+    assert sorted(tuple(r) for r in one.read().collect()) == [(1, "a", None), (2, "b", "x"), (3, "c", None)]
+
+
+def test_a_lost_writers_claim_is_taken_over(spark, tmp_path):
+    versions = V.Versions(spark, f"file://{tmp_path}/v", patience=0.3)
+    assert versions.commit(0, {"a": 1}) and not versions.commit(0, {"a": 2})
+    versions._create("2.claim", "")
+    assert versions.commit(1, {"a": 3}) and versions.read(2)["a"] == 3 and versions.numbers() == [1, 2]
+
+
+DELTAS = [(i, ("a b c. Über " * (i + 1)) if i % 2 else None, "s" if i % 3 else None, "en") for i in range(12)]
+
+
+def counted(rows, tokenizer):
+    """Totals by brute force."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, out = Tokenizer.from_file(public_tokenizers.path(C.TOKENIZERS[tokenizer])), {}
+    for _, text, source, lang in rows:
+        had = out.setdefault((source, lang, tokenizer), [0, 0, 0])
+        for k, n in enumerate((1, len(t.encode(text or "", add_special_tokens=False).ids), len(text or ""))):
+            had[k] += n
+    return {(*k, *v) for k, v in out.items()}
+
+
 def test_rollups_are_idempotent(spark, tmp_path):
-    data = spark.createDataFrame([(i, "a b c." if i % 2 else None, "s" if i % 3 else None, "en") for i in range(12)], "doc_id long, text string, source string, lang string")
+    data = spark.createDataFrame(DELTAS, "doc_id long, text string, source string, lang string")
     roll = C.Rollup(spark, f"file://{tmp_path}/r")
-    rows = C.measured(data, "spaced-1")
+    rows = C.measured(data, "byte_bpe_50k")
     assert roll.commit("one", C.inserts(rows)) == 1 and roll.commit("one", C.inserts(rows)) == 1
+    assert {tuple(r) for r in roll.totals().collect()} == counted(DELTAS, "byte_bpe_50k")
     before = sorted(map(str, roll.totals().collect()))
     roll.commit("gone", C.deletes(rows.where("doc_id < 6")))
     roll.commit("back", C.inserts(rows.where("doc_id < 6")))
@@ -150,6 +209,34 @@ def test_rollups_are_idempotent(spark, tmp_path):
     assert roll.totals().count() == 0 and roll.totals(1).count() == 2
 
 
+def test_no_batch_of_two_writers_is_lost(spark, tmp_path):
+    rows = C.measured(spark.createDataFrame(DELTAS, "doc_id long, text string, source string, lang string"), "byte_bpe_50k")
+    one, other = (C.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    one.commit("a", C.inserts(rows))
+    commit = one.versions.commit
+
+    def late(base, content):
+        one.versions.commit = commit
+        assert other.commit("b", C.inserts(rows)) == 2
+        return commit(base, content)
+
+    one.versions.commit = late
+    assert one.commit("c", C.inserts(rows)) == 3
+    assert one.totals().agg({"n_docs": "sum"}).first()[0] == 36 and one.holds("b") == 2
+    one.versions.commit = lambda base, content: other.commit("d", C.deletes(rows)) and False  # the same batch, sent twice at once
+    assert one.commit("d", C.deletes(rows)) == 4
+    assert other.totals().agg({"n_docs": "sum"}).first()[0] == 24
+
+
+def test_maintained_counts_every_document(spark):
+    rows = [(*r, 5) for r in [*DELTAS, (None, "no id", "s", None), (7, "again", "s", "en"), (21, "x " * 50_000, "s", "en")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, sign int")
+    third = [r[:4] for r in rows if r[0] is not None and r[0] % 3 == 0]
+    others = [r[:4] for r in rows if r[0] is None or r[0] % 3]
+    assert {tuple(r) for r in C.maintained(docs).collect()} == counted(others, "byte_bpe_50k") | counted(third, "word_bpe_49k")
+    assert C.maintained(docs.limit(0)).count() == 0
+
+
 def test_page_text(spark):
     page = (
         '<html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy this now.</div>'
