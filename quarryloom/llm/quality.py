@@ -2,23 +2,23 @@
 
 Each rule looks at counts of one document and votes good (1), bad (-1) or abstains (0). The votes of all
 documents are counted by pattern (at most 3**rules rows, whatever the input), and expectation-maximisation
-over those counts estimates each rule's accuracy and the share of good documents without labels. The
-posterior probability of a document's pattern replaces an all-must-pass filter.
+over those counts estimates each rule's accuracies and the share of good documents without labels. The
+posterior probability of a document's pattern replaces an all-must-pass filter: votes of a rule that often goes off on good
+documents weigh little, and many good votes can outweigh them.
 
 Null, empty and blank texts have no words: every rule abstains but the one on length, and the base test
-rejects them. Rows are judged one by one, so ties and repeated rows do not matter. Extra columns are ignored.
+rejects them. Rows are judged one by one, so ties, null ids and repeated rows do not matter. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import small_batches
+from .shared import beside, small_batches
 from .text import SPACED, Words, WordScanner, row_chunks, string_bytes, window_hashes
 
 REPEAT_WINDOW = 8
@@ -122,7 +122,8 @@ def rules() -> dict[str, Column]:
         "capitals": _vote((c("n_letters") > 0) & (c("n_upper") * 5 <= c("n_letters")), c("n_upper") * 2 > c("n_letters")),
         "repeats": _vote(some & (c("n_repeat_words") * 50 <= words), some & (c("n_repeat_words") * 10 > 3 * words)),
         "stutter": _vote(some & (c("n_word_pairs_equal") * 25 <= words), some & (c("n_word_pairs_equal") * 5 > words)),
-        "variety": _vote((words >= 20) & (c("n_distinct_words") * 4 >= words) | (words >= 2000) & (c("n_distinct_words") >= 400), (words >= 20) & (words < 2000) & (c("n_distinct_words") * 8 < words)),
+        # A text's different words grow about as a power of its length, so both bounds do: no length is beyond the rule.
+        "variety": _vote((words >= 20) & (c("n_distinct_words") >= 2 * F.pow(words.cast("double"), 0.6)), (words >= 20) & (c("n_distinct_words") < F.sqrt(words.cast("double")))),
         "letters": _vote((c("word_chars") > 0) & (c("n_letters") * 20 >= 17 * c("word_chars")), (c("word_chars") > 0) & (c("n_letters") * 3 < 2 * c("word_chars"))),
         "lines": _vote(c("n_dup_lines") == 0, c("n_dup_lines") * 12 > words),
         "word_size": _vote(some & (c("word_chars") >= 3 * words) & (c("word_chars") <= 12 * words), (c("word_chars") < 2 * words) | (c("word_chars") > 20 * words)),
@@ -130,82 +131,113 @@ def rules() -> dict[str, Column]:
 
 
 class LabelModel:
-    """A latent class model of the votes: one class of good documents, and one of bad documents for each rule, of the
-    defect that the rule looks for. In each class every rule that votes says bad with its own chance,
-    independently of the other rules; abstaining says nothing. Fitted by expectation-maximisation on counts of patterns.
-
-    Defects seldom come together, so with a single bad class the commonest defect would be all that it learns.
-    Two bounds hold the classes to their meaning: a defect's own rule finds it with a chance of OWN at least (and
-    abstaining or voting good counts against the defect), and a rule that a good document would set off more
-    often than FALSE_ALARM would be no rule. Prior counts keep the estimates defined for empty tables.
+    """A latent class model of the votes: a class of good documents, and one of bad documents for each rule, of the defect that the
+    rule looks for. In each class a rule that votes says bad with its own chance, independently of the others; abstaining says nothing.
+    Shares and chances are fitted by expectation-maximisation on counts of patterns, all of them free.
+
+    Defects seldom come together, so with a single bad class the commonest defect would be all that it learns. But a rule
+    that goes off at random on good documents could then pass for a defect of its own. What tells them apart is whether other rules
+    agree: where documents that a rule votes bad have other bad votes no oftener than those that it votes good, by a Bayes
+    factor of EVIDENCE, the rule gets no class of its own, and its bad votes are false alarms, whose rate is fitted, and weigh accordingly.
+
+    A bad vote never speaks for a document: no defect has a smaller chance of one than good documents have.
+    STRENGTH pseudo-documents at the start's chances keep estimates defined for small and empty tables.
     """
 
-    #: Chances of voting bad at the start: of good documents, of a defect's own rule, of the other rules.
-    GOOD, DEFECT, OTHERS = 0.005, 0.95, 0.05
-    PRIOR, STRENGTH, OWN, FALSE_ALARM = 0.85, 20.0, 0.9, 0.01
+    #: At the start: share of good documents; chances of a bad vote on good documents, by a defect's own rule, by the others.
+    SHARE, GOOD, OWN, OTHERS = 0.85, 0.005, 0.95, 0.05
+    STRENGTH, EVIDENCE = 20.0, 10.0
 
-    def __init__(self, rounds: int = 200, tolerance: float = 1e-9):
-        self.rounds, self.tolerance = rounds, tolerance
-        self.shares, self.chances = np.empty(0), np.empty((0, 0))
+    def __init__(self, rounds: int = 200, tolerance: float = 1e-9, evidence: float = EVIDENCE):
+        self.rounds, self.tolerance, self.evidence = rounds, tolerance, evidence
+        #: The rules that have a class of their own; shares and chances have a row for good documents, then one for each of them.
+        self.defects: list[int] = []
+        self.shares, self.chances = np.ones(1), np.empty((1, 0))
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
-        rules = patterns.shape[1]
-        own = np.arange(rules)
-        start = np.full((rules + 1, rules), self.OTHERS)
+        self.defects = [r for r in range(patterns.shape[1]) if self._unsupported(r, patterns, counts) <= np.log(self.evidence)]
+        self._climb(patterns, counts)
+        return self
+
+    def _unsupported(self, rule: int, patterns: np.ndarray, counts: np.ndarray) -> float:
+        """Logarithm of the Bayes factor for other rules not caring about this one's bad votes, against a share of its documents getting
+        another bad vote besides by the chances of the start."""
+        other = np.delete(patterns < 0, rule, axis=1).any(axis=1)
+        said_bad, said_good = patterns[:, rule] < 0, patterns[:, rule] > 0
+        n, k = counts[said_bad].sum(), counts[said_bad & other].sum()
+        usual = (counts[said_good & other].sum() + 0.5) / (counts[said_good].sum() + 1)
+        share = 1 - (1 - self.OTHERS) ** (patterns.shape[1] - 1)
+        q = (np.arange(400) + 0.5) / 400
+        prior = (share * self.STRENGTH - 1) * np.log(q) + ((1 - share) * self.STRENGTH - 1) * np.log(1 - q)
+        prior -= np.logaddexp.reduce(prior)
+        p = usual + (1 - usual) * q
+        return float(k * np.log(usual) + (n - k) * np.log(1 - usual) - np.logaddexp.reduce(prior + k * np.log(p) + (n - k) * np.log(1 - p)))
+
+    def _start(self, rules: int) -> np.ndarray:
+        start = np.full((len(self.defects) + 1, rules), self.OTHERS)
         start[0] = self.GOOD
-        start[own + 1, own] = self.DEFECT
-        shares = np.concatenate([[self.PRIOR], np.full(rules, (1 - self.PRIOR) / rules)])
-        self.shares, self.chances = shares, start
+        start[np.arange(1, len(start)), self.defects] = self.OWN
+        return start
+
+    def _climb(self, patterns: np.ndarray, counts: np.ndarray) -> None:
+        """Expectation-maximisation."""
+        start = self.chances = self._start(patterns.shape[1])
+        prior = self.shares = np.array([self.SHARE] + [(1 - self.SHARE) / max(1, len(self.defects))] * len(self.defects))
+        prior = self.shares = prior / prior.sum()
         bad, cast = (patterns < 0).astype(float), (patterns != 0).astype(float)
         for _ in range(self.rounds):
             held = (self.classes(patterns) * counts[:, None]).T
             chances = (held @ bad + self.STRENGTH * start) / (held @ cast + self.STRENGTH)
-            missed = held[own + 1].sum(axis=1) + self.STRENGTH
-            chances[own + 1, own] = np.maximum(((held @ bad)[own + 1, own] + self.STRENGTH * self.DEFECT) / missed, self.OWN)
-            chances[0] = np.minimum(chances[0], self.FALSE_ALARM)
+            chances[1:] = np.maximum(chances[1:], chances[0])
             moved = np.abs(chances - self.chances).max(initial=0)
-            self.chances = np.clip(chances, 1e-6, 1 - 1e-6)
-            self.shares = (held.sum(axis=1) + self.STRENGTH * shares) / (counts.sum() + self.STRENGTH)
+            self.chances, self.shares = chances, (held.sum(axis=1) + self.STRENGTH * prior) / (counts.sum() + self.STRENGTH)
             if moved < self.tolerance:
                 break
-        return self
 
     def accuracies(self) -> np.ndarray:
-        """Of each rule: the probability that it is right about a document, if it votes."""
-        return self.shares[0] * (1 - self.chances[0]) + self.shares[1:] @ self.chances[1:]
+        """Of each rule: the probability that its vote is right, for good votes and for bad ones (two rows)."""
+        good, all_ = self.shares[0] * self.chances[0], self.shares @ self.chances
+        return np.stack([(self.shares[0] - good) / (1 - all_), 1 - good / all_])
 
     def classes(self, patterns: np.ndarray) -> np.ndarray:
         """Probability of each class (a column; the first is good) for documents with these votes."""
-        logs = np.tile(np.log(self.shares), (len(patterns), 1))
-        for rule in range(patterns.shape[1]):
-            votes = patterns[:, rule].astype(int)
-            bad, good = np.log(self.chances[:, rule]), np.log(1 - self.chances[:, rule])
-            none = np.zeros(len(self.shares))
-            none[rule + 1] = good[rule + 1]
-            logs += np.stack([bad, none, good])[votes + 1]
-        logs -= logs.max(axis=1, keepdims=True, initial=-np.inf)
-        odds = np.exp(logs)
+        logs = np.log(self.shares) + (patterns < 0) @ np.log(self.chances).T + (patterns > 0) @ np.log(1 - self.chances).T
+        odds = np.exp(logs - logs.max(axis=1, keepdims=True, initial=-np.inf))
         return odds / odds.sum(axis=1, keepdims=True)
 
+    def p_good(self, patterns: np.ndarray) -> np.ndarray:
+        return self.classes(patterns)[:, 0]
 
-def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """text_stats with every rule's vote, the posterior p_good, base_failed and kept."""
-    stats = text_stats(docs, id_col=id_col, text_col=text_col)
+
+def _voted(stats: DataFrame) -> DataFrame:
+    """Every rule's vote, and all of them as a string of -, 0 and +."""
     votes = rules()
     voted = stats.withColumns({f"vote_{k}": v for k, v in votes.items()})
-    names = [f"vote_{k}" for k in votes]
-    seen = Counter({tuple(r[:-1]): r[-1] for r in voted.groupBy(*names).count().collect()})  # at most 3**rules rows
-    patterns = np.array(list(seen), float).reshape(len(seen), len(names))
-    model = LabelModel().fit(patterns, np.array(list(seen.values()), float))
-    p_good = {"".join("-0+"[int(v) + 1] for v in p): float(q) for p, q in zip(patterns, model.classes(patterns)[:, 0], strict=True)}
-    found = docs.sparkSession.createDataFrame(list(p_good.items()), "votes string, p_good double")
-    voted = voted.withColumn("votes", F.concat(*(F.when(F.col(n) < 0, "-").when(F.col(n) > 0, "+").otherwise("0") for n in names)))
+    return voted.withColumn("votes", F.concat(*(F.when(F.col(f"vote_{k}") < 0, "-").when(F.col(f"vote_{k}") > 0, "+").otherwise("0") for k in votes)))
+
+
+def _posteriors(voted: DataFrame) -> DataFrame:
+    """(votes, p_good) of every pattern there is, by a model fitted to all documents."""
+    seen = dict(voted.groupBy("votes").count().collect())  # at most 3**rules rows
+    patterns = np.array([["-0+".index(v) - 1 for v in p] for p in seen], float).reshape(len(seen), len(rules()))
+    good = LabelModel().fit(patterns, np.array(list(seen.values()), float)).p_good(patterns)
+    return voted.sparkSession.createDataFrame([(p, float(g)) for p, g in zip(seen, good, strict=True)], "votes string, p_good double")
+
+
+def _verdicts(voted: DataFrame, posteriors: DataFrame, threshold: float) -> DataFrame:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     # The table of patterns is bounded (3**rules rows at most), so each task can have it whole.
-    return voted.join(F.broadcast(found), "votes").withColumn("base_failed", base).withColumn("kept", ~base & (F.col("p_good") >= threshold))
+    return voted.join(F.broadcast(posteriors), "votes").withColumn("base_failed", base).withColumn("kept", ~base & (F.col("p_good") >= threshold))
+
+
+def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """text_stats with every rule's vote, the posterior p_good, base_failed and kept."""
+    voted = _voted(text_stats(docs, id_col=id_col, text_col=text_col))
+    return _verdicts(voted, _posteriors(voted), threshold)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the verdict keeps, with their own columns."""
-    kept = judged(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept_id"), "left_semi")
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that the verdict keeps, with their own columns. Each row is judged where it is read, whatever its id."""
+    posteriors = _posteriors(_voted(text_stats(docs)))
+    own = beside(docs, _stats, STATS)
+    return _verdicts(_voted(own), posteriors, threshold).where("kept").select("row.*")

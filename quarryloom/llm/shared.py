@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def beside(docs: DataFrame, make: Callable[[Batches], Batches], schema: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What make finds of (id, text), a row for each in their order, beside each document's own columns in the struct `row`.
+
+    A verdict can so be taken in the task that holds the document: no join back, no shuffle of texts, and rows with null or
+    repeated ids are judged each by itself.
+    """
+    small_batches(docs.sparkSession)
+    names = docs.columns
+    at_id, at_text = names.index(id_col), names.index(text_col)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            rows, done = batch.column(0), 0
+            own = pa.RecordBatch.from_arrays([rows.field(at_id), rows.field(at_text)], names=["id", "text"])
+            for found in make(iter([own])):
+                yield pa.RecordBatch.from_arrays([*found.columns, rows.slice(done, found.num_rows)], names=[*found.schema.names, "row"])
+                done += found.num_rows
+
+    kind = StructType([*StructType.fromDDL(schema).fields]).add("row", docs.schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, kind)
+
+
 class Scratch:
     """Tables of one run in the shared folder. Written tables cut lineage: a lost executor costs no recomputation of them.
 
