@@ -1,18 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses, and each word of a clause becomes a symbol: INSULT, THREAT, TARGET,
-NEGATION, REPORT or PLAIN. Four small transducers (insult, threat, negation, reported speech) are composed into one machine
-over these symbols. Reading a clause, it pays the weight of each pattern that it completes: an insult, an insult
-beside a target, a threat at a target; a negation or a verb of report shortly before discounts what follows in the
-clause. A document's score is a logistic function of its matched clauses' weights, not of isolated words.
+A text is cut into clauses, and each word of a clause becomes a symbol: INSULT, THREAT, TARGET, NEGATION, REPORT or PLAIN. Five
+transducers stand in a row, each reading what the one before it writes: the target transducer finds out which insults and threats
+are aimed at somebody; the insult and the threat transducer pay for what is aimed, called out or repeated; the negation
+transducer discounts what is paid within three words of a negation, and the report transducer what is
+paid after a verb of report. They are composed into one machine beforehand. An insult word by itself pays next to nothing; a
+document's score is a logistic function of its matched clauses' weights.
 
 Which words are insults is learned: labelled texts are counted by word and by word beginning, and those with
 enough evidence become arcs of the insult transducer; copies of a text count once. Small closed classes (targets, negations, verbs of
 report, threats) are fixed values. The fit takes at most MAX_LABELLED labelled texts, chosen by a hash of
 their text's id, whatever the size of the corpus.
 
-Null, empty and blank texts have no clauses and get the score of a text without evidence, below 0.5.
-Repeated rows get equal scores. Without labels, or with labels of one kind only, the seed words alone are the
+Null, empty and blank texts have no clauses and get the score of a text without evidence, below 0.5. A score of exactly 0.5
+is predicted toxic. Repeated rows get equal scores; null ids are scored like others. Without labels, or with labels of one kind only, the seed words alone are the
 grammar. Columns other than those named are ignored.
 """
 
@@ -20,14 +21,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import small_batches
+from .shared import beside, small_batches
 
 MAX_LABELLED = 20_000
 #: Word beginnings of these many letters can be arcs.
@@ -37,60 +38,100 @@ STEMS = range(4, 8)
 SEED_INSULTS = frozenset("idiot moron loser scum trash clown pathetic worthless disgusting stupid dumb fool imbecile jerk".split())
 THREATS = frozenset("kill hurt destroy punch stab shoot burn beat strangle töten schlagen tuer frapper matar golpear".split())
 TARGETS = frozenset("you your yours u he she they them him her people du ihr sie dich euch tu vous toi te ils usted tú ellos ustedes".split())
-NEGATIONS = frozenset("not no never isnt aint dont kein keine nicht nie pas jamais nunca ningún".split())
+NEGATIONS = frozenset("not no never none nobody cannot isnt arent wasnt aint dont doesnt didnt wont kein keine keinen keiner nicht nie niemals pas jamais nunca ningún".split())
 REPORTS = frozenset("said says called quoted wrote reported claims sagte nannte schrieb dit écrit appelé dijo llamó escribió".split())
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 INSULT, THREAT, TARGET, NEGATION, REPORT, PLAIN = range(6)
-SYMBOLS = ("insult", "threat", "target", "negation", "report", "plain")
+#: Written by the target transducer besides: an insult after its target; a target after an insult, after a threat. PAY ends in the score.
+AIMED, AIMS_INSULT, AIMS_THREAT, PAY = range(6, 10)
 
 
-@dataclass(frozen=True)
-class Transducer:
-    """States 0..n-1 from 0; arcs (state, symbol) -> (state, weight); other symbols lead to the default state for nothing."""
+#: Words that may stand between a target and an insult after it; an insult and a target after it; a threat and its target.
+TO_INSULT, FROM_INSULT, TO_TARGET = 3, 1, 2
+#: How many words a negation governs.
+SCOPE = 3
+#: Weights: an insult after its target, a target after an insult, an insult that begins its clause, one that follows another
+#: in its clause, one by itself; a threat at a target; factors of what is negated and what is reported.
+W_AIMED, W_AIMS, W_CALLED, W_REPEATED, W_ALONE, W_THREAT = 1.5, 1.0, 1.0, 1.0, 0.25, 1.5
+NEGATED, REPORTED = 0.5, 0.6
 
-    arcs: dict[tuple[int, int], tuple[int, float]]
-    default: dict[int, int] = field(default_factory=dict)
+State = tuple
+#: A transducer: (state, symbol read) to (next state, symbol written, weight); () is the first state. States are finite by construction.
+Transducer = Callable[[State, int], tuple[State, int, float]]
 
-    def step(self, state: int, symbol: int) -> tuple[int, float]:
-        return self.arcs.get((state, symbol), (self.default.get(state, 0), 0.0))
 
+def target(state: State, symbol: int) -> tuple[State, int, float]:
+    """State: what was last seen (a target, an insult or a threat) and how many words ago, as long as it can still matter."""
+    seen, ago = state or (PLAIN, 0)
+    if symbol == TARGET:
+        if seen == INSULT and ago <= FROM_INSULT:
+            return (TARGET, 0), AIMS_INSULT, 1.0
+        return (TARGET, 0), AIMS_THREAT if seen == THREAT and ago <= TO_TARGET else TARGET, 1.0
+    if symbol == INSULT:
+        return (INSULT, 0), AIMED if seen == TARGET and ago <= TO_INSULT else INSULT, 1.0
+    if symbol == THREAT:
+        return (THREAT, 0), THREAT, 1.0
+    ago += 1
+    return ((seen, ago) if seen != PLAIN and ago <= TO_INSULT else (PLAIN, 0)), symbol, 1.0
 
-#: An insult pays at once, and more beside a target (one plain word may stand between).
-INSULTS = Transducer(
-    {(0, INSULT): (2, 1.0), (0, TARGET): (1, 0.0), (1, INSULT): (2, 1.5), (1, TARGET): (1, 0.0), (1, PLAIN): (3, 0.0), (3, INSULT): (2, 1.5), (3, TARGET): (1, 0.0), (2, INSULT): (2, 1.0), (2, TARGET): (1, 0.5), (2, PLAIN): (4, 0.0), (4, TARGET): (1, 0.5), (4, INSULT): (2, 1.0)},
-)
-#: A threat pays only at a target within two words.
-THREATENING = Transducer({(0, THREAT): (1, 0.0), (1, TARGET): (0, 1.5), (1, PLAIN): (2, 0.0), (2, TARGET): (0, 1.5), (1, THREAT): (1, 0.0), (2, THREAT): (1, 0.0)})
-#: Discounts: the state is how many words a negation, or any distance a report, still governs.
-NEGATED = Transducer({(0, NEGATION): (3, 0.0), (1, NEGATION): (3, 0.0), (2, NEGATION): (3, 0.0), (3, NEGATION): (3, 0.0)}, {3: 2, 2: 1, 1: 0})
-REPORTED = Transducer({(0, REPORT): (1, 0.0)}, {1: 1})
-DISCOUNT_NEGATED, DISCOUNT_REPORTED = 0.5, 0.6
 
+def insult(state: State, symbol: int) -> tuple[State, int, float]:
+    """State: whether the clause has begun, and whether it has had an insult."""
+    begun, had = state or (False, False)
+    if symbol == AIMED:
+        return (True, True), PAY, W_AIMED
+    if symbol == AIMS_INSULT:
+        return (True, had), PAY, W_AIMS
+    if symbol == INSULT:
+        return (True, True), PAY, W_REPEATED if had else W_ALONE if begun else W_CALLED
+    return (True, had), symbol, 1.0
 
-class Machine:
-    """The composition: one state for each reachable combination of the four, with the arcs' weights multiplied out."""
 
-    def __init__(self) -> None:
-        parts = (INSULTS, THREATENING, NEGATED, REPORTED)
-        number = {(0, 0, 0, 0): 0}
-        todo, self.next, self.weight = [(0, 0, 0, 0)], [], []
+def threat(state: State, symbol: int) -> tuple[State, int, float]:
+    return (), *((PAY, W_THREAT) if symbol == AIMS_THREAT else (symbol, 1.0))
+
+
+def negation(state: State, symbol: int) -> tuple[State, int, float]:
+    """State: how many words are still governed."""
+    left = state[0] if state else 0
+    if symbol == NEGATION:
+        return (SCOPE,), symbol, 1.0
+    return (max(left - 1, 0),), symbol, NEGATED if left and symbol == PAY else 1.0
+
+
+def report(state: State, symbol: int) -> tuple[State, int, float]:
+    """State: whether a verb of report came before."""
+    told = bool(state and state[0])
+    return (told or symbol == REPORT,), symbol, REPORTED if told and symbol == PAY else 1.0
+
+
+GRAMMAR: tuple[Transducer, ...] = (target, insult, threat, negation, report)
+
+
+class Machine:
+    """The transducers composed: a state for each combination of theirs that can be reached, an arc for each symbol of a
+    clause; an arc weighs the product of theirs if PAY is what the last one writes, else nothing."""
+
+    def __init__(self, grammar: tuple[Transducer, ...] = GRAMMAR) -> None:
+        start: tuple[State, ...] = ((),) * len(grammar)
+        number, todo = {start: 0}, [start]
+        self.next: list[list[int]] = []
+        self.weight: list[list[float]] = []
         while len(self.next) < len(todo):
-            state = todo[len(self.next)]
+            states = todo[len(self.next)]
             targets, weights = [], []
-            for symbol in range(len(SYMBOLS)):
-                steps = [t.step(s, symbol) for t, s in zip(parts, state, strict=True)]
-                after = tuple(s for s, _ in steps)
-                if after not in number:
-                    number[after] = len(todo)
-                    todo.append(after)
-                weight = steps[0][1] + steps[1][1]
-                if state[2]:
-                    weight *= DISCOUNT_NEGATED
-                if state[3]:
-                    weight *= DISCOUNT_REPORTED
-                targets.append(number[after])
-                weights.append(weight)
+            for read in range(PLAIN + 1):
+                after, symbol, weight = [], read, 1.0
+                for transducer, state in zip(grammar, states, strict=True):
+                    state, symbol, factor = transducer(state, symbol)
+                    after.append(state)
+                    weight *= factor
+                if tuple(after) not in number:
+                    number[tuple(after)] = len(todo)
+                    todo.append(tuple(after))
+                targets.append(number[tuple(after)])
+                weights.append(weight if symbol == PAY else 0.0)
             self.next.append(targets)
             self.weight.append(weights)
 
@@ -102,6 +143,10 @@ class Machine:
         return total
 
 
+#: States, weights and links do not depend on what is learned.
+MACHINE = Machine()
+
+
 @dataclass
 class Grammar:
     """Learned arcs, and the weights of the logistic function of a document's three figures."""
@@ -111,7 +156,7 @@ class Grammar:
     weights: tuple[float, float] = (-2.0, 2.0)
 
     def __post_init__(self) -> None:
-        self.machine = Machine()
+        self.machine = MACHINE
         self._seen: dict[str, tuple[int, float]] = {}
 
     def symbol(self, word: str) -> tuple[int, float]:
@@ -123,6 +168,8 @@ class Grammar:
             weight = max(weight, self.stems.get(word[:n], 0.0))
         if weight > 0:
             return INSULT, weight
+        if word.endswith("n't"):
+            return NEGATION, 1.0
         for symbol, members in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             if word in members:
                 return symbol, 1.0
@@ -144,7 +191,7 @@ class Grammar:
         """The heaviest clause, the logarithm of one plus all clauses' weights, and of one plus how many matched."""
         if not text:
             return 0.0, 0.0, 0.0
-        words = WORD.findall(text.lower())
+        words = WORD.findall(text.lower().replace("’", "'"))
         classes = self.classes(words)
         paying = [i for i, (s, _) in enumerate(classes) if s == INSULT or s == THREAT]
         most = total = 0.0
@@ -246,18 +293,17 @@ def _holding(batches: Iterator[pa.RecordBatch], candidates: dict[str, int]) -> I
 def _explaining(texts: list[list[int]], odds: np.ndarray, least: float) -> list[int]:
     """Candidates, chosen greedily: each explains most of what is left of the toxic texts. A text counts for less with each
     arc that it has, so the words that happen to be shared by a family of similar toxic texts are not chosen."""
-    has = np.zeros((len(texts), len(odds)), bool)
-    for i, held in enumerate(texts):
-        has[i, held] = True
-    left, chosen = np.ones(len(texts)), []
-    while len(odds):
-        gain = left @ has
+    sizes = [len(held) for held in texts]
+    row, arc = np.repeat(np.arange(len(texts)), sizes), np.fromiter((i for held in texts for i in held), np.int64, sum(sizes))
+    left, open_, chosen = np.ones(len(texts)), np.ones(len(odds), bool), []
+    while open_.any():
+        gain = np.bincount(arc, left[row], len(odds)) * open_
         i = int((gain * odds).argmax())
         if gain[i] < least:
             break
         chosen.append(i)
-        left[has[:, i]] *= 0.4
-        has[:, i] = False
+        left[row[arc == i]] *= 0.4
+        open_[i] = False
     return chosen
 
 
@@ -311,9 +357,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     return learn(docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("text", "toxic", "pick"))
 
 
+SCORES = "doc_id long, score double, heaviest_clause double, n_clauses long"
+
+
 def scores(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, score, heaviest_clause and n_clauses of every document."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _scored(batches, grammar), "doc_id long, score double, heaviest_clause double, n_clauses long")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _scored(batches, grammar), SCORES)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -322,7 +372,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_clauses")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns."""
-    fine = scores(docs, fit(docs, labels)).where("score < 0.5").select(F.col("doc_id").alias("_fine_id"))
-    return docs.join(fine, docs["doc_id"].cast("long") == F.col("_fine_id"), "left_semi")
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that are not predicted toxic, with their own columns. Each row is judged where it is read, whatever its id."""
+    grammar = fit(docs, labels)
+    return beside(docs, lambda batches: _scored(batches, grammar), SCORES).where(F.col("score") < threshold).select("row.*")
