@@ -70,42 +70,53 @@ def best_fit(lengths: np.ndarray, room: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Exchanges between bins. What a bin can take in exchange (nothing, one of its pieces, two) is a row of arrays: the
-    bin, the pieces and their length; rows of a bin that has changed are dropped and written anew."""
+    """Exchanges between bins, by lengths: pieces of equal length are alike. What a bin can give back (nothing, one of its lengths,
+    two) is a row of arrays: the bin, the two lengths and their sum; rows of a bin that has changed are dropped and written anew.
+    A bin's different lengths add up to its room at most, so they are few (63 at 2,048) however many pieces it holds."""
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], room: int):
-        self.lengths, self.bins, self.room = lengths.astype(np.int64), bins, room
-        self.fill = np.array([int(self.lengths[b].sum()) for b in bins], np.int64)
+        self.room = room
+        self.held: list[dict[int, list[int]]] = []
+        for members in bins:
+            mine: dict[int, list[int]] = {}
+            for i in members:
+                mine.setdefault(int(lengths[i]), []).append(i)
+            self.held.append(mine)
+        self.fill = np.array([int(lengths[b].sum()) for b in bins], np.int64)
         self.rows = np.empty((0, 4), np.int64)
         self.live = np.empty(0, bool)
         self.n = 0
         self._add(range(len(bins)))
 
-    def _choices(self, b: int) -> list[tuple[int, int, int, int]]:
-        held = self.bins[b]
-        size = self.lengths[held].tolist()
-        out = [(b, -1, -1, 0)] + [(b, i, -1, n) for i, n in zip(held, size, strict=True)]
-        return out + [(b, held[x], held[y], size[x] + size[y]) for x in range(len(held)) for y in range(x + 1, len(held))]
+    def _choices(self, b: int) -> np.ndarray:
+        mine = self.held[b]
+        sizes = np.array(sorted(mine), np.int64)
+        x, y = np.triu_indices(len(sizes))
+        two = (x != y) | np.array([len(mine[n]) > 1 for n in sizes.tolist()], bool)[x]
+        x, y = sizes[x[two]], sizes[y[two]]
+        first, second = np.concatenate([[0], sizes, x]), np.concatenate([np.zeros(len(sizes) + 1, np.int64), y])
+        return np.stack([np.full(len(first), b), first, second, first + second], axis=1)
 
     def _add(self, which) -> None:
-        new = [c for b in which if 0 < self.fill[b] < self.room for c in self._choices(b)]
+        new = [self._choices(b) for b in which if 0 < self.fill[b] < self.room]
         if not new:
             return
-        if self.n + len(new) > len(self.rows):
+        added = np.concatenate(new)
+        if self.n + len(added) > len(self.rows):
             kept = self.rows[: self.n][self.live[: self.n]]
-            size = 2 * (len(kept) + len(new)) + 64
+            size = 2 * (len(kept) + len(added)) + 64
             self.rows, self.live, self.n = np.empty((size, 4), np.int64), np.zeros(size, bool), len(kept)
             self.rows[: self.n], self.live[: self.n] = kept, True
-        self.rows[self.n : self.n + len(new)] = new
-        self.live[self.n : self.n + len(new)] = True
-        self.n += len(new)
+        self.rows[self.n : self.n + len(added)] = added
+        self.live[self.n : self.n + len(added)] = True
+        self.n += len(added)
 
     def _drop(self, b: int) -> None:
         self.live[: self.n] &= self.rows[: self.n, 0] != b
 
     def run(self) -> list[list[int]]:
-        least = -(-int(self.lengths.sum()) // self.room)
-        done = np.zeros(len(self.bins), bool)
+        least = -(-int(self.fill.sum()) // self.room)
+        done = np.zeros(len(self.held), bool)
         while (self.fill > 0).sum() > least:
             candidates = np.flatnonzero(~done & (self.fill > 0) & (self.fill < self.room))
             if len(candidates) < 2:
@@ -115,39 +126,58 @@ class LocalSearch:
             if free < self.fill[donor]:
                 break  # what is left elsewhere can't take any bin
             self._drop(donor)
-            while self.bins[donor] and self._improve(donor):
+            while self.held[donor] and self._improve(donor):
                 pass
             self._add([donor])
             done[donor] = True
-        return [b for b in self.bins if b]
+        return [[i for n in sorted(b, reverse=True) for i in b[n]] for b in self.held if b]
 
     def _improve(self, donor: int) -> bool:
-        """The exchange with a bin at least as full that raises the sum of squared fills most."""
+        """The exchange with a bin at least as full that raises the sum of squared fills most.
+
+        A row that gives back m into a gap g takes from m + 1 to m + g; the more the better, so of all that the donor can give
+        the largest up to m + g is looked up: of one piece, or of one or two where the row itself gives back one at most.
+        """
         rows = self.rows[: self.n]
-        use = np.flatnonzero(self.live[: self.n] & (self.fill[rows[:, 0]] >= self.fill[donor]))
-        rows = rows[use]
-        fill = self.fill[rows[:, 0]]
-        gap, two, own, mine = self.room - fill, rows[:, 2] >= 0, int(self.fill[donor]), self.bins[donor]
-        best = None
-        for _, a, b, n in self._choices(donor)[1:]:
-            moved = n - rows[:, 3]
-            # Raises the sum by (fill + moved)^2 + (own - moved)^2 - fill^2 - own^2.
-            gain = np.where((moved > 0) & (moved <= gap) & ~(two & (b >= 0)), moved * (fill - own + moved), 0)
-            k = int(gain.argmax()) if len(gain) else 0
-            if len(gain) and gain[k] > 0 and (best is None or gain[k] > best[0]):
-                best = (int(gain[k]), {a, b}, rows[k].tolist(), int(moved[k]))
-        if best is None:
+        own = int(self.fill[donor])
+        rows = rows[np.flatnonzero(self.live[: self.n] & (self.fill[rows[:, 0]] >= own))]
+        if not len(rows):
+            return False
+        mine = self._choices(donor)[1:]
+        best = np.full((2, self.room + 1), -1, np.int64)  # for each sum: the donor's choice that has it
+        single = np.flatnonzero(mine[:, 2] == 0)
+        best[1, mine[::-1, 3]] = np.arange(len(mine))[::-1]  # of equal sums the first, one piece before two
+        best[0, mine[single, 3]] = single
+        upto = np.maximum.accumulate(np.where(best >= 0, np.arange(self.room + 1), 0), axis=1)
+        fill, back = self.fill[rows[:, 0]], rows[:, 3]
+        two = (rows[:, 2] > 0).astype(np.int64)
+        given = upto[1 - two, np.minimum(back + self.room - fill, self.room)]
+        moved = given - back
+        # Raises the sum by (fill + moved)^2 + (own - moved)^2 - fill^2 - own^2.
+        gain = np.where(moved > 0, moved * (fill - own + moved), 0)
+        k = int(gain.argmax())
+        if gain[k] <= 0:
             return False
-        _, give, (other, x, y, _), moved = best
-        take = [i for i in (x, y) if i >= 0]
-        self.bins[other] = [i for i in self.bins[other] if i not in take] + [i for i in mine if i in give]
-        self.bins[donor] = [i for i in mine if i not in give] + take
-        self.fill[donor] -= moved
-        self.fill[other] += moved
+        other, x, y, _ = rows[k].tolist()
+        _, a, b, _ = mine[best[1 - two[k], given[k]]].tolist()
+        taken, sent = ([self._take(where, n) for n in lengths if n] for where, lengths in ((other, (x, y)), (donor, (a, b))))
+        for where, pieces in ((donor, taken), (other, sent)):
+            for n, i in pieces:
+                self.held[where].setdefault(n, []).append(i)
+        self.fill[donor] -= moved[k]
+        self.fill[other] += moved[k]
         self._drop(other)
         self._add([other])
         return True
 
+    def _take(self, b: int, n: int) -> tuple[int, int]:
+        """A piece of this length out of a bin."""
+        pieces = self.held[b][n]
+        i = pieces.pop()
+        if not pieces:
+            del self.held[b][n]
+        return n, i
+
 
 def pack(lengths: np.ndarray, room: int = LENGTH) -> list[list[int]]:
     return LocalSearch(lengths, best_fit(lengths, room), room).run()
