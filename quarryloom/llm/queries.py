@@ -44,7 +44,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontamination.with_digest(found).drop("longest_match", "match_at")
+    return decontamination.with_digest(found).drop("longest_match", "match_at", "match_item", "match_item_at")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
