@@ -4,10 +4,11 @@ Documents in ascending order of their ids are encoded, each with an end id, and
 holds whole documents; its ids are cut into blocks of BLOCK. Of each block the minimum is subtracted, the width
 is chosen so that PERCENTILE of its values fit, and the high bits of the others go to an exception list; the
 starts of all blocks are indexed, so that any range of ids can be read without the rest. Files are written by
-Spark (one for each partition, in order), so they can be in any store and are committed as a whole; a byte that
-ends the writer's record follows each frame.
+Spark, in order, so they can be in any store and are committed as a whole; a byte that ends the writer's record follows
+each frame. A file holds FILE_FRAMES frames at most, each of about a megabyte (a longer document makes a longer
+frame), so files stay small however large a partition is.
 
-Null and empty texts have the end id alone. Duplicate ids keep every row, in the order of their texts.
+Null and empty texts have the end id alone. Duplicate ids keep every row, in the order of their texts; null ids come first.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .tokens import default_path, encoder
 
 BLOCK, LANES = 1024, 32
 PERCENTILE = 0.95
+FILE_FRAMES = 64
 _HEAD = struct.Struct("<4sIIIQQ")
 _MAGIC = b"QPF1"
 
@@ -147,7 +149,7 @@ def _framed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def write_token_files(docs: DataFrame, where: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> None:
     path = tokenizer or default_path()
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lambda batches: _framed(batches, path), "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(where)
+    ordered.mapInArrow(lambda batches: _framed(batches, path), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_FRAMES).text(where)
 
 
 def _unframed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +175,9 @@ def read_token_files(spark: SparkSession, where: str, scratch: Scratch) -> DataF
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(where).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     rows = scratch.table(files.mapInArrow(_unframed, "file string, frame int, doc_id long, within long, n_tokens long, ids_crc32 long"), "read")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))  # a row for each file
-    base = F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Names are part-<partition>-<job>-c<file of the partition>: numbers, so that part-100000 comes after part-99999.
+    partition, number = (F.regexp_extract("file", pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)"))
+    base = F.coalesce(F.sum("total").over(Window.orderBy(partition, number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(totals.select("file", base.alias("base")), "file").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "file", "frame")
 
 
