@@ -1,13 +1,13 @@
 """WARC archives compressed record by record with a shared Zstandard dictionary.
 
-A dictionary is trained on a bounded sample of payloads. Every archive file begins with a skippable frame that holds it;
+A dictionary is trained on a bounded sample of records, headers and all. Every archive file begins with a skippable frame that holds it;
 each record is a Zstandard frame of its own, so any record can be read by its offset with the file's first frame
-alone. Files are written by Spark, one for each partition; the separator that its text writer puts after each value is
-itself an empty skippable frame, so a file is a plain sequence of frames in any store.
+alone. Files are written by Spark, of FILE_VALUES values of about VALUE_BYTES each at most (a larger page makes a larger value); the separator
+that its text writer puts after each value is itself an empty skippable frame, so a file is a plain sequence of frames in any store.
 
 Of records with equal payloads of MIN_REVISIT bytes or more, the one with the smallest id is the response and the
 others revisit it, with no payload of their own. Null html is an empty payload; null urls are written as an empty
-target. Very long pages are single records. Columns other than the three are ignored.
+target. Very long pages are single records. Rows that share an id keep a record each. Columns other than the three are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from .shared import Scratch
 MIN_REVISIT = 100
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
-#: The dictionary is trained on this many different payloads at most, those whose digests are smallest, and as many characters of each.
+#: Of a file.
+FILE_VALUES, VALUE_BYTES = 64, 1 << 20
+#: The dictionary is trained on records of this many different payloads at most, those whose digests are smallest, and as many characters of each.
 SAMPLE_RECORDS, SAMPLE_BYTES = 400, 16 << 10
 #: Fixed values of the formats: magic numbers of skippable frames (of the dictionary, of separators), WARC's line end.
 DICTIONARY_MAGIC, SEPARATOR = 0x184D2A5D, "P*M\x18\0\0\0\0"
@@ -41,8 +43,9 @@ def train(pages: DataFrame) -> bytes:
 
     firsts = pages.where("payload_bytes > 0").groupBy("payload_digest").agg(F.min("page_id").alias("page_id"))
     chosen = {r[0] for r in firsts.orderBy("payload_digest").limit(SAMPLE_RECORDS).select("page_id").collect()}
-    rows = pages.where(F.col("page_id").isin(chosen)).select("payload_digest", F.substring("html", 1, SAMPLE_BYTES)).dropDuplicates(["payload_digest"]).collect() if chosen else []
-    samples = [r[1].encode() for r in sorted(rows)]
+    own = pages.where(F.col("page_id").isin(chosen)).dropDuplicates(["payload_digest"]) if chosen else pages.limit(0)
+    rows = own.select("payload_digest", "page_id", "url", F.substring("html", 1, SAMPLE_BYTES)).collect()
+    samples = [record(page, url, html.encode(), digest, None) for digest, page, url, html in sorted(rows, key=lambda r: r[0])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
@@ -61,33 +64,44 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
     return "\r\n".join([*headers, f"Content-Length: {len(body)}"]).encode() + END + END + body + END + END
 
 
-def _compressed(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
+def _compressed(batches: Iterator[pa.RecordBatch], dictionary: bytes, value_bytes: int, file_values: int) -> Iterator[pa.RecordBatch]:
+    """Values of about value_bytes; each one that begins a file has the dictionary's frame in front."""
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
-    held: list[bytes] = [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary]
-    size = 0
+    head = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
+    held, size, number = [head], 0, 0
+
+    def value() -> pa.RecordBatch:
+        nonlocal held, size, number
+        out = pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+        number += 1
+        held, size = [head] if number % file_values == 0 else [], 0
+        return out
+
     for batch in batches:
         for row in zip(*(c for c in batch.columns), strict=True):
             page_id, url, html, digest, refers_to = (x.as_py() for x in row)
             held.append(packer.compress(record(page_id, url, (html or "").encode(), digest, refers_to)))
             size += len(held[-1])
-            if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
-                held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
+            if size > value_bytes:
+                yield value()
+    if size:
+        yield value()
 
 
-def write_archives(pages: DataFrame, where: str, *, min_revisit: int = MIN_REVISIT) -> None:
+def write_archives(pages: DataFrame, where: str, *, min_revisit: int = MIN_REVISIT, value_bytes: int = VALUE_BYTES, file_values: int = FILE_VALUES) -> None:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha2(payload, 256).alias("payload_digest"), F.length(payload).cast("long").alias("payload_bytes"))
-    first = own.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("held")).where("held > 1").select("payload_digest", "first")
-    refers_to = F.when((F.col("payload_bytes") >= min_revisit) & (F.col("first") != F.col("page_id")), F.col("first"))
-    # Digests that come once need no pointer, so what is joined are the repeated ones alone; Spark chooses how by their size.
-    linked = own.join(first, "payload_digest", "left").select("page_id", "url", "html", "payload_digest", refers_to.alias("refers_to"))
+    # Which pages revisit which is settled without their html; only the pointers are then joined, by the page's own id, so all copies of one
+    # page do not meet in one task with their bodies.
+    short = own.where(F.col("payload_bytes") >= min_revisit).select("page_id", "payload_digest")
+    first = short.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("held")).where("held > 1").drop("held")
+    pointers = short.join(first, "payload_digest").where("refers_to <> page_id").distinct()
+    linked = own.join(pointers, ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "payload_digest", "refers_to")
     dictionary = train(own)
-    linked.mapInArrow(lambda batches: _compressed(batches, dictionary), "value binary").select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).text(where)
+    values = linked.mapInArrow(lambda batches: _compressed(batches, dictionary, value_bytes, file_values), "value binary").select(F.col("value").cast("string"))
+    values.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", file_values).text(where)
 
 
 def _frame_size(data: memoryview, at: int) -> int:
