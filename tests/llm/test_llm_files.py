@@ -56,6 +56,50 @@ def test_token_files(spark, plain):
     assert F.token_files(docs(spark, [])).count() == 0
 
 
+def test_token_files_stay_small_and_in_order(spark, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK_BYTES", 600)
+    monkeypatch.setattr(F, "FILE_FRAMES", 2)
+    whole = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in F.token_files(docs(spark)).collect())
+    monkeypatch.undo()
+    rows = F.token_files(docs(spark)).collect()
+    assert whole == sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows)
+
+
+def test_packing_of_many_equal_short_pieces():
+    for lengths, most in ((np.full(4096, 3), 7), (np.full(4096, 1), 2), (np.tile([1, 2, 3, 5], 1024), 6)):
+        bins = P.pack(lengths)
+        assert len(bins) == most and sorted(i for b in bins for i in b) == list(range(4096)) and max(lengths[b].sum() for b in bins) <= 2048
+
+
+def test_exchange_found_is_the_best_there_is():
+    """Every exchange of up to two pieces for up to two, but not two for two, tried one by one."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        lengths = rng.integers(1, 30, 14)
+        bins, room = P.best_fit(lengths, 40), 40
+        rng.shuffle(bins)
+        search = P.LocalSearch(lengths, bins, room)
+        fills = [int(lengths[b].sum()) for b in bins]
+        donor = int(np.argmin(fills))
+        if fills[donor] == room:
+            continue
+        sets = lambda b: [()] + [(i,) for i in b] + [(i, j) for x, i in enumerate(b) for j in b[x + 1 :]]
+        best = 0
+        for other, b in enumerate(bins):
+            if other == donor or fills[other] == room or fills[other] < fills[donor]:
+                continue
+            for give in sets(bins[donor])[1:]:
+                for take in sets(b):
+                    moved = int(lengths[list(give)].sum() - lengths[list(take)].sum())
+                    if not (len(give) == len(take) == 2) and 0 < moved <= room - fills[other]:
+                        best = max(best, moved * (fills[other] - fills[donor] + moved))
+        before = int((search.fill**2).sum())
+        search._drop(donor)
+        assert search._improve(donor) == (best > 0)
+        assert (int((search.fill**2).sum()) - before) == 2 * best
+        assert sorted(i for mine in search.held for n in mine.values() for i in n) == list(range(14))
+
+
 def test_packing_covers_every_token_once(spark, plain, monkeypatch):
     monkeypatch.setattr(P, "GROUP", 16)
     rows = P.packed(docs(spark), room=64).collect()
@@ -107,6 +151,18 @@ def test_archives(spark, monkeypatch):
     assert W.archived(pages.limit(0)).count() == 0
 
 
+def test_archive_files_stay_small_and_open_by_themselves(spark, tmp_path):
+    rows = [(i, "u", f"<p>{'some words ' * 30}{i // 2}") for i in range(80)] + [(7, "again", "other text " * 20), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").where("page_id is not null")
+    W.write_archives(pages.coalesce(1), f"file://{tmp_path}/w", value_bytes=300, file_values=2)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) > 5
+    got = sorted(int(h["WARC-Page-ID"]) for f in files for _, h, _ in W.read_records(f.read_bytes()))
+    assert got == sorted([*range(80), 7])
+    kinds = {r.page_id: (r.record_type, r.refers_to) for r in W.read_archives(spark, f"file://{tmp_path}/w").collect() if r.page_id != 7}
+    assert all(kinds[i] == (("revisit", i - 1) if i % 2 else ("response", None)) for i in kinds)
+
+
 def test_one_record_by_its_offset(spark, tmp_path):
     import zstandard
 

@@ -120,8 +120,50 @@ def test_contamination_matches_brute_force(spark, block_words):
     found = D.contamination(frame(spark), items, block_words=block_words)
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.with_digest(found).collect()}
     assert got == brute_contamination(ROWS, ITEMS)
-    longest = {r.doc_id: r.longest_match for r in found.collect()}
-    assert max(longest.values()) == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", PASSAGE))
+    longest = {r.doc_id: (r.longest_match, r.match_at, r.match_item, r.match_item_at) for r in found.collect()}
+    for i, text in ROWS:
+        n, at, item, item_at = longest[i]
+        common = {k: brute_longest(latin(text), latin(t), min(10, len(latin(t)))) for k, t in ITEMS if t}
+        assert n == max(common.values()), i
+        if n:
+            assert n == common[item] and latin(text)[at : at + n] == latin(dict(ITEMS)[item])[item_at : item_at + n]
+
+
+def latin(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+
+
+def brute_longest(a, b, least):
+    """Words of the longest run that both have, 0 below least."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a[:3000]:  # the one longer text is a single word repeated
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, max(row))
+    return best if b and best >= least else 0
+
+
+@pytest.mark.parametrize("suffixes, pairs", [(1 << 18, 1 << 20), (40, 8)])
+def test_every_test_suffix_is_searched(spark, monkeypatch, suffixes, pairs):
+    monkeypatch.setattr(D, "SHARD_SUFFIXES", suffixes)
+    monkeypatch.setattr(D, "PAIRS", pairs)
+    part = " ".join(latin(prose(7)))
+    items = [*ITEMS, (50, f"zz1 zz2 {part} zz3"), (51, "zz4 zz5")]
+    rows = [*ROWS, (2000, f"qq {part} qq {prose(20)}"), (None, PASSAGE), (None, PASSAGE)]
+    docs, frame_ = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.item_id: r for r in D.longest_matches(docs, frame_).collect()}
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, latin(t))
+    for item, text in items:
+        w = latin(text)
+        best = max((brute_longest(t, w, min(len(w), D.MIN_MATCH)) for t in texts.values()), default=0) if w else 0
+        assert (got[item].longest_match if item in got else 0) == best, item
+        if best:
+            r = got[item]
+            assert texts[r.doc_id][r.match_at : r.match_at + best] == w[r.item_at : r.item_at + best]
+    assert got[50].longest_match >= 7 and 51 not in got  # shorter than a window
+    found = D.contamination(docs, frame_, block_words=60).where("doc_id is null").collect()
+    assert len(found) == 2 and all(len(r["items"]) == 3 for r in found)
 
 
 def test_contamination_without_items_or_documents(spark):
@@ -161,30 +203,109 @@ def test_quality_counts_and_verdicts(spark):
     assert Q.keep_good(frame(spark, [])).count() == 0
 
 
-def test_label_model_recovers_accuracies():
-    rng = np.random.default_rng(2)
-    votes = np.ones((5000, 3))
-    votes[:300, 0] = np.where(rng.random(300) < 0.95, -1, 1)
-    votes[300:500, 1] = -1
-    votes[500:, 2] = np.where(rng.random(4500) < 0.3, 0, 1)
+def drawn(rng, n, shares, chances, abstain=0.1):
+    """Votes of n documents of a model's classes, and their classes."""
+    kind = rng.choice(len(shares), n, p=shares)
+    votes = np.where(rng.random((n, len(chances[0]))) < np.array(chances)[kind], -1.0, 1.0)
+    votes[rng.random(votes.shape) < abstain] = 0
+    return votes, kind
+
+
+def test_label_model_recovers_shares_and_chances():
+    chances = [[0.01, 0.002, 0.004], [0.95, 0.5, 0.1], [0.1, 0.9, 0.3], [0.05, 0.3, 0.95]]
+    votes, kind = drawn(np.random.default_rng(2), 40_000, [0.85, 0.06, 0.05, 0.04], chances)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = Q.LabelModel(rounds=2000).fit(patterns, counts.astype(float))
+    assert model.defects == [0, 1, 2] and abs(model.shares[0] - 0.85) < 0.02 and np.abs(model.chances[0] - chances[0]).max() < 0.02
+    assert ((model.p_good(votes) >= 0.5) == (kind == 0)).mean() > 0.97
+
+
+def test_label_model_equals_em_over_rows():
+    """The same model, document by document and rule by rule."""
+    rng, M = np.random.default_rng(5), Q.LabelModel
+    rows = [tuple(int(x) for x in r) for r in rng.choice([-1, 0, 1], (300, 3), p=[0.2, 0.2, 0.6])]
+    patterns = sorted(set(rows))
+    model = M(rounds=40, evidence=np.inf).fit(np.array(patterns, float), np.array([rows.count(p) for p in patterns], float))
+    prior = [M.SHARE] + [(1 - M.SHARE) / 3] * 3
+    start = [[M.GOOD] * 3] + [[M.OWN if r == k else M.OTHERS for r in range(3)] for k in range(3)]
+    share, chance = list(prior), [list(c) for c in start]
+
+    def posterior(row):
+        p = list(share)
+        for k in range(4):
+            for r, v in enumerate(row):
+                p[k] *= chance[k][r] if v < 0 else 1 - chance[k][r] if v > 0 else 1
+        return [x / sum(p) for x in p]
+
+    for _ in range(40):
+        held = [posterior(r) for r in rows]
+        chance = [[(sum(h[k] * (row[r] < 0) for h, row in zip(held, rows)) + M.STRENGTH * start[k][r]) / (sum(h[k] * (row[r] != 0) for h, row in zip(held, rows)) + M.STRENGTH) for r in range(3)] for k in range(4)]
+        chance[1:] = [[max(x, y) for x, y in zip(c, chance[0], strict=True)] for c in chance[1:]]
+        share = [(sum(h[k] for h in held) + M.STRENGTH * prior[k]) / (len(rows) + M.STRENGTH) for k in range(4)]
+    assert np.allclose(model.p_good(np.array(patterns, float)), [posterior(p)[0] for p in patterns], atol=1e-6)
+
+
+def test_weak_rules_are_outvoted_and_strong_ones_are_not():
+    chances = [[0.15, 0.002, 0.002, 0.002], [0.15, 0.95, 0.4, 0.1], [0.15, 0.1, 0.4, 0.9]]  # the first rule goes off at random
+    votes, kind = drawn(np.random.default_rng(8), 30_000, [0.9, 0.06, 0.04], chances, 0.0)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     model = Q.LabelModel().fit(patterns, counts.astype(float))
-    good = model.classes(patterns)[:, 0]
-    assert all((g > 0.5) == (p >= 0).all() for g, p in zip(good, patterns, strict=True))
-    assert (model.accuracies() > 0.9).all() and 0.85 < model.shares[0] < 0.95
+    weak, strong, both = model.p_good(np.array([[-1, 1, 1, 1], [1, -1, 1, 1], [-1, 0, 0, -1]], float))
+    assert 0 not in model.defects and weak > 0.9 and strong < 0.5 and both < 0.2
+    good, bad = model.accuracies()
+    assert (bad[[1, 3]] > 0.9).all() and bad[0] < 0.3 and (good > 0.85).all()
+    assert np.isfinite(Q.LabelModel().fit(np.empty((0, 4)), np.empty(0)).p_good(votes[:3])).all()
+
+
+def test_stages_judge_each_row_by_itself(spark):
+    """Null and repeated ids, columns with names of the operators' own; the columns stay as they are."""
+    good, junk = "a plain line of words that goes on for a while " * 1 + " ".join(f"word{chr(97 + i)}" for i in range(26)), "x# y* z% " * 30
+    kind = "row string, p_good double, doc_id long, text string, votes string, _kept_id long, score double, items string, n_words int"
+    rows = [("r", 0.1, i, t, "v", 1, 2.0, "i", 3) for i, t in [(None, good), (None, junk), (7, good), (7, good), (7, junk), (None, None), (8, "")]]
+    docs = spark.createDataFrame(rows, kind)
+    kept = Q.keep_good(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["7", "7", "None"]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert sorted(map(str, T.drop_toxic(docs, labels).collect())) == sorted(map(str, docs.collect()))
+    items = spark.createDataFrame([(1, junk)], "item_id long, text string")
+    clean = D.decontaminate(docs, items)
+    assert clean.columns == docs.columns and clean.count() == 5
+    one = N.keep_one(docs).collect()
+    assert sorted(str(r.doc_id) for r in one) == ["7", "7", "7", "8", "None", "None", "None"]  # an id's rows stay together
 
 
 def test_machine_scores_clauses():
     g = T.Grammar({"idiot": 1.0}, {"lowe": 1.0})
-    one = g.figures("the day was an idiot thing")[0]
-    assert g.figures("you idiot")[0] > one > g.figures("not an idiot thing")[0] > 0
-    assert g.figures("they said he was an idiot")[0] < g.figures("he was an idiot")[0]
-    assert g.figures("not today. idiot")[0] == g.figures("idiot")[0]  # a negation ends with its clause
-    assert g.figures("kill you")[0] > 0 and g.figures("kill time now then you")[0] == 0
-    assert g.figures("loweabc")[0] > 0 and g.figures("low")[0] == 0
+    heavy = lambda text: g.figures(text)[0]
+    alone = heavy("the day was an idiot thing")
+    assert heavy("you idiot") > alone > heavy("not an idiot thing") > 0
+    assert heavy("they said he was an idiot") < heavy("he was an idiot")
+    assert heavy("not today. idiot") == heavy("idiot")  # a negation ends with its clause
+    assert heavy("kill you") > 0 and heavy("kill time now then you") == 0
+    assert heavy("loweabc") > 0 and heavy("low") == 0
+    assert heavy("you aren't an idiot") == heavy("you aren’t an idiot") == heavy("you are not an idiot") == 0.5 * heavy("he was an idiot")
+    assert heavy("don't kill you") == 0.5 * heavy("I will kill you")
+    assert alone == T.W_ALONE and heavy("an idiot and an idiot") == T.W_ALONE + T.W_REPEATED
+    seeded = T.SEEDED
+    assert seeded.score(seeded.figures("the clown at the circus")) < 0.5 <= seeded.score(seeded.figures("he is a clown"))
     assert g.score(g.figures(None)) == g.score(g.figures("plain words")) < 0.5
 
 
+def test_composition_equals_the_transducers_one_after_another():
+    """Every tape is written out whole before the next transducer reads it."""
+    rng = random.Random(11)
+    for _ in range(300):
+        tape = [rng.randrange(T.PLAIN + 1) for _ in range(rng.randint(0, 14))]
+        written, weight = list(tape), [1.0] * len(tape)
+        for transducer in T.GRAMMAR:
+            state = ()
+            for i, symbol in enumerate(written):
+                state, written[i], factor = transducer(state, symbol)
+                weight[i] *= factor
+        expected = sum(w for w, s in zip(weight, written, strict=True) if s == T.PAY)
+        assert T.MACHINE.clause(tape) == pytest.approx(expected)
+
+
 def test_toxicity_learns_from_training_rows_only(spark):
     bad = ["grubw", "zarp"]
     rows = [(i, prose(40) + (f" {random.choice(bad)}{random.randrange(99)}x " if i % 4 == 0 else " ") + prose(20)) for i in range(400)] + [(900, None), (901, "")]
