@@ -35,6 +35,18 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def whole_slope(value: Column | str, n: int) -> Column:
+    """Slope over the last n rows of whole numbers by the row number i, from exact sums, so a true zero is zero and its sign can be
+    trusted; over fewer rows at a symbol's beginning. Null where a row has no value."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("long")
+    frame = last_rows(n)
+    rows, held, total = F.count(F.lit(1)).over(frame), F.count(value).over(frame), F.sum(value).over(frame)
+    # Places run from 1 to the number of rows; 12 times the covariance, over the places' own.
+    weighted = F.sum(F.col("i") * value).over(frame) - (F.col("i") - rows) * total
+    above = 2 * weighted - (rows + 1) * total
+    return F.when((held == rows) & (rows > 1), 6 * above.cast("double") / (rows * (rows * rows - 1)).cast("double"))
+
+
 def safe_max(value: Column, floor: float) -> Column:
     """At least floor; null stays null."""
     return F.when(value.isNotNull(), F.greatest(value, F.lit(floor)))

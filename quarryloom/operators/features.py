@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, ScanConfig
-from ..functions.rolling import by_symbol, clipped, is_true, lag, last_rows, percent_rank, ratio, rolling, safe_max, with_ema
+from ..functions.rolling import by_symbol, clipped, is_true, lag, last_rows, percent_rank, ratio, rolling, safe_max, whole_slope, with_ema
 
 def all_before():
     return by_symbol().rowsBetween(Window.unboundedPreceding, 0)
@@ -56,7 +56,7 @@ def ranges(df: DataFrame, cfg: ScanConfig = DEFAULT) -> DataFrame:
 
 def volumes(df: DataFrame, cfg: ScanConfig = DEFAULT) -> DataFrame:
     c = F.col
-    slope = F.regr_slope(c("volume").cast("double"), c("i").cast("double")).over(last_rows(10))
+    slope = whole_slope("volume", 10)
     df = df.withColumns({"volume_sma_20": rolling(F.avg, "volume", cfg.volume_period), "dollar_volume": c("close") * c("volume"), "volume_trend": F.when(c("i") >= 10, F.coalesce(slope, F.lit(0.0)))})
     df = df.withColumns({"relative_volume": ratio(c("volume"), c("volume_sma_20")), "_recent": rolling(F.avg, "volume", cfg.dryup_window), "_history": rolling(F.avg, "volume", cfg.volume_history, 126)})
     df = df.withColumns({"volume_dryup_ratio": ratio(c("_recent"), lag("volume_sma_20", cfg.dryup_window)), "volume_vs_6m_avg": ratio(c("_recent"), c("_history"))})
@@ -128,12 +128,14 @@ def surf(df: DataFrame) -> DataFrame:
 def on_balance(df: DataFrame) -> DataFrame:
     """On-balance volume and whether it rises faster than the price, both by their slope over 20 days."""
     c = F.col
-    df = df.withColumn("obv", F.sum(F.coalesce(F.signum(c("close") - lag("close")) * c("volume"), F.lit(0.0))).over(all_before()))
+    df = df.withColumn("obv", F.sum(F.coalesce(F.signum(c("close") - lag("close")).cast("long") * c("volume"), F.lit(0).cast("long"))).over(all_before()))
 
-    def slope(value: str, n: int, at_least: int) -> Column:
-        return F.when(c("i") >= at_least, F.coalesce(F.regr_slope(c(value), c("i").cast("double")).over(last_rows(n)), F.lit(0.0)))
+    def since(at_least: int, slope: Column) -> Column:
+        return F.when(c("i") >= at_least, F.coalesce(slope, F.lit(0.0)))
 
-    df = df.withColumns({"obv_slope": slope("obv", 60, 10), "_obv20": slope("obv", 20, 5), "_price20": slope("close", 20, 5), "_volume20": safe_max(F.when(c("i") >= 5, F.avg("volume").over(last_rows(20))), 1.0)})
+    price = F.regr_slope(c("close"), c("i").cast("double")).over(last_rows(20))
+    df = df.withColumns({"obv_slope": since(10, whole_slope("obv", 60)), "_obv20": since(5, whole_slope("obv", 20)), "_price20": since(5, price), "_volume20": safe_max(F.when(c("i") >= 5, F.avg("volume").over(last_rows(20))), 1.0)})
+    df = df.withColumn("obv", c("obv").cast("double"))
     up = c("_obv20") / c("_volume20")
     return df.withColumn("obv_trend", is_true((up > 0) & (up > F.greatest(c("_price20") / F.greatest(c("close"), F.lit(0.01)), F.lit(0.0))))).drop("_obv20", "_price20", "_volume20")
 

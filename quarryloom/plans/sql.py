@@ -51,6 +51,12 @@ def pos(x: str, low: str) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL ELSE greatest({x}, {low}) END"
 
 
+def slope(x: str, n: int) -> str:
+    """Least squares over the last n rows of whole numbers, by exact sums."""
+    k = f"least(i, {n})"
+    return f"12e0 * CAST({k} * sum(i * CAST({x} AS HUGEINT)) OVER {w(n)} - ({k} * i - {k} * ({k} - 1) // 2) * sum(CAST({x} AS HUGEINT)) OVER {w(n)} AS DOUBLE) / ({k} * {k} * ({k} * {k} - 1))"
+
+
 UNB = "(PARTITION BY symbol ORDER BY bar_date ROWS UNBOUNDED PRECEDING)"
 
 FEATURES = f"""{BARS}, {INDEX},
@@ -59,7 +65,7 @@ f1 AS (SELECT *, {ema("close", "(2e0/11e0)")} AS sma_10, {ema("close", "(2e0/21e
   greatest(high-low, abs(high-pc), abs(low-pc)) AS true_range, high-low AS daily_range, (high-low)/close AS daily_range_pct,
   least(greatest((close-low)/greatest(high-low, 1e-3), 0e0), 1e0) AS close_range_position,
   {rn("avg", "volume", 20)} AS volume_sma_20, close*volume AS dollar_volume, {rn("avg", "volume", 10)} AS v10, {rn("avg", "volume", 252, 126)} AS v252,
-  CASE WHEN i >= 10 THEN coalesce(regr_slope(volume, i) OVER {w(10)}, 0) END AS volume_trend,
+  CASE WHEN i >= 10 THEN coalesce({slope('volume', 10)}, 0) END AS volume_trend,
   {", ".join(f"{rn('max', 'high', n)} AS hi{n}, {rn('min', 'low', n)} AS lo{n}" for n in (10, 20, 40, 60))},
   {rn("max", "high", 252, 100)} AS hi252, {rn("max", "high", 90, 30)} AS hi90, min(low) OVER {w(60)} AS stop_level, {rn("min", "low", 20, 5)} AS low20,
   sum(coalesce(sign(close-pc)*volume, 0e0)) OVER {UNB} AS obv0,
@@ -76,7 +82,7 @@ f2 AS (SELECT *, {", ".join(f"(close-sma_{n})/sma_{n} AS distance_from_sma{n}" f
   (close-hi252)/hi252 AS pct_from_52wk_high, (close-hi90)/hi90 AS pct_from_90d_high, obv0 AS obv,
   least(greatest((close-stop_level)/close, 1e-3), 25e-2) AS stop_distance_pct, CASE WHEN low20 IS NOT NULL THEN least(greatest((close-low20)/close, 1e-3), 5e-1) END AS stop_distance_20d_pct,
   {ok("close < sma_10")} AS trailing_stop_triggered,
-  CASE WHEN i >= 10 THEN coalesce(regr_slope(obv0, i) OVER {w(60)}, 0) END AS obv_slope, CASE WHEN i >= 5 THEN coalesce(regr_slope(obv0, i) OVER {w(20)}, 0) END AS o20,
+  CASE WHEN i >= 10 THEN coalesce({slope('obv0', 60)}, 0) END AS obv_slope, CASE WHEN i >= 5 THEN coalesce({slope('obv0', 20)}, 0) END AS o20,
   CASE WHEN i >= 5 THEN coalesce(regr_slope(close, i) OVER {w(20)}, 0) END AS p20, CASE WHEN i >= 5 THEN greatest(avg(volume) OVER {w(20)}, 1) END AS va20,
   CASE WHEN count(*) OVER {w(20)} >= 5 THEN quantile_cont(daily_range_pct, 2e-1) OVER {w(20)} END AS q1, CASE WHEN count(*) OVER {w(20)} >= 5 THEN quantile_cont(CAST(volume AS DOUBLE), 2e-1) OVER {w(20)} END AS q2,
   last_value(CASE WHEN pl THEN low END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ppl,
