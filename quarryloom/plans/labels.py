@@ -21,13 +21,13 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIGNALS = f"{sql.FEATURES}, signals AS (SELECT symbol, bar_date AS scan_date, close AS price, breakout_level, stop_level, target_level, atr_20 AS atr FROM features WHERE consol_days >= 5 AND close > sma_50)"
 FWD = f"{SIGNALS}, nb AS (SELECT *, row_number() OVER {sql.w()} AS k, lead(bar_date) OVER {sql.w()} AS nd, lead(open) OVER {sql.w()} AS no, lead(low) OVER {sql.w()} AS nl FROM bars), fw AS (SELECT s.*, b.bar_date, b.open, b.high, b.low, b.close, b.k - a.k AS n FROM signals s JOIN nb a ON a.symbol = s.symbol AND a.bar_date = s.scan_date JOIN nb b ON b.symbol = s.symbol AND b.k > a.k AND b.k <= a.k + 60)"
-TRADES = f"{FWD}, trades AS (SELECT s.symbol, s.scan_date, s.atr, nd AS entry_date, no*1001e-3 AS entry, least(nl, no*1001e-3*98e-2) AS stop FROM signals s JOIN nb ON nb.symbol = s.symbol AND nb.bar_date = s.scan_date WHERE nd IS NOT NULL), tb AS (SELECT t.*, entry - stop AS risk, b.bar_date, b.open, b.high, b.low, b.close, b.k - a.k AS n FROM trades t JOIN nb a ON a.symbol = t.symbol AND a.bar_date = t.entry_date JOIN nb b ON b.symbol = t.symbol AND b.k > a.k AND b.k <= a.k + 30)"
+TRADES = f"{FWD}, trades AS (SELECT s.symbol, s.scan_date, s.atr, nd AS entry_date, no*1001e-3 AS entry, least(nl, no*1001e-3*98e-2) AS stop FROM signals s JOIN nb ON nb.symbol = s.symbol AND nb.bar_date = s.scan_date WHERE nd IS NOT NULL), tb AS (SELECT t.*, entry - stop AS risk, b.bar_date, b.open, b.high, b.low, b.close, b.k - a.k AS n FROM trades t JOIN nb a ON a.symbol = t.symbol AND a.bar_date = t.entry_date LEFT JOIN nb b ON b.symbol = t.symbol AND b.k > a.k AND b.k <= a.k + 30 WHERE entry > stop)"
 
 
 def _exit_sql(extra: str, ends: str, fill: str, reason: str, hold: int) -> str:
     return sql.select(
-        f"{TRADES}, tx AS (SELECT *{extra} FROM tb WHERE n <= {hold}), tz AS (SELECT symbol, scan_date, n, {ends} AS ends, {fill} AS fill, {reason} AS reason, entry, risk FROM tx), tq AS (SELECT * FROM tz QUALIFY row_number() OVER (PARTITION BY symbol, scan_date ORDER BY CASE WHEN ends THEN 0 ELSE 1 END, CASE WHEN ends THEN n ELSE -n END) = 1)",
-        f"SELECT symbol, scan_date, n AS bars_held, reason AS exit_reason, {sql.r6('fill', 'exit_price')}, {sql.r6('(fill-entry)/risk', 'r_multiple')} FROM tq",
+        f"{TRADES}, tx AS (SELECT *{extra} FROM tb WHERE n <= {hold} OR n IS NULL), tz AS (SELECT symbol, scan_date, n, coalesce({ends}, false) AS ends, CASE WHEN n IS NULL THEN entry ELSE {fill} END AS fill, CASE WHEN n IS NULL THEN 'no_data' ELSE {reason} END AS reason, entry, risk FROM tx), tq AS (SELECT * FROM tz QUALIFY row_number() OVER (PARTITION BY symbol, scan_date ORDER BY CASE WHEN ends THEN 0 ELSE 1 END, CASE WHEN ends THEN n ELSE -n END) = 1)",
+        f"SELECT symbol, scan_date, coalesce(n, 0) AS bars_held, reason AS exit_reason, {sql.r6('fill', 'exit_price')}, {sql.r6('(fill-entry)/risk', 'r_multiple')} FROM tq",
     )
 
 
