@@ -69,6 +69,7 @@ def components(rows):
 @pytest.mark.parametrize("small", [512, 4])
 def test_near_duplicates_match_all_pairs(spark, monkeypatch, small):
     monkeypatch.setattr(N, "SMALL", small)  # 4: more rounds of stars
+    monkeypatch.setattr(N, "LARGE", small)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(frame(spark)).collect()}
     assert got == components(ROWS)
 
