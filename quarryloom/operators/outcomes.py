@@ -31,15 +31,49 @@ def first(condition: Column) -> Column:
     return F.min(F.when(condition, c("n")))
 
 
+#: Bars of a block of which the extremes are looked at before its bars are.
+BLOCK = 64
+
+
+def open_hits(signals: DataFrame, bars: DataFrame, conditions: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """For each signal and name: after how many bars its condition first holds, over all bars that follow; null if never.
+
+    conditions: on a bar, and on a block of bars (max_close, min_low, max_high), which has to hold wherever it does on one of its
+    bars. A signal meets one row for each later block of its symbol, then the bars of its own block and of the first that qualifies.
+    """
+    numbered = bars.withColumn("i", F.row_number().over(by_symbol())).withColumn("_block", F.floor((c("i") - 1) / BLOCK))
+    blocks = numbered.groupBy("symbol", "_block").agg(F.max("close").alias("max_close"), F.min("low").alias("min_low"), F.max("high").alias("max_high"))
+    at = numbered.select("symbol", c("bar_date").alias("scan_date"), c("i").alias("scan_i"), c("_block").alias("own_block"))
+    placed = signals.join(at, KEY)
+    later = placed.join(blocks, "symbol").where("_block > own_block")
+    qualified = later.groupBy(*KEY).agg(*(F.min(F.when(on_block, c("_block"))).alias(f"_{name}") for name, (_, on_block) in conditions.items()))
+    wanted = placed.join(qualified, KEY, "left").withColumn("_block", F.explode(F.array_compact(F.array_distinct(F.array("own_block", *(f"_{name}" for name in conditions))))))
+    rows = wanted.join(numbered, ["symbol", "_block"]).where("i > scan_i").withColumn("n", (c("i") - c("scan_i")).cast("long"))
+    return rows.groupBy(*KEY).agg(*(first(on_bar).alias(name) for name, (on_bar, _) in conditions.items()))
+
+
 def live_outcomes(signals: DataFrame, bars: DataFrame, horizon: int = 60) -> DataFrame:
-    """Against the scan's price: breakout by the close, stop by the low, target by the high."""
+    """Against the scan's price: breakout by the close, stop by the low, target by the high, and the change, over all bars that
+    follow; gains and the drawdown over the first horizon of them at most."""
     rows = forward(signals, bars, horizon)
     gain = lambda n: ratio(F.max(F.when(c("n") <= n, c("high"))), F.first("price")) - 1
     out = rows.groupBy(*KEY).agg(
-        F.first("price").alias("entry_price"), F.max("n").alias("days_elapsed"), (ratio(F.max_by("close", "n"), F.first("price")) - 1).alias("pct_change"),
-        first((c("breakout_level") != 0) & (c("close") >= c("breakout_level"))).alias("days_to_breakout"), first((c("stop_level") != 0) & (c("low") <= c("stop_level"))).alias("days_to_stop"), first((c("target_level") != 0) & (c("high") >= c("target_level"))).alias("days_to_target"),
-        *(gain(n).alias(f"max_gain_{n}d") for n in (10, 20, 60)), (ratio(F.min(F.when(c("n") <= 20, c("low"))), F.first("price")) - 1).alias("max_drawdown_20d"),
+        F.first("price").alias("entry_price"), *(gain(n).alias(f"max_gain_{n}d") for n in (10, 20, 60)), (ratio(F.min(F.when(c("n") <= 20, c("low"))), F.first("price")) - 1).alias("max_drawdown_20d"),
     )
+    level = lambda name: c(name) != 0
+    hits = open_hits(
+        signals,
+        bars,
+        {
+            "days_to_breakout": (level("breakout_level") & (c("close") >= c("breakout_level")), level("breakout_level") & (c("max_close") >= c("breakout_level"))),
+            "days_to_stop": (level("stop_level") & (c("low") <= c("stop_level")), level("stop_level") & (c("min_low") <= c("stop_level"))),
+            "days_to_target": (level("target_level") & (c("high") >= c("target_level")), level("target_level") & (c("max_high") >= c("target_level"))),
+        },
+    )
+    numbered = bars.withColumn("i", F.row_number().over(by_symbol()))
+    last = Window.partitionBy("symbol").orderBy("bar_date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = numbered.select("symbol", c("bar_date").alias("scan_date"), (F.max("i").over(last) - c("i")).cast("long").alias("days_elapsed"), F.last("close").over(last).alias("_close"))
+    out = out.join(ends, KEY).join(hits, KEY, "left").withColumn("pct_change", ratio(c("_close"), c("entry_price")) - 1).drop("_close")
     return out.withColumns({"breakout_triggered": c("days_to_breakout").isNotNull(), "stop_triggered": c("days_to_stop").isNotNull(), "target_reached": c("days_to_target").isNotNull()})
 
 

@@ -118,7 +118,7 @@ o AS (SELECT bar_date, max(CASE WHEN symbol = 'WIDE' THEN CASE WHEN i < 200 THEN
             f"SELECT bar_date, {sql.r6('v21', 'vol_21')}, {sql.r6('m63', 'vol_mean_63')}, CASE WHEN day >= 84 AND v21 > 15e-1*m63 THEN -5e0 ELSE 0e0 END AS volatility_penalty FROM zz",
         ),
         "outcomes_live": sql.select(
-            FWD,
+            FWD.replace(" AND b.k <= a.k + 60", ""),
             f"SELECT symbol, scan_date, {sql.r6('first(price)', 'entry_price')}, max(n) AS days_elapsed, {sql.r6('max_by(close, n)/first(price)-1', 'pct_change')}, {hit('close >= breakout_level')} AS days_to_breakout, {hit('low <= stop_level')} AS days_to_stop, {hit('high >= target_level')} AS days_to_target, {gain('first(price)')}, {hit('close >= breakout_level')} IS NOT NULL AS breakout_triggered, {hit('low <= stop_level')} IS NOT NULL AS stop_triggered, {hit('high >= target_level')} IS NOT NULL AS target_reached FROM fw GROUP BY 1, 2",
         ),
         "outcomes_historical": sql.select(
