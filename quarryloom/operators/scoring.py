@@ -134,6 +134,16 @@ def scored(df: DataFrame, cfg: ScanConfig = DEFAULT, *, rank: str | None = "rs_r
     return df.withColumns({n: F.when(c("passes_filters"), c(n)).otherwise(empty(False)) for n in numbers} | {n: F.when(c("passes_filters"), c(n)).otherwise(empty(True)) for n in ("grade", "signal")})
 
 
+def days_to_earnings(df: DataFrame, earnings: DataFrame) -> DataFrame:
+    """days_to_earnings: calendar days to the symbol's next date in earnings (symbol, earnings_date), 0 on the day itself; null after the last."""
+    points = earnings.select("symbol", c("earnings_date").alias("bar_date"), F.lit(False).alias("_own")).distinct()
+    own = df.select("symbol", "bar_date", F.lit(True).alias("_own"))
+    day = F.datediff("bar_date", F.lit("1970-01-01").cast("date"))
+    ahead = Window.partitionBy("symbol").orderBy(day).rangeBetween(0, Window.unboundedFollowing)
+    both = own.unionByName(points).withColumn("days_to_earnings", (F.min(F.when(~c("_own"), day)).over(ahead) - day).cast("long"))
+    return df.join(both.where("_own").select("symbol", "bar_date", "days_to_earnings"), ["symbol", "bar_date"])
+
+
 def watchlist(scores: DataFrame) -> DataFrame:
     """Each symbol's last row, if it passes, ranked by score."""
     last = Window.partitionBy("symbol").orderBy(F.desc("bar_date"))
