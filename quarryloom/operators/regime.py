@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rolling import by_symbol, clipped, is_true, lag, last_rows, ratio, rolling, with_ema
@@ -148,23 +150,30 @@ def log_regression(n: int) -> tuple[Column, Column]:
     return F.when(enough, F.regr_slope(y, x).over(frame) * 252).otherwise(0.0), F.when(enough & ~flat, F.regr_r2(y, x).over(frame)).otherwise(0.0)
 
 
-#: Lags of the variance scaling over 150 closes: whole numbers of 25 steps, even in the logarithm, from 2 to 50.
-HURST_LAGS = tuple(sorted({int(10 ** (math.log10(2) + k / 24 * (math.log10(50) - math.log10(2))) + 1e-9) for k in range(25)}))
+def hurst_lags(longest: int) -> list[int]:
+    """Whole numbers of 25 steps, even in the logarithm, from 2 to longest; longest itself may round down to the number below."""
+    return sorted({int(x) for x in np.logspace(np.log10(2), np.log10(longest), 25)})
 
 
-def with_hurst(df: DataFrame, n: int = 150) -> DataFrame:
-    """hurst: half the slope of the log variance of lagged differences on the log lag, in [0, 1]; 0.5 before 150 closes are there."""
+def with_hurst(df: DataFrame, n: int = 150, least: int = 30) -> DataFrame:
+    """hurst: half the slope of the log variance of lagged differences on the log lag, in [0, 1], over the last n closes, or all
+    that there are; lags go up to a third of their number. 0.5 before there are least closes."""
     logs = df.withColumn("_log", F.ln("close"))
-    logs = logs.withColumns({f"_d{k}": c("_log") - lag("_log", k) for k in HURST_LAGS})
-    # The last n closes have n - k differences of lag k.
-    logs = logs.withColumns({f"_v{k}": F.when(c("i") >= n, F.var_pop(f"_d{k}").over(last_rows(n - k))) for k in HURST_LAGS})
-    points = [(math.log(k), F.ln(F.when(c(f"_v{k}") > 0, c(f"_v{k}")))) for k in HURST_LAGS]
+    longest = F.least(c("i"), F.lit(n)).cast("long")
+    users: dict[int, list[int]] = {}
+    for number in range(least, n + 1):
+        for k in hurst_lags(number // 3):
+            users.setdefault(k, []).append(number)
+    logs = logs.withColumns({f"_d{k}": c("_log") - lag("_log", k) for k in users})
+    # The last m closes have m - k differences of lag k; the first k rows of a symbol have none.
+    logs = logs.withColumns({f"_v{k}": F.when(longest.between(min(m), n) if m == list(range(min(m), n + 1)) else longest.isin(m), F.var_pop(f"_d{k}").over(last_rows(n - k))) for k, m in users.items()})
+    points = [(math.log(k), F.ln(F.when(c(f"_v{k}") > 0, c(f"_v{k}")))) for k in users]
     count = sum((y.isNotNull().cast("int") for _, y in points), F.lit(0))
     sx, sy = sum((F.when(y.isNotNull(), x).otherwise(0.0) for x, y in points), F.lit(0.0)), sum((F.coalesce(y, F.lit(0.0)) for _, y in points), F.lit(0.0))
     sxy, sxx = sum((F.coalesce(x * y, F.lit(0.0)) for x, y in points), F.lit(0.0)), sum((F.when(y.isNotNull(), x * x).otherwise(0.0) for x, y in points), F.lit(0.0))
     logs = logs.withColumns({"_n": count, "_sx": sx, "_sy": sy, "_sxy": sxy, "_sxx": sxx})
     slope = (c("_n") * c("_sxy") - c("_sx") * c("_sy")) / (c("_n") * c("_sxx") - c("_sx") * c("_sx"))
-    made = ["_log", "_n", "_sx", "_sy", "_sxy", "_sxx", *(f"_{x}{k}" for k in HURST_LAGS for x in "dv")]
+    made = ["_log", "_n", "_sx", "_sy", "_sxy", "_sxx", *(f"_{x}{k}" for k in users for x in "dv")]
     return logs.withColumn("hurst", F.when(c("_n") >= 4, clipped(slope / 2, 0.0, 1.0)).otherwise(0.5)).drop(*made)
 
 
