@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.rolling import by_symbol, average_rank, ratio, rounded
@@ -62,15 +60,6 @@ def pending(signals: DataFrame, outcomes: DataFrame, days: int) -> DataFrame:
     return signals.join(outcomes.select(*KEY), KEY, "left_anti").crossJoin(F.broadcast(last)).where(F.datediff("_last", "scan_date") >= days).drop("_last")  # the aggregate is one row
 
 
-def exit_metrics(strategies: dict[str, DataFrame]) -> DataFrame:
-    """Per strategy: trades, share of winners, mean and total R, profit factor, mean days held."""
-    rows = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("strategy"), "r_multiple", "bars_held") for name, df in strategies.items()])
-    gain, loss = F.sum(F.when(c("r_multiple") > 0, c("r_multiple"))), F.sum(F.when(c("r_multiple") < 0, -c("r_multiple")))
-    return rows.groupBy("strategy").agg(
-        F.count("*").alias("n"), rounded(F.avg((c("r_multiple") > 0).cast("double"))).alias("win_rate"), rounded(F.avg("r_multiple"), 4).alias("mean_r"), rounded(F.sum("r_multiple"), 3).alias("total_r"), rounded(ratio(gain, loss), 4).alias("profit_factor"), rounded(F.avg("bars_held")).alias("mean_bars")
-    )
-
-
 def trade_paths(trades: DataFrame, bars: DataFrame, *, trim_r: float = 3.0, hold: int = 60, max_loss_r: float = 5.0, slippage_bps: float = 10.0) -> DataFrame:
     """Result per trade, in R, of this rule: the stop comes first (a gap fills at the open, at most max_loss_r); at trim_r a third is
     sold and the stop moves to the entry; after that a close below the short mean ends the rest; else time. The entry day never exits,

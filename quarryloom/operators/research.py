@@ -146,14 +146,6 @@ def quintiles(labelled: DataFrame, feature: str, value: str = "fwd_20") -> DataF
     return rows.groupBy(place.cast("long").alias("fifth")).agg(F.count(value).alias("n"), rounded(F.avg(value)).alias("mean_return"))
 
 
-def rank_sum(rows: DataFrame, feature: str, label: Column) -> DataFrame:
-    """Mann-Whitney U of a feature between rows with the label and without, from ranks with ties averaged, and the probability it stands for."""
-    ranked = rows.where(c(feature).isNotNull()).withColumn("_one", F.lit(1)).withColumns({"_rank": average_rank(feature, "_one"), "_y": label.cast("long")})
-    sums = ranked.agg(F.sum("_y").alias("n_true"), F.sum(1 - c("_y")).alias("n_false"), F.sum(c("_rank") * c("_y")).alias("_r"))
-    u = c("_r") - c("n_true") * (c("n_true") + 1) / 2
-    return sums.select("n_true", "n_false", rounded(u, 1).alias("u"), rounded(ratio(u, c("n_true") * c("n_false"))).alias("auc"))
-
-
 def trailing_outcomes(signals: DataFrame, bars: DataFrame, horizon: int = 60) -> DataFrame:
     """Entry at the first close at the breakout level; exit at the first later close under the 10-day mean, else at the last bar."""
     from .outcomes import KEY, forward

@@ -24,11 +24,25 @@ FWD = f"{SIGNALS}, nb AS (SELECT *, row_number() OVER {sql.w()} AS k, lead(bar_d
 TRADES = f"{FWD}, trades AS (SELECT s.symbol, s.scan_date, s.atr, nd AS entry_date, no*1001e-3 AS entry, least(nl, no*1001e-3*98e-2) AS stop FROM signals s JOIN nb ON nb.symbol = s.symbol AND nb.bar_date = s.scan_date WHERE nd IS NOT NULL), tb AS (SELECT t.*, entry - stop AS risk, b.bar_date, b.open, b.high, b.low, b.close, b.k - a.k AS n FROM trades t JOIN nb a ON a.symbol = t.symbol AND a.bar_date = t.entry_date LEFT JOIN nb b ON b.symbol = t.symbol AND b.k > a.k AND b.k <= a.k + 30 WHERE entry > stop)"
 
 
+def exit_ctes(extra: str, ends: str, fill: str, reason: str, hold: int, window: str = "") -> str:
+    """Common table expressions up to tq: each trade's first bar that ends it, or its last one."""
+    return f"{TRADES}, tx AS (SELECT *{extra} FROM tb WHERE n <= {hold} OR n IS NULL{window}), tz AS (SELECT symbol, scan_date, n, coalesce({ends}, false) AS ends, CASE WHEN n IS NULL THEN entry ELSE {fill} END AS fill, CASE WHEN n IS NULL THEN 'no_data' ELSE {reason} END AS reason, entry, risk FROM tx), tq AS (SELECT * FROM tz QUALIFY row_number() OVER (PARTITION BY symbol, scan_date ORDER BY CASE WHEN ends THEN 0 ELSE 1 END, CASE WHEN ends THEN n ELSE -n END) = 1)"
+
+
 def _exit_sql(extra: str, ends: str, fill: str, reason: str, hold: int, window: str = "") -> str:
-    return sql.select(
-        f"{TRADES}, tx AS (SELECT *{extra} FROM tb WHERE n <= {hold} OR n IS NULL{window}), tz AS (SELECT symbol, scan_date, n, coalesce({ends}, false) AS ends, CASE WHEN n IS NULL THEN entry ELSE {fill} END AS fill, CASE WHEN n IS NULL THEN 'no_data' ELSE {reason} END AS reason, entry, risk FROM tx), tq AS (SELECT * FROM tz QUALIFY row_number() OVER (PARTITION BY symbol, scan_date ORDER BY CASE WHEN ends THEN 0 ELSE 1 END, CASE WHEN ends THEN n ELSE -n END) = 1)",
-        f"SELECT symbol, scan_date, coalesce(n, 0) AS bars_held, reason AS exit_reason, {sql.r6('fill', 'exit_price')}, {sql.r6('(fill-entry)/risk', 'r_multiple')} FROM tq",
-    )
+    return sql.select(exit_ctes(extra, ends, fill, reason, hold, window), f"SELECT symbol, scan_date, coalesce(n, 0) AS bars_held, reason AS exit_reason, {sql.r6('fill', 'exit_price')}, {sql.r6('(fill-entry)/risk', 'r_multiple')} FROM tq")
+
+
+def fixed_exit(target: str) -> tuple:
+    return (f", entry+{target}*risk AS target", "low <= stop OR high >= target OR n >= 30", "CASE WHEN low <= stop THEN least(open, stop) WHEN high >= target THEN greatest(open, target) ELSE close END", "CASE WHEN low <= stop THEN 'stop' WHEN high >= target THEN 'target' WHEN n >= 30 THEN 'time' ELSE 'eod' END", 30)
+
+
+ATR_EXIT = (
+    ", greatest(entry, max(high) OVER so_far) AS water, max(CAST(high >= entry + risk AS INT)) OVER so_far = 1 AS active, CASE WHEN max(CAST(high >= entry + risk AS INT)) OVER so_far = 1 THEN greatest(stop, greatest(entry, max(high) OVER so_far) - 2*atr) ELSE stop END AS trail",
+    "low <= trail OR n >= 30", "CASE WHEN low <= trail THEN least(open, trail) ELSE close END", "CASE WHEN low <= trail AND active THEN 'trail_stop' WHEN low <= trail THEN 'stop' WHEN n >= 30 THEN 'time' ELSE 'eod' END", 30,
+    " WINDOW so_far AS (PARTITION BY symbol, scan_date ORDER BY n ROWS UNBOUNDED PRECEDING)",
+)
+TIME_EXIT = ("", "low <= stop OR n >= 15", "CASE WHEN low <= stop THEN least(open, stop) ELSE close END", "CASE WHEN low <= stop THEN 'stop' WHEN n >= 15 THEN 'time' ELSE 'eod' END", 15)
 
 
 def _exits(df: DataFrame) -> DataFrame:
@@ -64,7 +78,6 @@ def queries() -> dict[str, Query]:
         "exit_fixed_r": lambda s, d: _exits(O.exit_fixed_r(trades(s, d), bars(s, d), 2.0)),
         "exit_atr_trail": lambda s, d: _exits(O.exit_atr_trail(trades(s, d), bars(s, d))),
         "exit_time": lambda s, d: _exits(O.exit_time(trades(s, d), bars(s, d))),
-        "exit_metrics": lambda s, d: P.exit_metrics({"fixed_2r": O.exit_fixed_r(trades(s, d), bars(s, d), 2.0), "time_15": O.exit_time(trades(s, d), bars(s, d))}),
         "score_buckets": lambda s, d: P.score_buckets(_labelled(s, d)),
         "signal_thresholds": lambda s, d: P.signal_thresholds(_labelled(s, d)),
         "score_correlation": lambda s, d: P.correlations(_labelled(s, d), ["base_score", "trend_score", "rs_score", "volume_score"], "fwd_20"),
@@ -134,13 +147,9 @@ o AS (SELECT bar_date, max(CASE WHEN symbol = 'WIDE' THEN CASE WHEN i < 200 THEN
             f"{FWD}, h AS (SELECT fw.*, nd, no, nl FROM fw JOIN nb ON nb.symbol = fw.symbol AND nb.bar_date = fw.bar_date WHERE n <= 15 AND fw.close >= breakout_level QUALIFY row_number() OVER (PARTITION BY fw.symbol, scan_date ORDER BY n) = 1), e AS (SELECT symbol, scan_date, coalesce(nd, bar_date) AS entry_date, coalesce(no, close)*1001e-3 AS entry, nd, low, nl FROM h)",
             f"SELECT symbol, scan_date, entry_date, {sql.r6('entry')}, {sql.r6('CASE WHEN nd IS NULL THEN low ELSE least(nl, entry*98e-2) END', 'stop')} FROM e",
         ),
-        "exit_fixed_r": _exit_sql(", entry+2*risk AS target", "low <= stop OR high >= target OR n >= 30", "CASE WHEN low <= stop THEN least(open, stop) WHEN high >= target THEN greatest(open, target) ELSE close END", "CASE WHEN low <= stop THEN 'stop' WHEN high >= target THEN 'target' WHEN n >= 30 THEN 'time' ELSE 'eod' END", 30),
-        "exit_atr_trail": _exit_sql(
-            ", greatest(entry, max(high) OVER so_far) AS water, max(CAST(high >= entry + risk AS INT)) OVER so_far = 1 AS active, CASE WHEN max(CAST(high >= entry + risk AS INT)) OVER so_far = 1 THEN greatest(stop, greatest(entry, max(high) OVER so_far) - 2*atr) ELSE stop END AS trail",
-            "low <= trail OR n >= 30", "CASE WHEN low <= trail THEN least(open, trail) ELSE close END", "CASE WHEN low <= trail AND active THEN 'trail_stop' WHEN low <= trail THEN 'stop' WHEN n >= 30 THEN 'time' ELSE 'eod' END", 30,
-            " WINDOW so_far AS (PARTITION BY symbol, scan_date ORDER BY n ROWS UNBOUNDED PRECEDING)",
-        ),
-        "exit_time": _exit_sql("", "low <= stop OR n >= 15", "CASE WHEN low <= stop THEN least(open, stop) ELSE close END", "CASE WHEN low <= stop THEN 'stop' WHEN n >= 15 THEN 'time' ELSE 'eod' END", 15),
+        "exit_fixed_r": _exit_sql(*fixed_exit("2")),
+        "exit_atr_trail": _exit_sql(*ATR_EXIT),
+        "exit_time": _exit_sql(*TIME_EXIT),
         "score_buckets": sql.select(LABELLED, f"SELECT CAST(floor(raw_score/5)*5 AS BIGINT) AS bucket, count(fwd_20) AS n, {sql.r6('avg(fwd_20)', 'mean_return')}, {sql.r6('avg(CAST(fwd_20 > 0 AS DOUBLE))', 'win_rate')} FROM labelled GROUP BY 1"),
         "signal_thresholds": sql.select(LABELLED, "SELECT CAST(t AS BIGINT) AS threshold, count(*) AS n, count(DISTINCT bar_date) AS n_dates, count(DISTINCT symbol) AS n_symbols FROM labelled, (SELECT unnest(range(40, 85, 5)) AS t) WHERE raw_score >= t GROUP BY 1"),
         "score_correlation": sql.select(LABELLED, " UNION ALL ".join(f"SELECT '{x}' AS feature, count(fwd_20) AS n, {sql.r6(f'corr({x}, fwd_20)', 'correlation')} FROM labelled" for x in ("base_score", "trend_score", "rs_score", "volume_score"))),

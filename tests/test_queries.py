@@ -5,10 +5,10 @@ import math
 
 import pytest
 
-from quarryloom.plans import labels, market, research
+from quarryloom.plans import labels, market, research, validation
 
-QUERIES = {**market.queries(), **labels.queries(), **research.queries()}
-SQL = {**market.oracle_sql(), **labels.oracle_sql(), **research.oracle_sql()}
+QUERIES = {**market.queries(), **labels.queries(), **research.queries(), **validation.queries()}
+SQL = {**market.oracle_sql(), **labels.oracle_sql(), **research.oracle_sql(), **validation.oracle_sql()}
 
 
 def plain(v):
@@ -23,7 +23,7 @@ def same(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("name", ["bars", "index_bars", "rs_rank", "breakout_level", "weekly_alignment", "total_score", "rs_calibration", "index_trend", "outcomes_historical", "exit_fixed_r", "exit_atr_trail", "outcomes_live", "adjusted_score", "monthly_returns", "signal_thresholds", "score_brackets", "signal_validity", "upsert_latest", "index_gate"])
+@pytest.mark.parametrize("name", ["bars", "index_bars", "rs_rank", "breakout_level", "weekly_alignment", "total_score", "rs_calibration", "index_trend", "outcomes_historical", "exit_fixed_r", "exit_atr_trail", "outcomes_live", "adjusted_score", "monthly_returns", "signal_thresholds", "score_brackets", "signal_validity", "upsert_latest", "index_gate", "breakout_volume", "validation_summary", "weight_objectives", "exit_metrics"])
 def test_query_matches_sql(spark, duck, sf, name):
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
