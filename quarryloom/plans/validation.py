@@ -60,10 +60,10 @@ def _objectives(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    chosen = c("raw_score") >= SELECTED
+    chosen = lambda: c("raw_score") >= SELECTED  # noqa: E731  # made on demand, as columns need a session
     return {
         "breakout_volume": lambda s, d: V.breakout_volume(labels.signals(s, d), bars(s, d)).withColumn("relative_volume", rounded("relative_volume")),
-        "precision_recall": lambda s, d: V.precision_recall(_evaluated(s, d), chosen),
+        "precision_recall": lambda s, d: V.precision_recall(_evaluated(s, d), chosen()),
         "score_calibration": lambda s, d: V.calibration(_evaluated(s, d)),
         "rank_sum": lambda s, d: V.rank_sum(_evaluated(s, d), "raw_score", c("confirmed")),
         "predictor_spearman": lambda s, d: V.spearman(_evaluated(s, d), FEATURES, "max_gain_20d"),
@@ -72,7 +72,7 @@ def queries() -> dict[str, Query]:
         "prior_move_impact": lambda s, d: V.prior_move_impact(_evaluated(s, d)),
         "validation_summary": lambda s, d: V.validation_summary(_evaluated(s, d)),
         "failure_tally": lambda s, d: V.failure_tally(_evaluated(s, d)),
-        "signal_clustering": lambda s, d: V.clustering(_signals(s, d), chosen),
+        "signal_clustering": lambda s, d: V.clustering(_signals(s, d), chosen()),
         "filter_isolation": lambda s, d: V.filter_isolation(V.evaluated(market.scored(s, d).withColumnRenamed("bar_date", "scan_date"), bars(s, d))),
         "weight_objectives": _objectives,
         "best_weights": lambda s, d: V.best_weights(_objectives(s, d), "corr_20d").select("w_base", "w_trend", "w_rs", "w_volume", "value"),
