@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, near_duplicates, packing, quality, sharding, token_counts, token_files, toxicity, warc
+from . import byte_bpe, decontamination, filter_audit, html_text, near_duplicates, packing, quality, sharding, spelling, token_counts, token_files, toxicity, warc
 from .shared import table
 
 
@@ -52,10 +52,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity, op2_best_fit_packing, op3_token_files, op4_sharding, op5_near_duplicates,
         op6_html_text, op7_warc, op8_token_counts, op9_decontamination, op10_quality_rules,
+        op11_spelling_variants, op12_byte_bpe, op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
@@ -112,5 +125,72 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p JOIN f ON p.payload_digest = f.d"""
 
 
+OP11_SQL = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(list_transform(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+'), lambda r: r)) AS w FROM documents),
+bytes AS (
+  SELECT w, flatten(list_transform(string_split(id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+    ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS b FROM runs WHERE len(w) >= 7),
+hashed AS (
+  SELECT w, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+    lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8))) AS h FROM bytes, crc),
+results AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS word FROM hashed),
+v AS (SELECT word, count(*) AS n FROM results WHERE len(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cuts AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS cut FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM v)),
+shorter AS (SELECT DISTINCT c.word AS a, c.cut AS b FROM cuts c JOIN v ON v.word = c.cut),
+pairs AS (
+  SELECT a, b FROM shorter UNION SELECT b, a FROM shorter
+  UNION SELECT x.word, y.word FROM cuts x JOIN cuts y ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word),
+ranked AS (
+  SELECT a, b, v.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) AS k
+  FROM pairs JOIN v ON v.word = b),
+formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 10 * v.n THEN b END AS form, CASE WHEN r.n >= 10 * v.n THEN r.n END AS form_n
+  FROM v LEFT JOIN ranked r ON r.a = v.word AND r.k = 1),
+chain AS (
+  SELECT word, form AS at FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(e.at, f.word) AS root, n, n_near, form_n FROM formed f LEFT JOIN ends e ON e.word = f.word"""
+
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    len(w) < 50,
+    100 * len(list_distinct(w)) < 65 * len(w),
+    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t),
+    regexp_matches(t, '[#$%&*|]'),
+    coalesce(x.doc_id > min(x.doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM texts x LEFT JOIN marks m ON m.doc_id = x.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, fails),
+f AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT o, f.i AS step, o[f.i] AS own, o[:f.i - 1] AS earlier FROM orders, f),
+judged AS (
+  SELECT part, o, step, own, n, good, toxic, fails[own] AS failing,
+    len(list_filter(earlier, lambda k: fails[k])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS alone
+  FROM cells, steps),
+sums AS (
+  SELECT part, o, step, own,
+    coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (failing AND gone), 0) AS redundant, coalesce(sum(n) FILTER (failing AND alone), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (failing AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (failing AND NOT gone), 0) AS toxic_lost
+  FROM judged GROUP BY part, o, step, own)
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, CAST(step AS INT) AS step,
+  CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM sums"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL}
+    return {"op4_sharding": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op13_filter_audit": OP13_SQL}
