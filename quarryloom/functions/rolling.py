@@ -56,10 +56,22 @@ def clipped(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
+#: From here on doubles are whole numbers.
+WHOLE_DOUBLES = float(1 << 53)
+
+
 def rounded(value: Column | str, digits: int = 6) -> Column:
-    """Half up, in a way that engines agree on."""
+    """Half up, in a way that engines agree on. Values that have no such digit, as their steps are whole numbers of it, stay as they are."""
+    value = F.col(value) if isinstance(value, str) else value
+    scaled = value * F.lit(10.0**digits) + F.lit(0.5)
+    return F.when(F.abs(scaled) < WHOLE_DOUBLES, F.floor(scaled)).otherwise(scaled) / F.lit(10.0**digits)
+
+
+def significant(value: Column | str, digits: int = 6) -> Column:
+    """A positive value to so many digits from its first one on."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.floor(value * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(value)) - F.lit(digits - 1.0))
+    return F.floor(value / unit + F.lit(0.5)) * unit
 
 
 BLOCK = 1024

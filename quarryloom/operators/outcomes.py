@@ -95,12 +95,23 @@ def forward_returns(signals: DataFrame, bars: DataFrame, horizons: tuple[int, ..
     return signals.join(ahead.select("symbol", c("bar_date").alias("scan_date"), "entry", *(f"fwd_{h}" for h in horizons)), KEY)
 
 
-def entries(signals: DataFrame, bars: DataFrame, slippage_bps: float = 10.0) -> DataFrame:
-    """Next open with slippage; the stop is that day's low, two percent away at least."""
-    after = bars.withColumns({"entry_date": F.lead("bar_date").over(by_symbol()), "_open": F.lead("open").over(by_symbol()), "_low": F.lead("low").over(by_symbol())})
-    df = signals.join(after.select("symbol", c("bar_date").alias("scan_date"), "entry_date", "_open", "_low"), KEY).where("entry_date is not null")
-    df = df.withColumn("entry", c("_open") * (1 + slippage_bps / 10_000))
-    return df.withColumn("stop", F.least(c("_low"), c("entry") * 0.98)).drop("_open", "_low")
+def true_range() -> Column:
+    """From the close before; a symbol's first bar has none."""
+    before = F.lag("close").over(by_symbol())
+    return F.when(before.isNotNull(), F.greatest(c("high") - c("low"), F.abs(c("high") - before), F.abs(c("low") - before)))
+
+
+def entries(signals: DataFrame, bars: DataFrame, slippage_bps: float = 10.0, atr_period: int = 14) -> DataFrame:
+    """Next open with slippage; the stop is that day's low, two percent away at least. atr: the plain mean of the last true ranges, the entry
+    bar's included, of as many as there are; the trade's risk where that is nothing."""
+    own = by_symbol()
+    ranged = bars.withColumn("_range", true_range())
+    after = ranged.withColumn("_atr", F.avg("_range").over(own.rowsBetween(1 - atr_period, 0)))
+    after = after.withColumns({"entry_date": F.lead("bar_date").over(own), "_open": F.lead("open").over(own), "_low": F.lead("low").over(own), "_atr": F.lead("_atr").over(own)})
+    kept = after.select("symbol", c("bar_date").alias("scan_date"), "entry_date", "_open", "_low", "_atr")
+    df = signals.drop("atr").join(kept, KEY).where("entry_date is not null")
+    df = df.withColumn("entry", c("_open") * (1 + slippage_bps / 10_000)).withColumn("stop", F.least(c("_low"), c("entry") * 0.98))
+    return df.withColumn("atr", F.when(c("_atr") > 0, c("_atr")).otherwise(c("entry") - c("stop"))).drop("_open", "_low", "_atr")
 
 
 def breakout_entries(signals: DataFrame, bars: DataFrame, window: int = 15, slippage_bps: float = 10.0) -> DataFrame:

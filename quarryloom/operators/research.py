@@ -53,6 +53,21 @@ def filter_effectiveness(rows: DataFrame, value: str = "fwd_20") -> DataFrame:
     return found.select("reason", "n", rounded("_m").alias("mean_return"), (c("_m") < 0.8 * c("_base")).alias("effective"))
 
 
+def filter_sweep(rows: DataFrame, names: tuple[str, ...], value: str = "fwd_20") -> DataFrame:
+    """Every combination of the filters (combo has a bit for each, in the order of names): rows that pass all of its filters, how many have a
+    return, its mean and the share of gains.
+
+    Rows are counted once by the mask of the filters that they fail; a mask's counts then go to the combinations that share no filter with it, so
+    the work after one aggregation depends on the number of filters alone."""
+    mask = sum((F.when(F.array_contains("filter_reasons", name), 1 << k).otherwise(0) for k, name in enumerate(names)), F.lit(0))
+    counted = rows.groupBy(mask.alias("mask")).agg(F.count("*").alias("n"), F.count(value).alias("k"), F.sum(value).alias("s"), F.count(F.when(c(value) > 0, 1)).alias("won"))
+    combos = F.filter(F.sequence(F.lit(0), F.lit((1 << len(names)) - 1)), lambda x: x.bitwiseAND(c("mask")) == 0)
+    each = counted.withColumn("combo", F.explode(combos)).groupBy("combo").agg(F.sum("n").alias("n"), F.sum("k").alias("n_returns"), F.sum("s").alias("_s"), F.sum("won").alias("_won"))
+    held = [F.when(c("combo").bitwiseAND(F.lit(1 << k)) != 0, F.lit(name)) for k, name in enumerate(names)]
+    listed = F.concat_ws(",", *held)
+    return each.select(c("combo").cast("long").alias("combo"), listed.alias("filters"), "n", "n_returns", rounded(ratio(c("_s"), c("n_returns"))).alias("mean_return"), rounded(ratio(c("_won"), c("n_returns"))).alias("win_rate"))
+
+
 def weight_suggestions(labelled: DataFrame, parts: tuple[str, ...] = ("base_score", "trend_score", "rs_score", "volume_score"), value: str = "fwd_20") -> DataFrame:
     """Each component's share of the absolute correlations with the return, in percent."""
     row = labelled.agg(*(F.coalesce(F.abs(F.corr(p, value)), F.lit(0.0)).alias(p) for p in parts))

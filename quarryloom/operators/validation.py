@@ -1,25 +1,23 @@
 """Validation reports over evaluated signals (features, scores and what followed): precision and recall, calibration, lifts, isolated
-filters, bucket reports, ranks over whole tables, and weight objectives from histograms. Everything is one aggregation or a few; what is
+filters, bucket reports and ranks over whole tables. Everything is one aggregation or a few; what is
 ordered afterwards has a row for each date, bucket or step of the score, never one for each signal."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.rolling import by_symbol, is_true, ratio, rounded
+from ..functions.rolling import by_symbol, is_true, ratio, rounded, significant
+from ..sources.scratch import written
 from .outcomes import KEY, historical_outcomes, open_hits
 
 c = F.col
 
-#: Bounds of the reports' buckets, a gain that counts as a peak, and the cap on a gain in risks.
+#: Bounds of the reports' buckets.
 ADR_EDGES = (0.0, 0.07, 0.10, 0.15, 0.20, 0.30, 1.0)
 PRIOR_EDGES = (0.0, 0.25, 0.50, 1.0, 2.0, 10.0)
 CALIBRATION_EDGES = (0.0, 50.0, 60.0, 70.0, 80.0, 101.0)
-PEAK_GAIN = 0.05
-RISK_CAP = 10.0
 #: The filters that are isolated, with the left-closed bounds of their buckets; the last is open above.
 ISOLATED = {
     "adr": ("adr_pct", (0.0, 0.05, 0.07, 0.10, 0.12, 0.15, 0.20, 0.25)),
@@ -61,14 +59,17 @@ def bucket_from(value: Column, edges: tuple[float, ...], right: bool = False, op
     return out
 
 
-def ranks_of_values(held: DataFrame, value: str, by: tuple[str, ...] = (), bins: int = 1024) -> DataFrame:
+#: Bins of a column's values; their bounds are quantiles to one in QUANTILE_ACCURACY.
+BINS, QUANTILE_ACCURACY = 256, 10_000
+
+
+def ranks_of_values(held: DataFrame, value: str, by: tuple[str, ...] = (), bins: int = BINS) -> DataFrame:
     """held (a row for each distinct value, of each group of by, with k, how many rows have it) with the rank of these rows, ties averaged.
-    The values are ordered within bins of equal width (each a task's window), and the bins' totals (at most so many rows a group) are
-    added up, so no task sees the whole column."""
-    span = held.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    place = F.floor(ratio(c(value) - c("_low"), c("_high") - c("_low")) * bins)
-    placed = held.join(F.broadcast(span), list(by) or F.lit(True))  # a row for each group
-    placed = placed.withColumn("_bin", F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int")).drop("_low", "_high")
+    The values are ordered within bins whose bounds are sketched quantiles, so that a long tail is no large bin (each is a task's window),
+    and the bins' totals (at most so many rows a group) are added up: no task sees the whole column."""
+    cuts = held.groupBy(*by).agg(F.approx_percentile(value, [i / bins for i in range(1, bins)], QUANTILE_ACCURACY).alias("_cuts"))
+    placed = held.join(F.broadcast(cuts), list(by) or F.lit(True))  # a row for each group
+    placed = placed.withColumn("_bin", F.size(F.filter("_cuts", lambda cut: cut < c(value)))).drop("_cuts")
     totals = placed.groupBy(*by, "_bin").agg(F.sum("k").alias("_held"))
     earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*by, "_bin", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"))
@@ -77,10 +78,26 @@ def ranks_of_values(held: DataFrame, value: str, by: tuple[str, ...] = (), bins:
     return ranked.withColumn("rank", c("_before") + c("_upto") - (c("k") - 1) / 2).drop("_bin", "_before", "_upto")
 
 
+def percentiles(rows: DataFrame, features: tuple[str, ...], shares: tuple[float, ...]) -> DataFrame:
+    """(feature, share, value): exact percentiles, interpolated between the two rows that hold the place. Values are counted, ranked by
+    ranks_of_values and picked, so no task or buffer holds a column."""
+    listed = F.array(*(F.struct(F.lit(f).alias("feature"), c(f).cast("double").alias("x")) for f in features))
+    held = written(rows.select(F.inline(listed)).where("x is not null").groupBy("feature", "x").agg(F.count("*").alias("k")), "percentiles")
+    ranked = ranks_of_values(held, "x", ("feature",)).withColumn("_last", c("rank") + (c("k") - 1) / 2)  # its last row's place, from 1
+    size = held.groupBy("feature").agg(F.sum("k").alias("_n"))
+    wanted = size.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("_at", c("share") * (c("_n") - 1))
+    asked = wanted.select("feature", "share", "_at", F.floor("_at").alias("_low"), F.ceil("_at").alias("_high"))
+    near = ranked.join(F.broadcast(asked), "feature").where("_last > _low and _last - k <= _high")  # a row for each feature and share
+    holds = lambda place: F.max(F.when((c("_last") > c(place)) & (c("_last") - c("k") <= c(place)), c("x")))
+    found = near.groupBy("feature", "share", "_at", "_low").agg(holds("_low").alias("_a"), holds("_high").alias("_b"))
+    return found.select("feature", "share", (c("_a") + (c("_b") - c("_a")) * (c("_at") - c("_low"))).alias("value"))
+
+
 def rank_sum(rows: DataFrame, feature: str, label: Column) -> DataFrame:
     """Mann-Whitney U of a feature between rows with the label and without, the probability it stands for, and its z value with ties
-    corrected. Rows are counted by value once; the counts are kept on disk, as they are used several times."""
-    held = rows.where(c(feature).isNotNull()).groupBy(feature).agg(F.count("*").alias("k"), F.sum(is_true(label).cast("long")).alias("_y")).persist(StorageLevel.DISK_ONLY)
+    corrected. Rows are counted by value once; the counts are written, as they are used several times."""
+    held = rows.where(c(feature).isNotNull()).groupBy(feature).agg(F.count("*").alias("k"), F.sum(is_true(label).cast("long")).alias("_y"))
+    held = written(held, "rank-sum")
     ranked = ranks_of_values(held, feature)
     sums = ranked.agg(F.sum("_y").alias("n_true"), F.sum(c("k") - c("_y")).alias("n_false"), F.sum(c("rank") * c("_y")).alias("_r"), F.sum(c("k").cast("double") * (c("k") * c("k") - 1)).alias("_ties"))
     n = c("n_true") + c("n_false")
@@ -90,11 +107,11 @@ def rank_sum(rows: DataFrame, feature: str, label: Column) -> DataFrame:
 
 
 def spearman(rows: DataFrame, features: tuple[str, ...], value: str) -> DataFrame:
-    """(feature, n, spearman) over the whole table. Rows are counted by feature and pair of values once; the counts are kept on disk, as
+    """(feature, n, spearman) over the whole table. Rows are counted by feature and pair of values once; the counts are written, as
     they are used several times."""
     listed = F.array(*(F.struct(F.lit(f).alias("feature"), c(f).cast("double").alias("x")) for f in features))
     known = rows.select(c(value).cast("double").alias("y"), F.inline(listed)).where("x is not null and y is not null")
-    pairs = known.groupBy("feature", "x", "y").agg(F.count("*").alias("w")).persist(StorageLevel.DISK_ONLY)
+    pairs = written(known.groupBy("feature", "x", "y").agg(F.count("*").alias("w")), "spearman")
 
     def ranks(side: str, name: str) -> DataFrame:
         return ranks_of_values(pairs.groupBy("feature", side).agg(F.sum("w").alias("k")), side, ("feature",)).select("feature", side, c("rank").alias(name))
@@ -191,66 +208,6 @@ def filter_isolation(rows: DataFrame) -> DataFrame:
     return each.groupBy("filter", "bucket").agg(F.count("*").alias("n"), rounded(F.avg("max_gain_20d")).alias("mean_gain"), rounded(F.avg((c("max_gain_20d") > 0).cast("double"))).alias("win_rate"), rounded(F.avg(c("confirmed").cast("double"))).alias("breakout_rate"))
 
 
-def weight_sets(step: int = 10, low: int = 10, high: int = 50) -> list[tuple[int, int, int, int]]:
-    """Weights of base, trend, rs and volume, each from low to high, together 100."""
-    steps = range(low, high + 1, step)
-    return [(a, b, r, 100 - a - b - r) for a in steps for b in steps for r in steps if low <= 100 - a - b - r <= high]
-
-
-def simulated() -> Column:
-    """What a trade gives: a breakout before the stop, the best gain of 20 days up to RISK_CAP risks; a stop before, the loss; else the realized change."""
-    risk = F.greatest(F.coalesce(c("stop_distance_pct"), F.lit(0.05)), F.lit(0.001))
-    broke, stopped = c("days_to_breakout"), c("days_to_stop")
-    first = broke.isNotNull() & (stopped.isNull() | (broke <= stopped))
-    return F.when(first, F.least(c("max_gain_20d"), risk * RISK_CAP)).when(stopped.isNotNull(), -risk).otherwise(c("realized"))
-
-
-def weight_objectives(rows: DataFrame, sub_max: dict[str, float], sets: list[tuple[int, int, int, int]] | None = None) -> DataFrame:
-    """Every objective for every set of weights: correlations of the composite score, and the best quarter's winners, peaks and profit factors.
-
-    The composite is kept to hundredths, so a set has at most 10,001 steps. Rows are aggregated by set and step once, with partial
-    sums before the shuffle; quartiles, ranks and correlations come from the steps, so the work after that does not grow with the rows.
-    """
-    names = ("base", "trend", "rs", "volume")
-    known = rows.where("max_gain_20d is not null and max_gain_10d is not null and realized is not null").withColumn("_sim", simulated())
-    known = known.select(*(F.least(F.greatest(c(f"{n}_score") / sub_max[n], F.lit(0.0)), F.lit(1.0)).alias(f"_{n}") for n in names), c("max_gain_20d").alias("y20"), c("max_gain_10d").alias("y10"), c("realized").alias("y"), "_sim")
-    listed = F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(names, s, strict=True))) for s in (sets or weight_sets())))
-    each = known.withColumn("w", F.explode(listed))
-    each = each.withColumn("x", F.floor((c("w.base") * c("_base") + c("w.trend") * c("_trend") + c("w.rs") * c("_rs") + c("w.volume") * c("_volume")) * 100 + 0.5))
-    gain, loss = lambda v: F.sum(F.when(c(v) > 0, c(v)).otherwise(0.0)), lambda v: F.sum(F.when(c(v) < 0, -c(v)).otherwise(0.0))
-    count = lambda cond: F.count(F.when(cond, 1))
-    kinds = {"n": F.count("*"), "won": count(c("y") > 0), "peaks": count(c("y20") >= PEAK_GAIN), "sim_won": count(c("_sim") > 0), "up": gain("y"), "down": loss("y"), "sim_up": gain("_sim"), "sim_down": loss("_sim"), "s": F.sum("y"), "s20": F.sum("y20"), "s10": F.sum("y10"), "ss": F.sum(c("y") * c("y")), "ss20": F.sum(c("y20") * c("y20")), "ss10": F.sum(c("y10") * c("y10"))}
-    steps = each.groupBy("w", "x").agg(*(v.alias(k) for k, v in kinds.items()))
-    own, upto = Window.partitionBy("w"), Window.partitionBy("w").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumns({"_all": F.sum("n").over(own), "_upto": F.sum("n").over(upto)})
-    # The upper quartile, interpolated between the rows on both sides, is reached by the steps whose last row has at least this place.
-    top = c("_upto") - 1 >= F.ceil(0.75 * (c("_all") - 1))
-    best = lambda k: F.sum(F.when(top, c(k)))
-    n = F.sum("n")
-    sx, sxx = F.sum(c("x") * c("n")), F.sum(c("x").cast("double") * c("x") * c("n"))
-
-    def corr(s: str, ss: str) -> Column:
-        over = n * F.sum(c("x") * c(s)) - sx * F.sum(s)
-        return ratio(over, F.sqrt((n * sxx - sx * sx) * (n * F.sum(ss) - F.sum(s) * F.sum(s))))
-
-    out = steps.groupBy("w").agg(
-        n.alias("n"), rounded(corr("s20", "ss20"), 4).alias("corr_20d"), rounded(corr("s10", "ss10"), 4).alias("corr_10d"), rounded(corr("s", "ss"), 4).alias("corr_realized"),
-        best("n").alias("n_top"), rounded(ratio(best("won"), best("n")), 4).alias("win_rate"), rounded(ratio(best("up"), best("down")), 4).alias("profit_factor"), rounded(ratio(best("s"), best("n")), 4).alias("mean_realized"),
-        rounded(ratio(best("peaks"), best("n")), 4).alias("peak_rate"), rounded(ratio(best("s20"), best("n")), 4).alias("mean_peak"), rounded(ratio(best("sim_up"), best("sim_down")), 4).alias("sim_pf"), rounded(ratio(best("sim_won"), best("n")), 4).alias("sim_win_rate"),
-    )
-    return out.select(*(c(f"w.{k}").alias(f"w_{k}") for k in names), *(k for k in out.columns if k != "w"))
-
-
-def best_weights(objectives: DataFrame, objective: str = "sim_pf", current: tuple[float, ...] | None = None, strength: float = 0.005) -> DataFrame:
-    """The set with the best objective; with current weights, less strength times the squared shares by which a set departs from them.
-    Ties: the smaller weights of base, trend and rs."""
-    names = ("w_base", "w_trend", "w_rs", "w_volume")
-    value = c(objective)
-    if current is not None:
-        value = value - strength * sum((F.pow((c(k) - v) / 100, F.lit(2.0)) for k, v in zip(names, current, strict=True)), F.lit(0.0))
-    return objectives.withColumn("value", rounded(value)).where("value is not null").orderBy(F.desc("value"), "w_base", "w_trend", "w_rs").limit(1)  # the best of a few sets: the feature
-
-
 def carried(rows: DataFrame, date: str, table: DataFrame, value: str) -> DataFrame:
     """rows with the table's value as of their date (its last bar_date up to it). The value is carried to the distinct dates, so what is
     ordered has a row for each date."""
@@ -267,7 +224,7 @@ def by_condition(trades: DataFrame, condition: str) -> DataFrame:
 
 
 def equity_metrics(exits: DataFrame, risk: float = 0.005) -> DataFrame:
-    """Per strategy: trades, winners, mean win and loss, expectancy, profit factor, and the compounded equity with its worst drawdown.
+    """Per strategy: trades, winners, mean win and loss, expectancy, profit factor, and the compounded equity (to six digits) with its log and worst drawdown.
     Trades compound in the order of their scan dates; the curve has a point for each date."""
     won = c("r_multiple") > 0
     stats = exits.groupBy("strategy").agg(
@@ -277,7 +234,8 @@ def equity_metrics(exits: DataFrame, risk: float = 0.005) -> DataFrame:
     daily = exits.groupBy("strategy", "scan_date").agg(F.sum(F.log(F.greatest(1 + c("r_multiple") * risk, F.lit(1e-9)))).alias("_g"))
     upto = Window.partitionBy("strategy").orderBy("scan_date").rowsBetween(Window.unboundedPreceding, 0)  # a row for each date
     curve = daily.withColumn("_e", F.sum("_g").over(upto)).withColumn("_peak", F.greatest(F.max("_e").over(upto), F.lit(0.0)))
-    ends = curve.groupBy("strategy").agg(F.exp(F.sum("_g")).alias("_equity"), (F.exp(F.min(c("_e") - c("_peak"))) - 1).alias("_drawdown"))
+    ends = curve.groupBy("strategy").agg(F.sum("_g").alias("_log"), (F.exp(F.min(c("_e") - c("_peak"))) - 1).alias("_drawdown"))
     expectancy = c("_rate") * c("_win") + (1 - c("_rate")) * c("_loss")
-    shown = {"win_rate": c("_rate"), "mean_win": c("_win"), "mean_loss": c("_loss"), "expectancy": expectancy, "profit_factor": ratio(c("_up"), c("_down")), "mean_r": c("_mean"), "total_r": c("_up") - c("_down"), "mean_bars": c("_bars"), "equity": c("_equity"), "max_drawdown": c("_drawdown")}
-    return stats.join(ends, "strategy").select("strategy", "n", *(rounded(v, 4).alias(k) for k, v in shown.items()))
+    shown = {"win_rate": c("_rate"), "mean_win": c("_win"), "mean_loss": c("_loss"), "expectancy": expectancy, "profit_factor": ratio(c("_up"), c("_down")), "mean_r": c("_mean"), "total_r": c("_up") - c("_down"), "mean_bars": c("_bars"), "log_equity": c("_log"), "max_drawdown": c("_drawdown")}
+    equity = significant(F.exp("_log")).alias("equity")
+    return stats.join(ends, "strategy").select("strategy", "n", *(rounded(v, 4).alias(k) for k, v in shown.items()), equity)

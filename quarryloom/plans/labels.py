@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.rolling import rounded
 from ..operators import outcomes as O, regime as R, reports as P
 from ..sources.bars import bars, index_bars, sectors
-from . import market, sql
+from . import condition_sql, market, sql
 from .market import Query
 
 c = F.col
@@ -16,12 +16,25 @@ c = F.col
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that pass the base test: a tight base of five days above its 50-day mean."""
     rows = market.featured(spark, sf_dir).where("consol_days >= 5 and close > sma_50")
-    return rows.select("symbol", F.col("bar_date").alias("scan_date"), F.col("close").alias("price"), "breakout_level", "stop_level", "target_level", F.col("atr_20").alias("atr"))
-
-
-SIGNALS = f"{sql.FEATURES}, signals AS (SELECT symbol, bar_date AS scan_date, close AS price, breakout_level, stop_level, target_level, atr_20 AS atr FROM features WHERE consol_days >= 5 AND close > sma_50)"
-FWD = f"{SIGNALS}, nb AS (SELECT *, row_number() OVER {sql.w()} AS k, lead(bar_date) OVER {sql.w()} AS nd, lead(open) OVER {sql.w()} AS no, lead(low) OVER {sql.w()} AS nl FROM bars), fw AS (SELECT s.*, b.bar_date, b.open, b.high, b.low, b.close, b.k - a.k AS n FROM signals s JOIN nb a ON a.symbol = s.symbol AND a.bar_date = s.scan_date JOIN nb b ON b.symbol = s.symbol AND b.k > a.k AND b.k <= a.k + 60)"
-TRADES = f"{FWD}, trades AS (SELECT s.symbol, s.scan_date, s.atr, nd AS entry_date, no*1001e-3 AS entry, least(nl, no*1001e-3*98e-2) AS stop FROM signals s JOIN nb ON nb.symbol = s.symbol AND nb.bar_date = s.scan_date WHERE nd IS NOT NULL), tb AS (SELECT t.*, entry - stop AS risk, b.bar_date, b.open, b.high, b.low, b.close, b.k - a.k AS n FROM trades t JOIN nb a ON a.symbol = t.symbol AND a.bar_date = t.entry_date LEFT JOIN nb b ON b.symbol = t.symbol AND b.k > a.k AND b.k <= a.k + 30 WHERE entry > stop)"
+    return rows.select("symbol", F.col("bar_date").alias("scan_date"), F.col("close").alias("price"), "breakout_level", "stop_level", "target_level")
+
+
+SIGNALS = f"{sql.FEATURES}, signals AS (SELECT symbol, bar_date AS scan_date, close AS price, breakout_level, stop_level, target_level FROM features WHERE consol_days >= 5 AND close > sma_50)"
+#: Bars with their numbers, what the next one has, and the mean true range of 14 bars up to it.
+NUMBERED = f"""nb0 AS (SELECT *, CASE WHEN {sql.lag('close')} IS NOT NULL THEN greatest(high-low, abs(high-{sql.lag('close')}), abs(low-{sql.lag('close')})) END AS tr FROM bars),
+nb1 AS (SELECT *, avg(tr) OVER {sql.w(14)} AS a14 FROM nb0),
+nb AS (SELECT *, row_number() OVER {sql.w()} AS k, lead(bar_date) OVER {sql.w()} AS nd, lead(open) OVER {sql.w()} AS no, lead(low) OVER {sql.w()} AS nl,
+  lead(a14) OVER {sql.w()} AS na FROM nb1)"""
+FWD = f"""{SIGNALS}, {NUMBERED},
+fw AS (SELECT s.*, b.bar_date, b.open, b.high, b.low, b.close, b.k - a.k AS n FROM signals s
+  JOIN nb a ON a.symbol = s.symbol AND a.bar_date = s.scan_date JOIN nb b ON b.symbol = s.symbol AND b.k > a.k AND b.k <= a.k + 60)"""
+TRADES = f"""{FWD},
+tr0 AS (SELECT s.symbol, s.scan_date, na, nd AS entry_date, no*1001e-3 AS entry, least(nl, no*1001e-3*98e-2) AS stop FROM signals s
+  JOIN nb ON nb.symbol = s.symbol AND nb.bar_date = s.scan_date WHERE nd IS NOT NULL),
+trades AS (SELECT *, CASE WHEN na > 0 THEN na ELSE entry - stop END AS atr FROM tr0),
+tb AS (SELECT t.*, entry - stop AS risk, b.bar_date, b.open, b.high, b.low, b.close, b.k - a.k AS n FROM trades t
+  JOIN nb a ON a.symbol = t.symbol AND a.bar_date = t.entry_date LEFT JOIN nb b ON b.symbol = t.symbol AND b.k > a.k AND b.k <= a.k + 30
+  WHERE entry > stop)"""
 
 
 def exit_ctes(extra: str, ends: str, fill: str, reason: str, hold: int, window: str = "") -> str:
@@ -122,6 +135,8 @@ o AS (SELECT bar_date, max(CASE WHEN symbol = 'WIDE' THEN CASE WHEN i < 200 THEN
             f"{sql.FEATURES}, b AS (SELECT bar_date, count(*) AS n_symbols, {share('close > sma_50')} AS p50, {share('close > sma_200')} AS p200, {share('stage2')} AS ps, {share('pct_from_52wk_high >= -15e-2')} AS ph FROM features GROUP BY 1)",
             f"SELECT bar_date, n_symbols, {sql.r6('p50', 'pct_above_50')}, {sql.r6('p200', 'pct_above_200')}, {sql.r6('ps', 'pct_stage2')}, {sql.r6('ph', 'pct_near_high')}, CASE WHEN n_symbols < 5 THEN 10e0 ELSE {sql.steps('p50', [('7e-1', '7e0'), ('55e-2', '55e-1'), ('4e-1', '35e-1'), ('25e-2', '15e-1')])} + {sql.steps('ps', [('6e-1', '7e0'), ('45e-2', '5e0'), ('3e-1', '3e0'), ('15e-2', '1e0')])} + {sql.steps('ph', [('5e-1', '6e0'), ('35e-2', '4e0'), ('2e-1', '2e0'), ('1e-1', '1e0')])} END AS breadth_score FROM b",
         ),
+        "follow_through": sql.select(f"{sql.INDEX}, {condition_sql.INDEX}, {condition_sql.FOLLOW}", f"SELECT bar_date, found AS ftd_found, CAST(ago AS BIGINT) AS ftd_days_ago, valid AS ftd_valid, {sql.r6('score', 'follow_through_score')} FROM follow"),
+        "market_condition": sql.select(f"{sql.FEATURES}, {condition_sql.CONDITION}", f"SELECT bar_date, {sql.r6('score')}, regime, multiplier FROM mc"),
         "momentum_volatility": sql.select(
             f"{idx}, m1 AS (SELECT *, ln(close/pc) AS r, close/{sql.lag('close', 20)}-1 AS roc_21 FROM m0 WHERE symbol = 'MAIN'), m2 AS (SELECT *, coalesce({sql.rn('stddev_samp', 'r', 20)}*sqrt(252e0), 2e-1) AS rv FROM m1)",
             f"SELECT bar_date, {sql.r6('roc_21')}, {sql.r6('rv', 'realized_vol')}, CASE WHEN roc_21 IS NULL THEN 2e0 ELSE {sql.steps('roc_21', [('8e-2', '8e0'), ('4e-2', '6e0'), ('1e-2', '4e0'), ('-1e-2', '2e0'), ('-5e-2', '1e0')])} END + CASE WHEN rv < 12e-2 THEN 7e0 WHEN rv < 15e-2 THEN 6e0 WHEN rv < 2e-1 THEN 45e-1 WHEN rv < 25e-2 THEN 25e-1 WHEN rv < 35e-2 THEN 1e0 ELSE 0e0 END AS momentum_score FROM m2",

@@ -162,4 +162,4 @@ def r6(x: str, name: str | None = None, digits: int = 6) -> str:
 
 
 def select(ctes: str, body: str) -> str:
-    return f"WITH {ctes}\n{body}"
+    return f"WITH {'RECURSIVE ' if 'ft(i, k' in ctes else ''}{ctes}\n{body}"

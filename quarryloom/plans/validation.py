@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT
 from ..functions.rolling import rounded
-from ..operators import outcomes as O, regime as R, research as Q, validation as V
+from ..operators import outcomes as O, regime as R, research as Q, validation as V, weights as W
 from ..sources.bars import bars, index_bars
+from ..sources.scratch import written
 from . import labels, market, sql
 from .market import Query
 
@@ -36,9 +37,9 @@ def _trend(s: SparkSession, d: str) -> DataFrame:
 
 
 def _exits(s: SparkSession, d: str) -> DataFrame:
-    """All five strategies over the same trades."""
-    rows, own = labels.signals(s, d), bars(s, d)
-    trades = O.entries(rows, own)
+    """All five strategies over the same trades, which are made once."""
+    own = written(bars(s, d), "bars")
+    trades = written(O.entries(labels.signals(s, d), own), "trades")
     found = {"fixed_1_5r": O.exit_fixed_r(trades, own, 1.5), "fixed_2r": O.exit_fixed_r(trades, own, 2.0), "fixed_3r": O.exit_fixed_r(trades, own, 3.0), "atr_trail": O.exit_atr_trail(trades, own), "time_15": O.exit_time(trades, own)}
     return reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("strategy"), "scan_date", "r_multiple", "bars_held") for k, df in found.items()))
 
@@ -56,7 +57,7 @@ def _by_trend(s: SparkSession, d: str) -> DataFrame:
 
 
 def _objectives(s: SparkSession, d: str) -> DataFrame:
-    return V.weight_objectives(_evaluated(s, d), DEFAULT.sub_max)
+    return W.weight_objectives(_evaluated(s, d), DEFAULT.sub_max)
 
 
 def queries() -> dict[str, Query]:
@@ -75,7 +76,7 @@ def queries() -> dict[str, Query]:
         "signal_clustering": lambda s, d: V.clustering(_signals(s, d), chosen()),
         "filter_isolation": lambda s, d: V.filter_isolation(V.evaluated(market.scored(s, d).withColumnRenamed("bar_date", "scan_date"), bars(s, d))),
         "weight_objectives": _objectives,
-        "best_weights": lambda s, d: V.best_weights(_objectives(s, d), "corr_20d").select("w_base", "w_trend", "w_rs", "w_volume", "value"),
+        "best_weights": lambda s, d: W.best_weights(_objectives(s, d), "corr_20d").select("w_base", "w_trend", "w_rs", "w_volume", "value"),
         "entry_conditions": _by_trend,
         "regime_outcomes": lambda s, d: Q.regime_outcomes(O.historical_outcomes(labels.signals(s, d), bars(s, d)), _trend(s, d).withColumnRenamed("trend", "regime")),
         "exit_metrics": lambda s, d: V.equity_metrics(_exits(s, d)),
@@ -123,7 +124,10 @@ def oracle_sql() -> dict[str, str]:
     clip = lambda k: f"least(greatest({k}_score/{DEFAULT.sub_max[k]}e0, 0), 1)"
     risk = "greatest(coalesce(stop_distance_pct, 5e-2), 1e-3)"
     weighed = f"""{base}, {sets}, kn AS (SELECT {clip('base')} AS cb, {clip('trend')} AS ct, {clip('rs')} AS cr, {clip('volume')} AS cv, g20, g10, chg, CASE WHEN dbo IS NOT NULL AND (dst IS NULL OR dbo <= dst) THEN least(g20, {risk}*10) WHEN dst IS NOT NULL THEN -{risk} ELSE chg END AS sim FROM ev WHERE g20 IS NOT NULL AND g10 IS NOT NULL AND chg IS NOT NULL),
-xs AS (SELECT ws.*, floor((a*cb + b*ct + r*cr + v*cv)*100+5e-1) AS x, g20, g10, chg, sim FROM kn, ws), qs AS (SELECT a, b, r, quantile_cont(x, 75e-2) AS cut FROM xs GROUP BY 1, 2, 3), xt AS (SELECT xs.*, x >= cut AS top FROM xs JOIN qs USING (a, b, r))"""
+kr AS (SELECT *, {_ranks('g20')} AS r20, {_ranks('g10')} AS r10 FROM kn),
+xs AS (SELECT ws.*, floor((a*cb + b*ct + r*cr + v*cv)*100+5e-1) AS x, g20, g10, chg, sim, r20, r10 FROM kr, ws), qs AS (SELECT a, b, r, quantile_cont(x, 75e-2) AS cut FROM xs GROUP BY 1, 2, 3), xt AS (SELECT xs.*, x >= cut AS top, rank() OVER (PARTITION BY a, b, r ORDER BY x) + (count(*) OVER (PARTITION BY a, b, r, x) - 1) / 2e0 AS rx FROM xs JOIN qs USING (a, b, r))"""
+    rate4 = lambda x: f"floor(({x})*1e4+5e-1)/1e4"
+    composite = r6(f"5e-1*{rate4('corr(x, g20)')} + 5e-1*{rate4(ratio(count('top AND g20 >= 5e-2'), count('top')))}", "composite", 4)
     top = lambda cond: ratio(count(f"top AND {cond}"), count("top"))
     pf = lambda y: ratio(f"sum(CASE WHEN top AND {y} > 0 THEN {y} ELSE 0 END)", f"sum(CASE WHEN top AND {y} < 0 THEN -{y} ELSE 0 END)")
     kinds = {"fixed_1_5r": labels.fixed_exit("15e-1"), "fixed_2r": labels.fixed_exit("2"), "fixed_3r": labels.fixed_exit("3"), "atr_trail": labels.ATR_EXIT, "time_15": labels.TIME_EXIT}
@@ -155,9 +159,9 @@ xs AS (SELECT ws.*, floor((a*cb + b*ct + r*cr + v*cv)*100+5e-1) AS x, g20, g10,
         "filter_isolation": sql.select(f"{_base('')}, i AS ({isolated})", f"SELECT filter, bucket, count(*) AS n, {r6('avg(g20)', 'mean_gain')}, {r6('avg(CAST(g20 > 0 AS DOUBLE))', 'win_rate')}, {r6('avg(CAST(hit AS DOUBLE))', 'breakout_rate')} FROM i WHERE bucket IS NOT NULL GROUP BY 1, 2"),
         "weight_objectives": sql.select(
             weighed,
-            f"SELECT a AS w_base, b AS w_trend, r AS w_rs, any_value(v) AS w_volume, count(*) AS n, {r6('corr(x, g20)', 'corr_20d', 4)}, {r6('corr(x, g10)', 'corr_10d', 4)}, {r6('corr(x, chg)', 'corr_realized', 4)}, {count('top')} AS n_top, {r6(top('chg > 0'), 'win_rate', 4)}, {r6(pf('chg'), 'profit_factor', 4)}, {r6('avg(chg) FILTER (top)', 'mean_realized', 4)}, {r6(top('g20 >= 5e-2'), 'peak_rate', 4)}, {r6('avg(g20) FILTER (top)', 'mean_peak', 4)}, {r6(pf('sim'), 'sim_pf', 4)}, {r6(top('sim > 0'), 'sim_win_rate', 4)} FROM xt GROUP BY 1, 2, 3",
+            f"SELECT CAST(a AS DOUBLE) AS w_base, CAST(b AS DOUBLE) AS w_trend, CAST(r AS DOUBLE) AS w_rs, CAST(any_value(v) AS DOUBLE) AS w_volume, count(*) AS n, {r6('corr(x, g20)', 'corr_20d', 4)}, {r6('corr(x, g10)', 'corr_10d', 4)}, {r6('corr(x, chg)', 'corr_realized', 4)}, {r6('corr(rx, r20)', 'spearman_20d', 4)}, {r6('corr(rx, r10)', 'spearman_10d', 4)}, {count('top')} AS n_top, {r6(top('chg > 0'), 'win_rate', 4)}, {r6(pf('chg'), 'profit_factor', 4)}, {r6('avg(chg) FILTER (top)', 'mean_realized', 4)}, {r6(top('g20 >= 5e-2'), 'peak_rate', 4)}, {r6('avg(g20) FILTER (top)', 'mean_peak', 4)}, {r6(pf('sim'), 'sim_pf', 4)}, {r6(top('sim > 0'), 'sim_win_rate', 4)}, {composite} FROM xt GROUP BY 1, 2, 3",
         ),
-        "best_weights": sql.select(weighed, f"SELECT a AS w_base, b AS w_trend, r AS w_rs, v AS w_volume, value FROM (SELECT a, b, r, any_value(v) AS v, {r6('corr(x, g20)', 'value', 4)} FROM xt GROUP BY 1, 2, 3) WHERE value IS NOT NULL ORDER BY value DESC, a, b, r LIMIT 1"),
+        "best_weights": sql.select(weighed, f"SELECT CAST(a AS DOUBLE) AS w_base, CAST(b AS DOUBLE) AS w_trend, CAST(r AS DOUBLE) AS w_rs, CAST(v AS DOUBLE) AS w_volume, value FROM (SELECT a, b, r, any_value(v) AS v, {r6('corr(x, g20)', 'value', 4)} FROM xt GROUP BY 1, 2, 3) WHERE value IS NOT NULL ORDER BY value DESC, a, b, r LIMIT 1"),
         "entry_conditions": sql.select(
             f"{labels.exit_ctes(*labels.fixed_exit('2'))}, {TREND}, e AS (SELECT coalesce(tq.n, 0) AS n, CASE WHEN tq.n IS NULL THEN 0 ELSE (fill-tq.entry)/risk END AS r, t.entry_date FROM tq JOIN trades t USING (symbol, scan_date))",
             f"SELECT trend, count(*) AS n, {r6(rate, 'win_rate', 3)}, {r6('avg(r)', 'mean_r', 3)}, {r6('avg(e.n)', 'mean_bars', 3)} FROM e ASOF LEFT JOIN trend ON e.entry_date >= trend.bar_date GROUP BY 1",
@@ -167,7 +171,7 @@ xs AS (SELECT ws.*, floor((a*cb + b*ct + r*cr + v*cv)*100+5e-1) AS x, g20, g10,
             f"SELECT coalesce(trend, 'UNKNOWN') AS regime, {rates} FROM o LEFT JOIN trend ON o.scan_date = trend.bar_date GROUP BY 1",
         ),
         "exit_metrics": sql.select(
-            f"x AS ({exits}), d AS (SELECT strategy, scan_date, sum(ln(greatest(1+r*5e-3, 1e-9))) AS g FROM x GROUP BY 1, 2), e AS (SELECT *, sum(g) OVER (PARTITION BY strategy ORDER BY scan_date ROWS UNBOUNDED PRECEDING) AS e FROM d), f AS (SELECT *, greatest(max(e) OVER (PARTITION BY strategy ORDER BY scan_date ROWS UNBOUNDED PRECEDING), 0) AS p FROM e), h AS (SELECT strategy, exp(sum(g)) AS equity, exp(min(e - p))-1 AS dd FROM f GROUP BY 1), s AS (SELECT strategy, count(*) AS n, {rate} AS a, coalesce(avg({won}), 0) AS b, {lost} AS c, sum(CASE WHEN r > 0 THEN r ELSE 0 END) AS up, sum(CASE WHEN r < 0 THEN -r ELSE 0 END) AS down, avg(r) AS m, avg(n) AS bars FROM x GROUP BY 1)",
-            f"SELECT strategy, n, {r6('a', 'win_rate', 4)}, {r6('b', 'mean_win', 4)}, {r6('c', 'mean_loss', 4)}, {r6('a*b+(1-a)*c', 'expectancy', 4)}, {r6('up/nullif(down, 0)', 'profit_factor', 4)}, {r6('m', 'mean_r', 4)}, {r6('up-down', 'total_r', 4)}, {r6('bars', 'mean_bars', 4)}, {r6('equity', digits=4)}, {r6('dd', 'max_drawdown', 4)} FROM s JOIN h USING (strategy)",
+            f"x AS ({exits}), d AS (SELECT strategy, scan_date, sum(ln(greatest(1+r*5e-3, 1e-9))) AS g FROM x GROUP BY 1, 2), e AS (SELECT *, sum(g) OVER (PARTITION BY strategy ORDER BY scan_date ROWS UNBOUNDED PRECEDING) AS e FROM d), f AS (SELECT *, greatest(max(e) OVER (PARTITION BY strategy ORDER BY scan_date ROWS UNBOUNDED PRECEDING), 0) AS p FROM e), h AS (SELECT strategy, sum(g) AS log_equity, exp(min(e - p))-1 AS dd FROM f GROUP BY 1), s AS (SELECT strategy, count(*) AS n, {rate} AS a, coalesce(avg({won}), 0) AS b, {lost} AS c, sum(CASE WHEN r > 0 THEN r ELSE 0 END) AS up, sum(CASE WHEN r < 0 THEN -r ELSE 0 END) AS down, avg(r) AS m, avg(n) AS bars FROM x GROUP BY 1)",
+            f"SELECT strategy, n, {r6('a', 'win_rate', 4)}, {r6('b', 'mean_win', 4)}, {r6('c', 'mean_loss', 4)}, {r6('a*b+(1-a)*c', 'expectancy', 4)}, {r6('up/nullif(down, 0)', 'profit_factor', 4)}, {r6('m', 'mean_r', 4)}, {r6('up-down', 'total_r', 4)}, {r6('bars', 'mean_bars', 4)}, {r6('log_equity', digits=4)}, {r6('dd', 'max_drawdown', 4)}, floor(exp(log_equity)/pow(1e1, floor(log10(exp(log_equity)))-5)+5e-1)*pow(1e1, floor(log10(exp(log_equity)))-5) AS equity FROM s JOIN h USING (strategy)",
         ),
     }

@@ -19,6 +19,6 @@ def append_daily(stream: DataFrame, table: str, checkpoint: str) -> StreamingQue
     """Upsert what has landed into the table by date and symbol, then stop; run again for what lands later."""
 
     def add(batch: DataFrame, _: int) -> None:
-        store.upsert(batch.sparkSession, table, batch, ("bar_date", "symbol"))
+        store.Stored(batch.sparkSession, table, ("bar_date", "symbol"), "date_format(bar_date, 'yyyy-MM')").upsert(batch)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
