@@ -65,17 +65,50 @@ def tokenizer_of(ranks: dict[bytes, int], pattern: str):
 
     pairs = [last_pair(t, ranks) for t in sorted(ranks, key=ranks.__getitem__) if len(t) > 1]
     merges = [(in_characters(a), in_characters(b)) for a, b in filter(None, pairs)]
-    made = Tokenizer(models.BPE({in_characters(t): r for t, r in ranks.items()}, merges))
+    made = Tokenizer(models.BPE(written_vocabulary(ranks), merges))
     matches = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
     made.pre_tokenizer = pre_tokenizers.Sequence([matches, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return made
 
 
-class Codec(Encoder):
-    """Encoder and decoder of one file of ranks."""
+def written_vocabulary(ranks: dict[bytes, int]) -> dict[str, int]:
+    """Tokens as the tokenizers library writes them, with their ids."""
+    return {in_characters(t): r for t, r in ranks.items()}
 
-    def __init__(self, path: str, pattern: str):
-        ranks = read_ranks(path)
+
+class Decoder:
+    """The bytes of every token, one after another in the order of the ids."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        tokens = [b""] * (max(vocabulary.values()) + 1)
+        for token, rank in vocabulary.items():
+            tokens[rank] = in_bytes(token)
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def bytes(self, ids: np.ndarray) -> np.ndarray:
+        if len(ids) and (int(ids.max()) >= len(self.sizes) or not self.sizes[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        sizes = self.sizes[ids]
+        before = np.cumsum(sizes) - sizes
+        return self.data[np.repeat(self.starts[ids] - before, sizes) + np.arange(int(sizes.sum()))]
+
+    def offsets(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every token, counted from its text's start: the first byte, the character that holds it, and that of its last byte."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        began = np.cumsum((data & 0xC0) != 0x80)  # characters up to and with each byte
+        row = np.repeat(np.arange(len(counts)), counts)
+        first = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
+        earlier = np.concatenate([[0], began])[first]
+        return ends - sizes - first[row], began[ends - sizes] - 1 - earlier[row], began[ends - 1] - 1 - earlier[row]
+
+
+class ByteEncoder(Encoder):
+    """The encoder of one file of ranks."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.tokenizer = tokenizer_of(ranks, pattern)
         self.model = self.tokenizer.model
         self.alphabet = ALPHABET
@@ -84,12 +117,6 @@ class Codec(Encoder):
         self.scanner = WordScanner(SPACED, fold_case=False)
         self.variants = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
         self._forget()
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in self.tokenizer.get_vocab().items():
-            tokens[rank] = in_bytes(token)
-        self.sizes_of = np.array([len(t) for t in tokens], np.int64)
-        self.starts_of = np.cumsum(self.sizes_of) - self.sizes_of
-        self.bytes_of = np.frombuffer(b"".join(tokens), np.uint8)
 
     def ids(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For rows [first, last) at a time: their ids and how many each has."""
@@ -98,36 +125,26 @@ class Codec(Encoder):
             inside[np.cumsum(counts) - 1] = False
             yield first, last, ids[inside], counts - 1
 
-    def bytes(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids, one token after another."""
-        if len(ids) and (int(ids.max()) >= len(self.sizes_of) or not self.sizes_of[ids].all()):
-            raise ValueError("an id is not in the vocabulary")
-        sizes = self.sizes_of[ids]
-        before = np.cumsum(sizes) - sizes
-        return self.bytes_of[np.repeat(self.starts_of[ids] - before, sizes) + np.arange(int(sizes.sum()))]
 
-    def offsets(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every token, counted from its text's start: the first byte, the character that holds it, and that of its last byte."""
-        sizes = self.sizes_of[ids]
-        ends = np.cumsum(sizes)
-        began = np.cumsum((data & 0xC0) != 0x80)  # characters up to and with each byte
-        row = np.repeat(np.arange(len(counts)), counts)
-        first = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
-        earlier = np.concatenate([[0], began])[first]
-        return ends - sizes - first[row], began[ends - sizes] - 1 - earlier[row], began[ends - 1] - 1 - earlier[row]
+Vocabulary = tuple[str, str]
+_ENCODERS: dict[Vocabulary, ByteEncoder] = {}
+_DECODERS: dict[Vocabulary, Decoder] = {}
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+def encoder(vocabulary: Vocabulary) -> ByteEncoder:
+    """One for each worker process and vocabulary."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = ByteEncoder(read_ranks(vocabulary[0]), vocabulary[1])
+    return _ENCODERS[vocabulary]
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One for each worker process and vocabulary."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+def decoder(vocabulary: Vocabulary) -> Decoder:
+    if vocabulary not in _DECODERS:
+        _DECODERS[vocabulary] = Decoder(written_vocabulary(read_ranks(vocabulary[0])))
+    return _DECODERS[vocabulary]
 
 
-def default_vocabulary() -> tuple[str, str]:
+def default_vocabulary() -> Vocabulary:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -137,25 +154,30 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
-def encoded(docs: DataFrame, vocabulary: tuple[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+ENCODED = ("ids", "byte_at", "char_at", "last_char_at")
+
+
+def _encoded(batches: Batches, vocabulary: Vocabulary) -> Batches:
+    """Of batches of (id, text)."""
+    coder, table = encoder(vocabulary), decoder(vocabulary)
+    for batch in batches:
+        data, at = string_bytes(batch.column(1))
+        for first, last, ids, counts in coder.ids(batch.column(1)):
+            places = table.offsets(ids, counts, data[at[first] : at[last]])
+            lists = [_lists(x, counts, pa.int32()) for x in (ids, *places)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *lists], names=["doc_id", *ENCODED])
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ids, and of each token the first byte and the first and last character, all counted from 0 in the text.
 
     vocabulary: a file of ranks that every worker can read, and the pattern; by default the public one.
     """
     small_batches(docs.sparkSession)
-
-    def run(batches: Batches) -> Batches:
-        coder = codec(*(vocabulary or default_vocabulary()))
-        for batch in batches:
-            data, at = string_bytes(batch.column(1))
-            for first, last, ids, counts in coder.ids(batch.column(1)):
-                places = coder.offsets(ids, counts, data[at[first] : at[last]])
-                lists = [_lists(x, counts, pa.int32()) for x in (ids, *places)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *lists], names=["doc_id", "ids", "byte_at", "char_at", "last_char_at"])
-
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, ids array<int>, byte_at array<int>, char_at array<int>, last_char_at array<int>"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = f"doc_id {kind}, " + ", ".join(f"{k} array<int>" for k in ENCODED)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return own.mapInArrow(lambda batches: _encoded(batches, vocabulary or default_vocabulary()), schema)
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,47 +187,62 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts
 
 
-def decoded(rows: DataFrame, vocabulary: tuple[str, str] | None = None, *, keep: Sequence[str] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
-    """Per row the columns of keep, n_tokens, and from the ids alone their digest, the bytes, and the text. Bytes that are no UTF-8, which
-    ids of no text can give, become the replacement character."""
-    small_batches(rows.sparkSession)
+DECODED = "n_tokens long, ids_sha256 string, decoded_sha256 string, decoded string"
 
-    def run(batches: Batches) -> Batches:
-        coder = codec(*(vocabulary or default_vocabulary()))
-        for batch in batches:
-            ids, counts = _flat(batch.column(len(keep)))
-            data = coder.bytes(ids)
-            little, size = ids.astype("<u4"), np.concatenate([[0], np.cumsum(coder.sizes_of[ids])])
-            ends = np.cumsum(counts)
-            found = [(little[a:b].tobytes(), data[size[a] : size[b]].tobytes()) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[: len(keep)],
-                    pa.array(counts, pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x, _ in found], pa.string()),
-                    pa.array([hashlib.sha256(x).hexdigest() for _, x in found], pa.string()),
-                    pa.array([x.decode("utf-8", "replace") for _, x in found], pa.string()),
-                ],
-                names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", "decoded"],
-            )
 
+def _decoded(batches: Batches, vocabulary: Vocabulary) -> Batches:
+    """Of batches whose last column has ids: the columns before it, and what these decode to."""
+    table = decoder(vocabulary)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    for batch in batches:
+        ids, counts = _flat(batch.column(batch.num_columns - 1))
+        data, little = table.bytes(ids), ids.astype("<u4")
+        size, ends = np.concatenate([[0], np.cumsum(table.sizes[ids])]), np.cumsum(counts)
+        found = [(little[a:b].tobytes(), data[size[a] : size[b]].tobytes()) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+        columns = [counts, [digest(x) for x, _ in found], [digest(x) for _, x in found], [x.decode("utf-8", "replace") for _, x in found]]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string()]
+        names = [*batch.schema.names[:-1], *(x.split()[0] for x in DECODED.split(", "))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, k) for v, k in zip(columns, kinds, strict=True))], names=names)
+
+
+def decoded(rows: DataFrame, vocabulary: Vocabulary | None = None, *, keep: Sequence[str] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
+    """Per row the columns of keep, n_tokens, and from the ids alone their digest, that of the bytes, and the text. Bytes that are no UTF-8, which
+    ids of no text can give, become the replacement character."""
+    small_batches(rows.sparkSession)
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, ids_col).mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded string")
+    return rows.select(*keep, ids_col).mapInArrow(lambda batches: _decoded(batches, vocabulary or default_vocabulary()), f"{kept}, {DECODED}")
 
 
-def decoded_pieces(ids: Sequence[int], vocabulary: tuple[str, str] | None = None) -> list[str]:
+def decoded_pieces(ids: Sequence[int], vocabulary: Vocabulary | None = None) -> list[str]:
     """The text that each id adds when ids come one by one: a split character is held back until the id that ends it."""
-    coder = codec(*(vocabulary or default_vocabulary()))
+    table = decoder(vocabulary or default_vocabulary())
     held = codecs.getincrementaldecoder("utf-8")("replace")
-    pieces = [held.decode(coder.bytes(np.array([i])).tobytes()) for i in ids]
+    pieces = [held.decode(table.bytes(np.array([i])).tobytes()) for i in ids]
     if pieces:
         pieces[-1] += held.decode(b"", True)
     return pieces
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """Per document: ids and bytes after encoding and decoding, as digests, and n_split, the tokens that begin or end within a character."""
-    rows = encoded(docs)
-    inside = F.expr("size(filter(sequence(1, size(ids) - 1), i -> char_at[i] = last_char_at[i - 1]))")
-    split = F.when(F.size("ids") > 1, inside).otherwise(0).cast("long").alias("n_split")
-    return decoded(rows.select("doc_id", split, "ids"), keep=("doc_id", "n_split")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split")
+def _split(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The id, how many tokens begin within a character, and ids of encoded rows."""
+    (first, counts), (last, _) = (_flat(batch.column(1 + ENCODED.index(k))) for k in ("char_at", "last_char_at"))
+    inside = np.zeros(len(first), np.int64)
+    inside[1:] = first[1:] == last[:-1]
+    ends = np.cumsum(counts)
+    inside[(ends - counts)[counts > 0]] = 0
+    upto = np.concatenate([[0], np.cumsum(inside)])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(upto[ends] - upto[ends - counts]), batch.column(1)], names=["doc_id", "n_split", "ids"])
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """Per document: ids and bytes after encoding and decoding, as digests, and n_split, the tokens that begin within a character.
+    Both ways run in one pass of a task, batch by batch; the decoder sees the ids alone."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Batches) -> Batches:
+        own = vocabulary or default_vocabulary()
+        for batch in _decoded(map(_split, _encoded(batches, own)), own):
+            yield batch.select([0, 2, 3, 4, 1])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")

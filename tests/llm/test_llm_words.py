@@ -178,7 +178,7 @@ def test_codes_outside_the_vocabulary_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert [r.decoded for r in B.decoded(rows).collect()] == ["", ""]
     with pytest.raises(ValueError):
-        B.codec(*B.default_vocabulary()).bytes(B.np.array([60_000]))
+        B.decoder(B.default_vocabulary()).bytes(B.np.array([60_000]))
 
 
 def audit_brute(rows, labels):
