@@ -23,8 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.versions import Versions
 from .shared import Scratch
-from .versions import Versions
 
 FANOUT = 4
 SMALL_BYTES = 1 << 20

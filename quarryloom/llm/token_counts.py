@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.versions import Versions
 from .shared import Scratch
 from .text import row_chunks, string_bytes
 from .tokens import CHUNK_BYTES, encoder
-from .versions import Versions
 
 KEYS = ["source", "lang", "tokenizer"]
 COUNTS = ["n_docs", "n_tokens", "n_chars"]
@@ -96,32 +96,44 @@ class Rollup:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{self.versions.read(version)['totals']}")
 
-    def holds(self, batch: str) -> int | None:
-        """The version that brought a batch, or None. A scan of the numbered files; nothing but the answer reaches the driver."""
-        if not self.version():
+    def holds(self, batch: str, version: int | None = None) -> int | None:
+        """The version, up to this one (or the last), that brought a batch, or None. A scan of the numbered files; nothing but the answer reaches the driver."""
+        version = self.version() if version is None else version
+        if not version:
             return None
-        found = self.spark.read.schema("batch string, version long").json(f"{self.path}/versions/*.json").where(F.col("batch") == batch).first()
+        found = self.spark.read.schema("batch string, version long").json(f"{self.path}/versions/*.json").where((F.col("batch") == batch) & (F.col("version") <= version)).first()
         return found["version"] if found else None
 
     def commit(self, batch: str, changes: DataFrame) -> int:
-        """Add a batch of signed rows once; returns the version that brought it."""
-        done = self.holds(batch)
-        if done:
-            return done
-        signed = changes.select(*KEYS, F.col("sign").cast("long").alias("n_docs"), *((F.col("sign") * F.col(k)).alias(k) for k in COUNTS[1:]))
-        delta = f"{self.path}/deltas/{uuid.uuid4().hex}"
-        _totals(signed).write.parquet(delta)
+        """Add a batch of signed rows once; returns the version that brought it.
+
+        Whether the batch is held is asked of each version that its totals are added to, after that version is known: a writer that sends the same batch
+        meanwhile is either found there, or has made the version that this one tries to make."""
+        delta = None
         while True:
-            base, name = self.version(), f"totals/{uuid.uuid4().hex}"
+            base = self.version()
+            done = self.holds(batch, base)
+            if done:
+                break
+            if delta is None:
+                delta = self._delta(changes)
+            name = f"totals/{uuid.uuid4().hex}"
             both = self.totals(base).unionByName(self.spark.read.schema(SCHEMA).parquet(delta))
             _totals(both).coalesce(1).write.parquet(f"{self.path}/{name}")  # a row for each group
             if self.versions.commit(base, {"batch": batch, "totals": name}):
+                done = base + 1
                 break
-            done = self.holds(batch)
-            if done:
-                break
-        self.versions.fs.delete(self.versions.hadoop_path(delta), True)
-        return done or base + 1
+            self.versions.fs.delete(self.versions.hadoop_path(f"{self.path}/{name}"), True)
+        if delta is not None:
+            self.versions.fs.delete(self.versions.hadoop_path(delta), True)
+        return done
+
+    def _delta(self, changes: DataFrame) -> str:
+        """Write the batch's totals; their place."""
+        signed = changes.select(*KEYS, F.col("sign").cast("long").alias("n_docs"), *((F.col("sign") * F.col(k)).alias(k) for k in COUNTS[1:]))
+        where = f"{self.path}/deltas/{uuid.uuid4().hex}"
+        _totals(signed).write.parquet(where)
+        return where
 
 
 def maintained(docs: DataFrame) -> DataFrame:

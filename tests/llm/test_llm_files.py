@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarryloom.llm import html_text as H, packing as P, sharding as S, token_counts as C, token_files as F, tokens as K, versions as V, warc as W
+from quarryloom.llm import html_text as H, packing as P, sharding as S, token_counts as C, token_files as F, tokens as K, warc as W
 from quarryloom.llm.shared import Scratch
+from quarryloom.sources import versions as V
 
 random.seed(4)
 WORDS = ["the", "Über", "ñandú", "don't", "3.14", "x,", "end.", "中文", "foo-bar", "THE", "a"]
@@ -230,7 +231,7 @@ def test_appends_of_two_writers_and_new_columns(spark, tmp_path):
 def test_a_lost_writers_claim_is_taken_over(spark, tmp_path):
     versions = V.Versions(spark, f"file://{tmp_path}/v", patience=0.3)
     assert versions.commit(0, {"a": 1}) and not versions.commit(0, {"a": 2})
-    versions._create("2.claim", "")
+    versions._create("2.claim-0", "")
     assert versions.commit(1, {"a": 3}) and versions.read(2)["a"] == 3 and versions.numbers() == [1, 2]
 
 
@@ -284,6 +285,30 @@ def test_no_batch_of_two_writers_is_lost(spark, tmp_path):
     assert other.totals().agg({"n_docs": "sum"}).first()[0] == 24
 
 
+@pytest.mark.parametrize("held_up", ["_delta", "totals"])
+def test_a_batch_that_two_writers_send_counts_once(spark, tmp_path, monkeypatch, held_up):
+    rows = C.measured(spark.createDataFrame(DELTAS, "doc_id long, text string, source string, lang string"), "byte_bpe_50k")
+    slow, quick = (C.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    do, sent = getattr(slow, held_up), []
+
+    def late(*args):  # the other writer sends the batch while this one makes its delta, or has read its base
+        if not sent:
+            sent.append(quick.commit("day1", C.inserts(rows)))
+        return do(*args)
+
+    monkeypatch.setattr(slow, held_up, late)
+    assert slow.commit("day1", C.inserts(rows)) == 1 and sent == [1]
+    assert slow.version() == 1 and {tuple(r) for r in quick.totals().collect()} == counted(DELTAS, "byte_bpe_50k")
+
+
+def test_maintained_of_an_empty_table(spark):
+    assert C.maintained(spark.createDataFrame([], "doc_id long, text string, source string, lang string")).collect() == []
+
+
+def test_archives_of_an_empty_table(spark):
+    assert W.archived(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 def test_maintained_counts_every_document(spark):
     rows = [(*r, 5) for r in [*DELTAS, (None, "no id", "s", None), (7, "again", "s", "en"), (21, "x " * 50_000, "s", "en")]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, sign int")
