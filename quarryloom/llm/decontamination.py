@@ -14,7 +14,7 @@ The benchmark goes to the tasks in blocks of at most ``block_words`` words; with
 documents are searched once for each, and hits are united per document afterwards.
 
 Null or empty text: no words, no hits, an empty list of items. Repeated benchmark rows each count as items. Rows with null or
-repeated ids keep a row each. Columns of the documents other than the id and the text are ignored, whatever their names.
+repeated ids keep a row each. Empty tables give no rows. Columns of the documents other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import beside, small_batches
+from .shared import Scratch, beside, small_batches
 from .text import ALPHANUMERIC, Words, WordScanner
 
 WINDOW = 10
@@ -138,11 +138,15 @@ class Shard:
         """(test suffix, place among the words) of every occurrence of a whole window, PAIRS at a time (or those of one suffix)."""
         tests = self.tests
         found = np.flatnonzero((tests.width > 0) & (most >= tests.width))
+        yield from self.places(found, tests.width[found])
+
+    def places(self, found: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(test suffix, place among the words) of all places that share so many first words (DEPTH at most) with each, PAIRS at a time."""
         if not len(found):
             return
         low = np.zeros((len(found), DEPTH), ">u4")
-        inside = np.arange(DEPTH)[None, :] < tests.width[found][:, None]
-        low[inside] = tests.suffixes[found][inside]
+        inside = np.arange(DEPTH)[None, :] < width[:, None]
+        low[inside] = self.tests.suffixes[found][inside]
         high = np.where(inside, low, np.uint32(0xFFFFFFFF)).astype(">u4")
         first, last = np.searchsorted(self.keys, as_keys(low), "left"), np.searchsorted(self.keys, as_keys(high), "right")
         total = np.concatenate([[0], np.cumsum(last - first)])
@@ -251,11 +255,18 @@ def _longest_batches(batches: Iterator[pa.RecordBatch], tests: TestSuffixes) ->
     for ids, bounds, shard in _shards(batches, tests):
         most, place = shard.longest()
         found = np.flatnonzero((most > 0) & (most >= np.minimum(tests.ends - tests.starts, MIN_MATCH)))
-        at = shard.array[place[found]]
-        most[found] = shard.extended(found, at, most[found])
+        at = np.zeros(len(most), np.int64)
+        at[found] = shard.array[place[found]]
+        deep = found[most[found] == DEPTH]  # further words decide between the places that share these
+        for suffix, where in shard.places(deep, np.full(len(deep), DEPTH)):
+            common = shard.extended(suffix, where, np.full(len(suffix), DEPTH))
+            best = np.lexsort((where, -common, suffix))
+            best = best[np.concatenate([[True], suffix[best][1:] != suffix[best][:-1]])] if len(best) else best
+            longer = best[common[best] > most[suffix[best]]]  # the places of one suffix may come in several parts
+            most[suffix[longer]], at[suffix[longer]] = common[longer], where[longer]
         order = found[np.lexsort((found, -most[found], tests.item[found]))]
         order = order[np.concatenate([[True], tests.item[order][1:] != tests.item[order][:-1]])] if len(order) else order
-        at = shard.array[place[order]]
+        at = at[order]
         row = np.searchsorted(bounds, at, side="right") - 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(tests.item_ids[tests.item[order]] if len(order) else order), pa.array(most[order]), pa.array(order - tests.starts[order]), ids.take(pa.array(row)), pa.array(at - bounds[row])],
@@ -263,11 +274,16 @@ def _longest_batches(batches: Iterator[pa.RecordBatch], tests: TestSuffixes) ->
         )
 
 
+def _blocks(benchmark: DataFrame, text_col: str, block_words: int) -> int:
+    size = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
+    return max(1, -(-int(size) // (2 * block_words)))  # a word and its gap take two characters at least
+
+
 def test_blocks(benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[TestSuffixes]:
-    """The benchmark in blocks of bounded size, fetched one after another."""
+    """The benchmark in blocks of bounded size, fetched one after another. Who uses several writes what each finds before the next is fetched,
+    so that one block at a time is on the driver."""
     tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    size = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // (2 * block_words)))  # a word and its gap take two characters at least
+    blocks = _blocks(tests, "text", block_words)
     for k in range(blocks):
         rows = (tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)).collect()
         yield TestSuffixes([r[0] for r in rows], [r[1] for r in rows], window)
@@ -279,10 +295,10 @@ test_blocks.__test__ = False  # no test of pytest's
 def longest_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per benchmark item that shares MIN_MATCH words in a row (or all, if it has fewer) with any document: its longest verbatim match, where it is in the
     item (item_at), and in which document and where. Every test suffix is searched in every shard. Of equally long matches any may be named."""
-    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "longest-matches")
     own, out = docs.select(F.col(id_col).cast("long"), F.col(text_col)), None
     for block in test_blocks(benchmark, block_words=block_words):
-        part = own.mapInArrow(lambda batches, block=block: _longest_batches(batches, block), LONGEST)
+        part = scratch.table(own.mapInArrow(lambda batches, block=block: _longest_batches(batches, block), LONGEST), "block")
         out = part if out is None else out.unionByName(part)
     best = F.max_by(F.struct("longest_match", "item_at", "doc_id", "match_at"), "longest_match")
     return out.groupBy("item_id").agg(best.alias("b")).select("item_id", "b.*")
@@ -294,19 +310,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = list(test_blocks(benchmark, item_col=item_col, item_text_col=item_text_col, window=window, block_words=block_words))
-    if len(blocks) == 1:
-        return own.mapInArrow(lambda batches: _search_batches(batches, blocks[0]), SCHEMA)
+    n_blocks = _blocks(benchmark, item_text_col, block_words)
+    blocks = test_blocks(benchmark, item_col=item_col, item_text_col=item_text_col, window=window, block_words=block_words)
+    if n_blocks == 1:
+        only = next(blocks)
+        return own.mapInArrow(lambda batches: _search_batches(batches, only), SCHEMA)
+    scratch = Scratch(docs.sparkSession, "contamination")
     # Rows of the same id and text have the same hits in every block, so they can be united and told apart again by their number.
     keyed = own.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc"), "text")
     together = None
     for block in blocks:
         part = beside(keyed.select("doc.doc_id", "doc.key", "text"), lambda batches, block=block: _search_batches(batches, block), SCHEMA)
-        part = part.select("doc_id", "row.key", *(x.split()[0] for x in SCHEMA.split(", ")[1:]))
+        part = scratch.table(part.select("doc_id", "row.key", *(x.split()[0] for x in SCHEMA.split(", ")[1:])), "block")
         together = part if together is None else together.unionByName(part)
     spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to"))))
     best = F.max(F.struct("longest_match", (-F.col("match_at")).alias("at"), "match_item", "match_item_at"))
-    out = together.groupBy("doc_id", "key").agg(F.first("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("best"), (F.count("*") / len(blocks)).cast("int").alias("copies"))
+    out = together.groupBy("doc_id", "key").agg(F.first("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("best"), (F.count("*") / n_blocks).cast("int").alias("copies"))
     merge = """aggregate(spans, cast(array() as array<struct<hit_from:bigint,hit_to:bigint>>), (done, x) ->
         if(size(done) > 0 and x.hit_from <= element_at(done, -1).hit_to,
            concat(slice(done, 1, size(done) - 1), array(named_struct('hit_from', element_at(done, -1).hit_from, 'hit_to', greatest(element_at(done, -1).hit_to, x.hit_to)))),
@@ -322,7 +341,14 @@ def with_digest(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents without any window of a benchmark item, with their own columns. Each row is judged where it is read, whatever its id."""
-    for block in test_blocks(benchmark, block_words=block_words):
+    """The documents without any window of a benchmark item, with their own columns. Each row is judged where it is read, whatever its id.
+    With several blocks, what each leaves is written before the next is fetched."""
+    several = _blocks(benchmark, "text", block_words) > 1
+    scratch = Scratch(docs.sparkSession, "decontaminate") if several else None
+    for k, block in enumerate(test_blocks(benchmark, block_words=block_words)):
         docs = beside(docs, lambda batches, block=block: _search_batches(batches, block), SCHEMA).where(F.size("items") == 0).select("row.*")
+        if scratch:
+            docs = scratch.table(docs, f"block-{k}")
+            if k:
+                scratch.drop(f"block-{k - 1}")
     return docs

@@ -1,8 +1,10 @@
 """Quality, decontamination, near duplicates and toxicity against brute force on small texts."""
 
+import gc
 import hashlib
 import random
 import re
+import weakref
 
 import numpy as np
 import pytest
@@ -167,6 +169,35 @@ def test_every_test_suffix_is_searched(spark, monkeypatch, suffixes, pairs):
     assert len(found) == 2 and all(len(r["items"]) == 3 for r in found)
 
 
+@pytest.mark.parametrize("block_words", [1_000_000, 30])
+def test_longest_match_beyond_the_depth_of_the_array(spark, block_words):
+    w = [f"v{i}" for i in range(60)]
+    items = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[::-1]))], "item_id long, text string")
+    ends = {10: 35, 11: 40, 12: 33, 13: 52, 14: 36, 15: 50}  # all share more words than the array orders by
+    docs = spark.createDataFrame([(i, f"x{i} {' '.join(w[:n])} y{i}") for i, n in ends.items()] + [(20, None), (21, " ".join(w[59:20:-1]))], "doc_id long, text string")
+    got = {r.item_id: tuple(r)[1:] for r in D.longest_matches(docs, items, block_words=block_words).collect()}
+    assert got == {1: (52, 0, 13, 1), 2: (39, 0, 21, 0)}
+
+
+def test_blocks_are_written_one_by_one(spark, monkeypatch):
+    alive, most, make = [], [], D.TestSuffixes.__init__
+
+    def made(self, *args):
+        make(self, *args)
+        alive.append(weakref.ref(self))
+        gc.collect()
+        most.append(sum(r() is not None for r in alive))
+
+    monkeypatch.setattr(D.TestSuffixes, "__init__", made)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    one = {tuple(map(str, r)) for r in D.contamination(frame(spark), items).select("doc_id", "hit_from", "hit_to", "items").collect()}
+    alive.clear(), most.clear()
+    several = {tuple(map(str, r)) for r in D.contamination(frame(spark), items, block_words=60).select("doc_id", "hit_from", "hit_to", "items").collect()}
+    assert one == several and len(most) > 2 and max(most) <= 3
+    kept = sorted(r.doc_id for r in D.decontaminate(frame(spark), items).select("doc_id").collect())
+    assert kept == sorted(r.doc_id for r in D.decontaminate(frame(spark), items, block_words=60).select("doc_id").collect())
+
+
 def test_contamination_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not D.with_digest(D.contamination(frame(spark), none)).where("contaminated").count()
