@@ -209,7 +209,7 @@ def controlled_bootstrap(rows: DataFrame, flag: Column, confounders: tuple[str,
     daily, terms = _date_products(rows, flag, confounders, target, tails)
     dated = daily.orderBy("scan_date").collect()  # a row for each date
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((np.array([(r[0] - dt.date(1970, 1, 1)).days for r in dated]), np.array([r[1:] for r in dated], float).reshape(len(dated), -1)))
+    shared = spark.sparkContext.broadcast((np.array([(r[0] - dt.date(1970, 1, 1)).days for r in dated]), np.array([r[1:] for r in dated], float)))
 
     def run(batches: Batches) -> Batches:
         days, products = shared.value

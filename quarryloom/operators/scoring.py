@@ -117,8 +117,9 @@ def signal(total: Column, cfg: ScanConfig = DEFAULT) -> Column:
     return F.when(total >= cfg.strong_buy, "STRONG BUY - Alert").when(total >= cfg.buy, "BUY - Watch Closely").when(total >= cfg.watch, "HOLD - Monitor").otherwise("PASS")
 
 
-def scored(df: DataFrame, cfg: ScanConfig = DEFAULT, *, rank: str | None = "rs_rank", coverage: str | None = None, days_to_earnings: str | None = None, multiplier: float = 1.0, failed: str = "zero") -> DataFrame:
-    """Components, raw and total score, grade and signal. failed: what rows that fail a filter show, "zero", "null" or "keep"."""
+def scored(df: DataFrame, cfg: ScanConfig = DEFAULT, *, rank: str | None = "rs_rank", coverage: str | None = None, days_to_earnings: str | None = None, multiplier: Column | float = 1.0, failed: str = "zero") -> DataFrame:
+    """Components, raw and total score, grade and signal. multiplier: a regime's, one for all
+    rows or a column. failed: what rows that fail a filter show, "zero", "null" or "keep"."""
     parts = {"base": base_score(cfg), "trend": trend_score(cfg, coverage), "rs": rs_score(rank), "volume": volume_score(cfg)}
     df = filtered(df, cfg).withColumns({f"{k}_score": v for k, v in parts.items()} | {"rr_score": rr_score()})
     raw = sum((c(f"{k}_score") / cfg.sub_max[k] * cfg.weights[k] for k in parts), F.lit(0.0))

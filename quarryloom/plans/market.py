@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.rolling import rounded
-from ..operators import features as X, scoring as S
+from ..operators import features as X, regime as R, scoring as S, validation as V
 from ..sources.bars import BAR_COLUMNS, bars, coverage, earnings, index_bars
-from . import sql
+from ..sources.scratch import written
+from . import condition_sql, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,17 +60,17 @@ def scored(spark: SparkSession, sf_dir: str, failed: str = "keep") -> DataFrame:
     return S.scored(X.all_features(rows, main_index(spark, sf_dir)).join(ranks, ["symbol", "bar_date"]), failed=failed)
 
 
-#: Of a correcting market.
-CORRECTION = 0.85
-
-
 def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores with all that a live scan adds: analysts, the earnings penalty, a regime's multiplier; rows that fail a filter show zeros."""
-    rows = bars(spark, sf_dir)
+    """Scores with all that a live scan adds: analysts, the earnings penalty, the multiplier of the market's regime as of the date (1 before
+    there is one); rows that fail a filter show zeros. The features are written, as the market's breadth and the scores read them."""
+    rows, index = bars(spark, sf_dir), index_bars(spark, sf_dir)
+    plain = written(X.all_features(rows, index.where("symbol = 'MAIN'")), "features")
+    condition = written(R.market_condition(index, plain, rows).select("bar_date", "multiplier"), "condition")
     ranks = X.rs_rank(rows).select("symbol", "bar_date", "rs_rank")
-    featured_ = X.all_features(rows, main_index(spark, sf_dir)).join(ranks, ["symbol", "bar_date"])
-    whole = S.days_to_earnings(featured_, earnings(spark, sf_dir)).join(coverage(spark, sf_dir), "symbol", "left")
-    return S.scored(whole, coverage="n_analysts", days_to_earnings="days_to_earnings", multiplier=CORRECTION, failed="zero")
+    dated = V.carried(plain.join(ranks, ["symbol", "bar_date"]), "bar_date", condition, "multiplier")
+    whole = S.days_to_earnings(dated, earnings(spark, sf_dir)).join(coverage(spark, sf_dir), "symbol", "left")
+    multiplier = F.coalesce("multiplier", F.lit(1.0))
+    return S.scored(whole, coverage="n_analysts", days_to_earnings="days_to_earnings", multiplier=multiplier, failed="zero")
 
 
 def _show(df: DataFrame, columns: dict[str, int | None]) -> DataFrame:
@@ -123,15 +124,15 @@ def oracle_sql() -> dict[str, str]:
         "watchlist": sql.select(sql.SCORED, f"SELECT row_number() OVER (ORDER BY total_score DESC, symbol) AS rank, symbol, bar_date, {sql.r6('total_score')}, grade FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) = 1) WHERE passes_filters"),
         "live_scan": sql.select(sql.SCORED, f"SELECT symbol, bar_date, {sql.r6('close', 'price')}, {sql.r6('CASE WHEN passes_filters THEN raw_score END', 'raw_score')}, CASE WHEN passes_filters THEN grade END AS grade, passes_filters FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) = 1"),
         "adjusted_score": sql.select(
-            f"""{sql.SCORED},
+            f"""{sql.SCORED}, {condition_sql.CONDITION},
 ek AS (SELECT p_partkey % 25 AS k, min(p_brand) AS symbol FROM part GROUP BY 1),
 ed AS (SELECT symbol, min(CAST(o_orderdate AS DATE)) AS d FROM orders JOIN ek ON o_orderkey % 25 = k GROUP BY symbol, date_trunc('quarter', CAST(o_orderdate AS DATE))),
 cv AS (SELECT symbol, n FROM (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS nk FROM (SELECT DISTINCT p_brand AS symbol FROM part)) LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON nk = s_nationkey),
 a0 AS (SELECT s.*, CAST(ed.d - s.bar_date AS BIGINT) AS dte FROM scored s ASOF LEFT JOIN ed ON s.symbol = ed.symbol AND s.bar_date <= ed.d),
 a1 AS (SELECT a0.*, least(greatest(t1 + CASE WHEN n IS NULL THEN 0 WHEN n = 0 THEN 2 WHEN n <= 2 THEN 1 WHEN n <= 5 THEN 0 ELSE -1 END, 0), 14) AS tr FROM a0 LEFT JOIN cv USING (symbol)),
 a2 AS (SELECT *, greatest(base_score/20e0*10e0 + tr/14e0*15e0 + rs_score/30e0*25e0 + volume_score/30e0*50e0 - CASE WHEN dte BETWEEN 0 AND 5 THEN 10e0 WHEN dte BETWEEN 0 AND 10 THEN 5e0 ELSE 0e0 END, 0) AS ra FROM a1),
-a3 AS (SELECT symbol, bar_date, dte, passes_filters AS ok, CASE WHEN passes_filters THEN tr ELSE 0e0 END AS tr, CASE WHEN passes_filters THEN ra ELSE 0e0 END AS raw_score FROM a2)""",
-            f"SELECT symbol, bar_date, dte AS days_to_earnings, {sql.r6('tr', 'trend_score')}, {sql.r6('raw_score')}, {sql.r6(f'raw_score*{CORRECTION}e0', 'total_score')}, CASE WHEN ok THEN {sql.GRADE} ELSE '' END AS grade, CASE WHEN ok THEN {sql.steps(f'raw_score*{CORRECTION}e0', [('80', chr(39) + 'STRONG BUY - Alert' + chr(39)), ('70', chr(39) + 'BUY - Watch Closely' + chr(39)), ('60', chr(39) + 'HOLD - Monitor' + chr(39))], chr(39) + 'PASS' + chr(39))} ELSE '' END AS signal FROM a3",
+a3 AS (SELECT symbol, a2.bar_date, dte, passes_filters AS ok, coalesce(multiplier, 1) AS mult, CASE WHEN passes_filters THEN tr ELSE 0e0 END AS tr, CASE WHEN passes_filters THEN ra ELSE 0e0 END AS raw_score FROM a2 ASOF LEFT JOIN mc ON a2.bar_date >= mc.bar_date)""",
+            f"SELECT symbol, bar_date, dte AS days_to_earnings, {sql.r6('tr', 'trend_score')}, {sql.r6('raw_score')}, {sql.r6('raw_score*mult', 'total_score')}, CASE WHEN ok THEN {sql.GRADE} ELSE '' END AS grade, CASE WHEN ok THEN {sql.steps('raw_score*mult', [('80', chr(39) + 'STRONG BUY - Alert' + chr(39)), ('70', chr(39) + 'BUY - Watch Closely' + chr(39)), ('60', chr(39) + 'HOLD - Monitor' + chr(39))], chr(39) + 'PASS' + chr(39))} ELSE '' END AS signal FROM a3",
         ),
         "rs_calibration": sql.select(
             f"""{sql.SCORED},

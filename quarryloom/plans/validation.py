@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT
 from ..functions.rolling import rounded
-from ..operators import outcomes as O, regime as R, research as Q, validation as V, weights as W
-from ..sources.bars import bars, index_bars
+from ..operators import outcomes as O, research as Q, validation as V, weights as W
+from ..sources.bars import bars
 from ..sources.scratch import written
-from . import labels, market, sql
+from . import condition_sql, labels, market, sql
 from .market import Query
 
 c = F.col
@@ -30,10 +30,9 @@ def _evaluated(s: SparkSession, d: str) -> DataFrame:
     return V.evaluated(_signals(s, d), bars(s, d))
 
 
-def _trend(s: SparkSession, d: str) -> DataFrame:
-    """(bar_date, trend): the main index above most of its means, above some, or above few."""
-    label = F.when(c("hits") >= 5, "UP").when(c("hits") >= 3, "MIXED").otherwise("DOWN")
-    return R.index_trend(index_bars(s, d)).select("bar_date", label.alias("trend"))
+def _regime(s: SparkSession, d: str) -> DataFrame:
+    """(bar_date, regime) of the market condition."""
+    return written(labels.condition(s, d).select("bar_date", "regime"), "regime")
 
 
 def _exits(s: SparkSession, d: str) -> DataFrame:
@@ -49,11 +48,11 @@ def _activation(rows: DataFrame) -> DataFrame:
     return V.activation(rows, {"obv_trend": c("obv_trend").cast("boolean"), "is_trigger_bar": c("is_trigger_bar"), "weekly_aligned": c("weekly_aligned"), "deep_base": c("base_depth") > DEEP, **counts})
 
 
-def _by_trend(s: SparkSession, d: str) -> DataFrame:
-    own = bars(s, d)
-    trades = O.entries(labels.signals(s, d), own)
+def _by_regime(s: SparkSession, d: str) -> DataFrame:
+    own = written(bars(s, d), "bars")
+    trades = written(O.entries(labels.signals(s, d), own), "trades")
     rows = O.exit_fixed_r(trades, own, 2.0).join(trades.select("symbol", "scan_date", "entry_date"), ["symbol", "scan_date"])
-    return V.by_condition(V.carried(rows, "entry_date", _trend(s, d), "trend"), "trend")
+    return V.by_condition(V.carried(rows, "entry_date", _regime(s, d), "regime"), "regime")
 
 
 def _objectives(s: SparkSession, d: str) -> DataFrame:
@@ -77,8 +76,8 @@ def queries() -> dict[str, Query]:
         "filter_isolation": lambda s, d: V.filter_isolation(V.evaluated(market.scored(s, d).withColumnRenamed("bar_date", "scan_date"), bars(s, d))),
         "weight_objectives": _objectives,
         "best_weights": lambda s, d: W.best_weights(_objectives(s, d), "corr_20d").select("w_base", "w_trend", "w_rs", "w_volume", "value"),
-        "entry_conditions": _by_trend,
-        "regime_outcomes": lambda s, d: Q.regime_outcomes(O.historical_outcomes(labels.signals(s, d), bars(s, d)), _trend(s, d).withColumnRenamed("trend", "regime")),
+        "entry_conditions": _by_regime,
+        "regime_outcomes": lambda s, d: Q.regime_outcomes(O.historical_outcomes(labels.signals(s, d), bars(s, d)), _regime(s, d)),
         "exit_metrics": lambda s, d: V.equity_metrics(_exits(s, d)),
     }
 
@@ -102,11 +101,6 @@ def _ranks(x: str) -> str:
     return f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2e0"
 
 
-TREND = f"""ix AS (SELECT *, {", ".join(f"{sql.rn('avg', 'close', n)} AS m{n}" for n in (10, 20, 50, 150, 200))} FROM index_bars WHERE symbol = 'MAIN'),
-iy AS (SELECT bar_date, {" + ".join(f"CAST(coalesce(close > m{n}, false) AS INT)" for n in (10, 20, 50, 150, 200))} + CAST(coalesce(m200 > {sql.lag('m200', 19)}, false) AS INT) AS hits FROM ix),
-trend AS (SELECT bar_date, CASE WHEN hits >= 5 THEN 'UP' WHEN hits >= 3 THEN 'MIXED' ELSE 'DOWN' END AS trend FROM iy)"""
-
-
 def oracle_sql() -> dict[str, str]:
     base, r6 = _base(), sql.r6
     ratio = lambda a, b: f"({a})/nullif(CAST({b} AS DOUBLE), 0)"
@@ -163,12 +157,12 @@ xs AS (SELECT ws.*, floor((a*cb + b*ct + r*cr + v*cv)*100+5e-1) AS x, g20, g10,
         ),
         "best_weights": sql.select(weighed, f"SELECT CAST(a AS DOUBLE) AS w_base, CAST(b AS DOUBLE) AS w_trend, CAST(r AS DOUBLE) AS w_rs, CAST(v AS DOUBLE) AS w_volume, value FROM (SELECT a, b, r, any_value(v) AS v, {r6('corr(x, g20)', 'value', 4)} FROM xt GROUP BY 1, 2, 3) WHERE value IS NOT NULL ORDER BY value DESC, a, b, r LIMIT 1"),
         "entry_conditions": sql.select(
-            f"{labels.exit_ctes(*labels.fixed_exit('2'))}, {TREND}, e AS (SELECT coalesce(tq.n, 0) AS n, CASE WHEN tq.n IS NULL THEN 0 ELSE (fill-tq.entry)/risk END AS r, t.entry_date FROM tq JOIN trades t USING (symbol, scan_date))",
-            f"SELECT trend, count(*) AS n, {r6(rate, 'win_rate', 3)}, {r6('avg(r)', 'mean_r', 3)}, {r6('avg(e.n)', 'mean_bars', 3)} FROM e ASOF LEFT JOIN trend ON e.entry_date >= trend.bar_date GROUP BY 1",
+            f"{labels.exit_ctes(*labels.fixed_exit('2'))}, {condition_sql.CONDITION}, e AS (SELECT coalesce(tq.n, 0) AS n, CASE WHEN tq.n IS NULL THEN 0 ELSE (fill-tq.entry)/risk END AS r, t.entry_date FROM tq JOIN trades t USING (symbol, scan_date))",
+            f"SELECT regime, count(*) AS n, {r6(rate, 'win_rate', 3)}, {r6('avg(r)', 'mean_r', 3)}, {r6('avg(e.n)', 'mean_bars', 3)} FROM e ASOF LEFT JOIN mc ON e.entry_date >= mc.bar_date GROUP BY 1",
         ),
         "regime_outcomes": sql.select(
-            f"{labels.FWD}, {TREND}, o AS (SELECT symbol, scan_date, min(CASE WHEN high > breakout_level THEN n END) AS dbo, min(CASE WHEN close < stop_level THEN n END) AS dst, min(CASE WHEN high > target_level THEN n END) AS dta, max(CASE WHEN n <= 20 THEN high END)/min_by(open, n)-1 AS g20, min(CASE WHEN n <= 20 THEN low END)/min_by(open, n)-1 AS d20 FROM fw GROUP BY 1, 2)",
-            f"SELECT coalesce(trend, 'UNKNOWN') AS regime, {rates} FROM o LEFT JOIN trend ON o.scan_date = trend.bar_date GROUP BY 1",
+            f"{labels.FWD}, {condition_sql.CONDITION}, o AS (SELECT symbol, scan_date, min(CASE WHEN high > breakout_level THEN n END) AS dbo, min(CASE WHEN close < stop_level THEN n END) AS dst, min(CASE WHEN high > target_level THEN n END) AS dta, max(CASE WHEN n <= 20 THEN high END)/min_by(open, n)-1 AS g20, min(CASE WHEN n <= 20 THEN low END)/min_by(open, n)-1 AS d20 FROM fw GROUP BY 1, 2)",
+            f"SELECT coalesce(mc.regime, 'UNKNOWN') AS regime, {rates} FROM o LEFT JOIN mc ON o.scan_date = mc.bar_date GROUP BY 1",
         ),
         "exit_metrics": sql.select(
             f"x AS ({exits}), d AS (SELECT strategy, scan_date, sum(ln(greatest(1+r*5e-3, 1e-9))) AS g FROM x GROUP BY 1, 2), e AS (SELECT *, sum(g) OVER (PARTITION BY strategy ORDER BY scan_date ROWS UNBOUNDED PRECEDING) AS e FROM d), f AS (SELECT *, greatest(max(e) OVER (PARTITION BY strategy ORDER BY scan_date ROWS UNBOUNDED PRECEDING), 0) AS p FROM e), h AS (SELECT strategy, sum(g) AS log_equity, exp(min(e - p))-1 AS dd FROM f GROUP BY 1), s AS (SELECT strategy, count(*) AS n, {rate} AS a, coalesce(avg({won}), 0) AS b, {lost} AS c, sum(CASE WHEN r > 0 THEN r ELSE 0 END) AS up, sum(CASE WHEN r < 0 THEN -r ELSE 0 END) AS down, avg(r) AS m, avg(n) AS bars FROM x GROUP BY 1)",

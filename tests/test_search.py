@@ -180,7 +180,7 @@ def test_ablation_uses_statistics_of_the_rows_before_the_holdout(labelled):
     for f in found:
         if f["fold"] == -1 and last.day <= 28:
             own = B.PARTS if f["candidate"] == "full" else tuple(f"{p}_score" for p in f["candidate"].split("+"))
-            score = [r["raw_score"] if f["candidate"] == "full" else round(np.mean([(r[p] - fit[p][0]) / fit[p][1] for p in own]), 9) for r in holdout]
+            score = [round(r["raw_score"], 9) if f["candidate"] == "full" else round(np.mean([(r[p] - fit[p][0]) / fit[p][1] for p in own]), 9) for r in holdout]
             assert f["n"] == len(holdout) and f["spearman"] == pytest.approx(spearman(score, [r["realized"] for r in holdout]), abs=2e-6)
     folds = {f["fold"] for f in found}
     assert len(found) == 16 * len(folds) and len(folds) >= 2
