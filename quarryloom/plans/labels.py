@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.rolling import rounded
 from ..operators import outcomes as O, regime as R, reports as P
 from ..sources.bars import bars, index_bars, sectors
+from ..sources.scratch import shared
 from . import condition_sql, market, sql
 from .market import Query
 
 c = F.col
 
 
+@shared
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that pass the base test: a tight base of five days above its 50-day mean."""
     rows = market.featured(spark, sf_dir).where("consol_days >= 5 and close > sma_50")
@@ -106,6 +108,7 @@ def queries() -> dict[str, Query]:
     }
 
 
+@shared
 def _labelled(s: SparkSession, d: str) -> DataFrame:
     """Scored rows of tight bases with their forward returns."""
     rows = market.scored(s, d).where("consol_days >= 5 and close > sma_50").withColumn("scan_date", c("bar_date"))

@@ -90,8 +90,8 @@ SCORES: dict[str, dict[str, int | None]] = {
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
-        "bars": lambda s, d: bars(s, d).select(*BAR_COLUMNS),
-        "index_bars": lambda s, d: index_bars(s, d).select(*BAR_COLUMNS),
+        "bars": lambda s, d: bars.__wrapped__(s, d).select(*BAR_COLUMNS),  # read once, so not written first
+        "index_bars": lambda s, d: index_bars.__wrapped__(s, d).select(*BAR_COLUMNS),
         "rs_rank": lambda s, d: X.rs_rank(bars(s, d)).select("symbol", "bar_date", rounded("ret").alias("ret"), rounded("rs_rank").alias("rs_rank")),
         "hard_filters": lambda s, d: S.filtered(featured(s, d)).select("symbol", "bar_date", "passes_filters", F.array_join("filter_reasons", ",").alias("reasons")),
         "filter_failures": lambda s, d: S.filtered(featured(s, d)).select(F.explode("filter_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),

@@ -9,12 +9,14 @@ from ..functions.rolling import rounded
 from ..operators import outcomes as O, research as Q, trading as T
 from ..sources import store
 from ..sources.bars import bars, index_bars
+from ..sources.scratch import shared
 from . import labels, market, sql
 from .market import Query
 
 c = F.col
 
 
+@shared
 def scans(s: SparkSession, d: str) -> DataFrame:
     """Every scored row as a row of the scans table."""
     rows = market.scored(s, d)

@@ -44,7 +44,7 @@ def _positions(s: SparkSession, d: str) -> DataFrame:
     """The best signals of each day, from their entry to their exit."""
     best = Window.partitionBy("scan_date").orderBy(F.desc("raw_score"), "symbol")
     chosen = labels._labelled(s, d).withColumn("_slot", F.row_number().over(best)).where(c("_slot") <= SLOTS).select("symbol", "scan_date")
-    own = written(bars(s, d), "bars")
+    own = bars(s, d)
     trades = written(O.entries(chosen, own), "positions")
     paths = P.trade_paths(trades, own).select("symbol", "scan_date", "exit_date")
     return trades.join(paths, ["symbol", "scan_date"]).select("symbol", "entry_date", "exit_date", H.sized(trades).alias("weight"))
@@ -75,7 +75,7 @@ def queries() -> dict[str, Query]:
         "bucket_bootstrap": lambda s, d: B.bucket_bootstrap(_evaluated(s, d), V.bucket_from(c("adr_pct"), V.ISOLATED["adr"][1], open_above=True), "max_gain_20d"),
         "filter_sweep": _sweep,
         "stored_scans": _stored,
-        "held_correlation": lambda s, d: H.held_correlation(_positions(s, d), written(bars(s, d), "bars"), index_bars(s, d).where("symbol = 'MAIN'")),
+        "held_correlation": lambda s, d: H.held_correlation(_positions(s, d), bars(s, d), index_bars(s, d).where("symbol = 'MAIN'")),
     }
 
 

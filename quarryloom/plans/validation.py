@@ -10,7 +10,7 @@ from ..config import DEFAULT
 from ..functions.rolling import rounded
 from ..operators import outcomes as O, research as Q, validation as V, weights as W
 from ..sources.bars import bars
-from ..sources.scratch import written
+from ..sources.scratch import shared, written
 from . import condition_sql, labels, market, sql
 from .market import Query
 
@@ -22,6 +22,7 @@ FEATURES = ("raw_score", "base_score", "trend_score", "rs_score", "volume_score"
 DEEP = 0.25
 
 
+@shared
 def _signals(s: SparkSession, d: str) -> DataFrame:
     return market.scored(s, d).where("consol_days >= 5 and close > sma_50").withColumnRenamed("bar_date", "scan_date")
 
@@ -37,7 +38,7 @@ def _regime(s: SparkSession, d: str) -> DataFrame:
 
 def _exits(s: SparkSession, d: str) -> DataFrame:
     """All five strategies over the same trades, which are made once."""
-    own = written(bars(s, d), "bars")
+    own = bars(s, d)
     trades = written(O.entries(labels.signals(s, d), own), "trades")
     found = {"fixed_1_5r": O.exit_fixed_r(trades, own, 1.5), "fixed_2r": O.exit_fixed_r(trades, own, 2.0), "fixed_3r": O.exit_fixed_r(trades, own, 3.0), "atr_trail": O.exit_atr_trail(trades, own), "time_15": O.exit_time(trades, own)}
     return reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("strategy"), "scan_date", "r_multiple", "bars_held") for k, df in found.items()))
@@ -49,7 +50,7 @@ def _activation(rows: DataFrame) -> DataFrame:
 
 
 def _by_regime(s: SparkSession, d: str) -> DataFrame:
-    own = written(bars(s, d), "bars")
+    own = bars(s, d)
     trades = written(O.entries(labels.signals(s, d), own), "trades")
     rows = O.exit_fixed_r(trades, own, 2.0).join(trades.select("symbol", "scan_date", "entry_date"), ["symbol", "scan_date"])
     return V.by_condition(V.carried(rows, "entry_date", _regime(s, d), "regime"), "regime")

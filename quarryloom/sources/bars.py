@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .scratch import shared
+
 BAR_COLUMNS = ["symbol", "bar_date", "open", "high", "low", "close", "volume"]
 
 
@@ -34,6 +36,7 @@ def _facts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("symbol", "bar_date").agg(whole("l_discount").alias("sd"), whole("l_tax").alias("st"), F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n"))
 
 
+@shared
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar for each brand and ship date."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
@@ -41,6 +44,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(_facts(lines.join(part, lines["l_partkey"] == part["p_partkey"])))
 
 
+@shared
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three index series: MAIN over all lines, and two slices by return flag."""
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.to_date("l_shipdate").alias("bar_date"), "l_discount", "l_tax", "l_quantity")
