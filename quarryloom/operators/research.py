@@ -68,6 +68,25 @@ def filter_sweep(rows: DataFrame, names: tuple[str, ...], value: str = "fwd_20")
     return each.select(c("combo").cast("long").alias("combo"), listed.alias("filters"), "n", "n_returns", rounded(ratio(c("_s"), c("n_returns"))).alias("mean_return"), rounded(ratio(c("_won"), c("n_returns"))).alias("win_rate"))
 
 
+def business_day_before(day: Column) -> Column:
+    """The last day from Monday to Friday before it."""
+    return F.date_sub(day, F.when(F.dayofweek(day) == 1, 2).when(F.dayofweek(day) == 2, 3).otherwise(1))
+
+
+def training_examples(examples: DataFrame, scored: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """examples (symbol, breakout_date) with the columns of their symbol's last scored row up to the business day before the breakout, and its
+    date. Examples without such a row are left out. Which date that is comes from a symbol's dates alone, rows are then joined by it, so none is copied for
+    each date that is asked for."""
+    asked = examples.select("symbol", "breakout_date", business_day_before(c("breakout_date")).alias("score_day"))
+    marks = asked.select("symbol", c("score_day").alias("_at"), F.lit(None).cast("date").alias("bar_date")).distinct()
+    both = marks.unionByName(scored.select("symbol", c("bar_date").alias("_at"), "bar_date"))
+    # A day's own row comes before the question about it: nulls are last.
+    upto = Window.partitionBy("symbol").orderBy("_at", F.col("bar_date").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("_last", F.last("bar_date", ignorenulls=True).over(upto)).where("bar_date is null and _last is not null")
+    dated = asked.join(known.select("symbol", c("_at").alias("score_day"), c("_last").alias("bar_date")), ["symbol", "score_day"])
+    return dated.join(scored.select("symbol", "bar_date", *columns), ["symbol", "bar_date"]).select("symbol", "breakout_date", "score_day", "bar_date", *columns)
+
+
 def weight_suggestions(labelled: DataFrame, parts: tuple[str, ...] = ("base_score", "trend_score", "rs_score", "volume_score"), value: str = "fwd_20") -> DataFrame:
     """Each component's share of the absolute correlations with the return, in percent."""
     row = labelled.agg(*(F.coalesce(F.abs(F.corr(p, value)), F.lit(0.0)).alias(p) for p in parts))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.rolling import clipped, is_true, ratio
+from ..functions.rolling import by_symbol, clipped, is_true, ratio
 
 c = F.col
 
@@ -73,3 +73,35 @@ def advanced(trades: DataFrame, orders: DataFrame, today: DataFrame) -> DataFram
     done = c("status") == "closed"
     df = df.withColumns({"pnl_pct": F.when(done, ratio(gain, c("entry_price"))), "pnl_dollars": F.when(done, gain * c("shares"))})
     return df.drop("_in", "_in_price", "_in_date", "_out", "_out_price", "_out_date", "_close", "_mean")
+
+
+def lifecycle(trades: DataFrame, bars: DataFrame, mean_days: int = 10) -> DataFrame:
+    """trades (symbol, scan_date, stop_level, shares) carried through all days that follow: submitted, open, exiting, closed.
+
+    A buy fills at the next open; the stop order then stands from the day after, if the fill is above it, and fills at the stop or at a lower open
+    ('stop_order'). Closes are looked at from the day of the fill on: at or below the stop ('stop_cross') or else below the mean of the last closes
+    ('ma_cross') the trade is exiting, and sold at the next open. Within a day a stop order comes before the close.
+
+    Where a symbol's closes next fall below their mean is read off one window for each symbol, so a trade meets only the bars
+    on which it is held."""
+    own = by_symbol()
+    frame = own.rowsBetween(1 - mean_days, 0)
+    mean = F.when(F.count("close").over(frame) == mean_days, F.avg("close").over(frame))
+    ahead = own.rowsBetween(0, Window.unboundedFollowing)
+    numbered = bars.select("symbol", "bar_date", "open", "low", "close", F.row_number().over(own).alias("i"), mean.alias("_mean"))
+    numbered = numbered.withColumns({"_below": is_true(c("close") < c("_mean")), "_next_open": F.lead("open").over(own), "_next_date": F.lead("bar_date").over(own)})
+    numbered = numbered.withColumn("_until", F.coalesce(F.min(F.when(c("_below"), c("i"))).over(ahead), F.max("i").over(ahead)))
+    scanned = numbered.select("symbol", c("bar_date").alias("scan_date"), (c("i") + 1).alias("i"))
+    filled = numbered.select("symbol", "i", c("bar_date").alias("entry_date"), c("open").alias("entry_price"), "_until")
+    placed = trades.join(scanned, ["symbol", "scan_date"]).join(filled, ["symbol", "i"], "left").withColumnRenamed("i", "_entry")
+    days = placed.where("entry_price is not null").withColumn("i", F.explode(F.sequence("_entry", "_until")))
+    days = days.join(numbered.drop("_until", "bar_date").join(numbered.select("symbol", "i", "bar_date"), ["symbol", "i"]), ["symbol", "i"])
+    stop, level = c("i") > c("_entry"), c("stop_level")
+    ordered = is_true(stop & (c("entry_price") > level) & (c("low") <= level))
+    reason = F.when(ordered, "stop_order").when(is_true(c("close") <= level), "stop_cross").when(c("_below"), "ma_cross")
+    shown = F.struct("i", reason.alias("exit_reason"), F.when(ordered, F.least("open", level)).otherwise(c("_next_open")).alias("exit_price"), F.when(ordered, c("bar_date")).otherwise(c("_next_date")).alias("exit_date"))
+    ends = days.groupBy("symbol", "scan_date").agg(F.min(F.when(reason.isNotNull(), shown)).alias("x")).select("symbol", "scan_date", "x.exit_reason", "x.exit_price", "x.exit_date")
+    df = placed.drop("_until", "_entry").join(ends, ["symbol", "scan_date"], "left")
+    status = F.when(c("entry_price").isNull(), "submitted").when(c("exit_reason").isNull(), "open").when(c("exit_price").isNull(), "exiting").otherwise("closed")
+    gain = c("exit_price") - c("entry_price")
+    return df.withColumns({"status": status, "pnl_pct": ratio(gain, c("entry_price")), "pnl_dollars": gain * c("shares")})

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import DEFAULT
-from ..operators import outcomes as O, positions as H, reports as P, resampling as B, research as Q, scoring as S, validation as V, weights as W
-from ..sources.bars import bars, index_bars
+from ..operators import outcomes as O, positions as H, reports as P, resampling as B, research as Q, scoring as S, trading as T, validation as V, weights as W
+from ..sources.bars import bars, earnings, index_bars
 from ..functions.rolling import rounded
 from ..sources import store
 from ..sources.scratch import place, written
@@ -62,6 +62,19 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
     return shown.select("scan_date", "symbol", "passes_filters", "grade", "consol_days", *(rounded(k).alias(k) for k in ("score", "raw_score", "price", "consol_range_pct", "rs_comp_252")))
 
 
+def _lifecycle(s: SparkSession, d: str) -> DataFrame:
+    rows = labels.signals(s, d).where("stop_level is not null").select("symbol", "scan_date", "stop_level", F.greatest(F.floor(10_000 / c("price")), F.lit(1)).alias("shares"))
+    done = T.lifecycle(rows, bars(s, d))
+    return done.select("symbol", "scan_date", "shares", "status", "entry_date", "exit_reason", "exit_date", *(rounded(k).alias(k) for k in ("entry_price", "exit_price", "pnl_pct", "pnl_dollars")))
+
+
+def _examples(s: SparkSession, d: str) -> DataFrame:
+    """Earnings dates stand for breakouts that were labelled by hand."""
+    examples = earnings(s, d).select("symbol", c("earnings_date").alias("breakout_date"))
+    found = Q.training_examples(examples, market.scored(s, d), ("raw_score", "passes_filters", "grade"))
+    return found.withColumn("raw_score", rounded("raw_score"))
+
+
 def queries() -> dict[str, Query]:
     current = tuple(DEFAULT.weights[k] for k in W.COMPONENTS)
     return {
@@ -74,6 +87,8 @@ def queries() -> dict[str, Query]:
         "controlled_bootstrap": lambda s, d: B.controlled_bootstrap(_all_evaluated(s, d), c("stage2"), CONFOUNDERS),
         "bucket_bootstrap": lambda s, d: B.bucket_bootstrap(_evaluated(s, d), V.bucket_from(c("adr_pct"), V.ISOLATED["adr"][1], open_above=True), "max_gain_20d"),
         "filter_sweep": _sweep,
+        "paper_lifecycle": _lifecycle,
+        "training_examples": _examples,
         "stored_scans": _stored,
         "held_correlation": lambda s, d: H.held_correlation(_positions(s, d), bars(s, d), index_bars(s, d).where("symbol = 'MAIN'")),
     }
@@ -195,6 +210,22 @@ tm AS (SELECT *, avg(y - yt) OVER () AS m FROM tt)""",
   y AS train_value, yt AS test_value, {r6('y - yt', 'gap', 4)}, {r6('m', 'mean_gap', 4)}, CASE WHEN m > 5e-2 THEN 'overfitted' WHEN m > 2e-2 THEN 'mild' ELSE 'ok' END AS verdict FROM tm JOIN folds USING (fold)""",
         ),
         "stored_scans": sql.select(sql.SCORED, f"SELECT bar_date AS scan_date, symbol, passes_filters, CASE WHEN passes_filters THEN grade END AS grade, consol_days, {r6('CASE WHEN passes_filters THEN total_score END', 'score')}, {r6('CASE WHEN passes_filters THEN raw_score END', 'raw_score')}, {r6('close', 'price')}, {r6('consol_range_60', 'consol_range_pct')}, {r6('rs_comp_252')} FROM scored"),
+        "training_examples": sql.select(
+            f"""{sql.SCORED}, ek AS (SELECT p_partkey % 25 AS k, min(p_brand) AS symbol FROM part GROUP BY 1),
+ed AS (SELECT symbol, min(CAST(o_orderdate AS DATE)) AS d FROM orders JOIN ek ON o_orderkey % 25 = k GROUP BY symbol, date_trunc('quarter', CAST(o_orderdate AS DATE))),
+ex AS (SELECT symbol, d AS breakout_date, CAST(d - CAST(CASE dayofweek(d) WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END AS INT) AS DATE) AS score_day FROM ed)""",
+            f"SELECT ex.symbol, breakout_date, score_day, bar_date, {r6('raw_score')}, passes_filters, grade FROM ex ASOF JOIN scored ON ex.symbol = scored.symbol AND ex.score_day >= scored.bar_date",
+        ),
+        "paper_lifecycle": sql.select(
+            f"""{labels.SIGNALS}, lb AS (SELECT *, row_number() OVER {sql.w()} AS k, {sql.rn('avg', 'close', 10)} AS m, lead(open) OVER {sql.w()} AS no, lead(bar_date) OVER {sql.w()} AS nd FROM bars),
+lt AS (SELECT s.symbol, s.scan_date, s.stop_level AS lv, CAST(greatest(floor(10000/s.price), 1) AS BIGINT) AS shares, a.k + 1 AS ek, a.nd AS ed, a.no AS ep FROM signals s JOIN lb a ON a.symbol = s.symbol AND a.bar_date = s.scan_date WHERE s.stop_level IS NOT NULL),
+lx AS (SELECT t.symbol, t.scan_date, b.k, CASE WHEN b.k > ek AND ep > lv AND b.low <= lv THEN 'stop_order' WHEN b.close <= lv THEN 'stop_cross' ELSE 'ma_cross' END AS reason,
+  CASE WHEN b.k > ek AND ep > lv AND b.low <= lv THEN least(b.open, lv) ELSE b.no END AS px, CASE WHEN b.k > ek AND ep > lv AND b.low <= lv THEN b.bar_date ELSE b.nd END AS xd
+  FROM lt t JOIN lb b ON b.symbol = t.symbol AND b.k >= ek WHERE (b.k > ek AND ep > lv AND b.low <= lv) OR b.close <= lv OR b.close < b.m
+  QUALIFY row_number() OVER (PARTITION BY t.symbol, t.scan_date ORDER BY b.k) = 1)""",
+            f"""SELECT t.symbol, t.scan_date, shares, CASE WHEN ep IS NULL THEN 'submitted' WHEN reason IS NULL THEN 'open' WHEN px IS NULL THEN 'exiting' ELSE 'closed' END AS status, ed AS entry_date, reason AS exit_reason, xd AS exit_date,
+  {r6('ep', 'entry_price')}, {r6('px', 'exit_price')}, {r6('(px-ep)/ep', 'pnl_pct')}, {r6('(px-ep)*shares', 'pnl_dollars')} FROM lt t LEFT JOIN lx ON lx.symbol = t.symbol AND lx.scan_date = t.scan_date""",
+        ),
         "held_correlation": _held_sql(),
         "component_ablation": _ablation_sql(),
         "paired_bootstrap": _paired_sql(),
