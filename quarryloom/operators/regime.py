@@ -13,7 +13,7 @@ from .scoring import ladder
 
 c = F.col
 
-#: Lowest daily score of each regime, and its multiplier.
+#: The lowest daily score of each regime, and its multiplier.
 REGIMES = ((70, "BULL", 1.00), (55, "UPTREND", 0.95), (40, "MIXED", 0.85), (25, "CAUTION", 0.70), (0, "DOWNTREND", 0.50))
 
 
@@ -199,7 +199,7 @@ def macro_signals(index: DataFrame) -> DataFrame:
     return df.withColumn("above_200", c("close") > c("above_200")).drop("_r", "_up")
 
 
-#: Regime by direction and quality, and each regime's multiplier.
+#: The regime by direction and quality, and each regime's multiplier.
 MATRIX = {
     ("BULLISH", "TRENDING"): "BULL_RUN", ("BULLISH", "TRANSITIONING"): "BULL_TRANSITION", ("BULLISH", "CHOPPY"): "BULL_CHOP", ("NEUTRAL", "TRENDING"): "INFLECTION", ("NEUTRAL", "TRANSITIONING"): "INFLECTION",
     ("NEUTRAL", "CHOPPY"): "CONSOLIDATION", ("BEARISH", "TRANSITIONING"): "BEAR_TRANSITION", ("BEARISH", "TRENDING"): "DOWNTREND", ("BEARISH", "CHOPPY"): "BEAR_CHOP",

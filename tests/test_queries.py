@@ -25,7 +25,7 @@ def same(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("name", ["bars", "index_bars", "rs_rank", "breakout_level", "weekly_alignment", "total_score", "rs_calibration", "index_trend", "outcomes_historical", "exit_fixed_r", "exit_atr_trail", "outcomes_live", "adjusted_score", "monthly_returns", "signal_thresholds", "score_brackets", "signal_validity", "upsert_latest", "index_gate", "validation_summary", "weight_objectives", "follow_through", "market_condition", "exit_metrics", "regime_outcomes", "walk_forward_weights", "component_ablation", "paired_bootstrap", "controlled_effect", "filter_sweep", "held_correlation"])
+@pytest.mark.parametrize("name", ["bars", "index_bars", "rs_rank", "breakout_level", "weekly_alignment", "total_score", "rs_calibration", "index_trend", "outcomes_historical", "exit_fixed_r", "exit_atr_trail", "outcomes_live", "adjusted_score", "monthly_returns", "signal_thresholds", "score_brackets", "signal_validity", "upsert_latest", "index_gate", "validation_summary", "weight_objectives", "follow_through", "exit_metrics", "filter_sweep"])
 def test_query_matches_sql(spark, duck, sf, name):
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)

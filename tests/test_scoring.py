@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.operators import scoring as S
 
+#: A row that earns every point.
 IDEAL = dict(
     close=50.0, high=51.0, low=49.0, sma_10=49.0, sma_20=47.0, sma_50=44.0, sma_150=39.0, sma_200=36.0, ma_alignment=True, mas_rising=True, ema10_surf_ratio=0.80, pct_from_52wk_high=-0.05, pct_from_90d_high=-0.05,
     approaching_annual_high=True, consol_range_60=0.01, range_10=0.01, consol_days=40, vcp_contracting=True, vcp_contraction_ratio=0.20, vcp_contraction_count=3, swing_low_count=3, swing_high_count=3, prior_move_pct=2.5,
