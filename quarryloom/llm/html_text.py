@@ -10,7 +10,7 @@ Scripts, styles and comments, and templates and SVG graphics that are closed, ne
 sentence; what noscript, iframe, object, canvas, audio or video hold is a block of its own. Character references are decoded, white space inside a block
 (a <br> too) becomes one space, blocks are trimmed and joined by one line break. Null and empty pages, and pages
 without a main block, give an empty text. Unclosed and stray tags, and text without tags, are read as far as they go.
-Repeated pages give repeated rows. Columns other than the three are ignored.
+Repeated pages give repeated rows. Empty tables give no rows. Columns other than the three are ignored.
 """
 
 from __future__ import annotations

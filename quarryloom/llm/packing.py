@@ -8,7 +8,7 @@ gain. It goes on with the next bin while the free room elsewhere could take it a
 opened again and their pieces regrouped once, so a group's last bins do not add up over many groups.
 
 Null and empty texts are one piece, the end id. Equal lengths are taken in the order of ids and pieces, so the
-result does not depend on the order of rows. Columns other than the id and the text are ignored.
+result does not depend on the order of rows. Empty tables give no rows. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ posterior probability of a document's pattern replaces an all-must-pass filter:
 documents weigh little, and many good votes can outweigh them.
 
 Null, empty and blank texts have no words: every rule abstains but the one on length, and the base test
-rejects them. Rows are judged one by one, so ties, null ids and repeated rows do not matter. Extra columns are ignored.
+rejects them. Rows are judged one by one, so ties, null ids and repeated rows do not matter. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ each frame. A file holds FILE_FRAMES frames at most, each of about a megabyte (a
 frame), so files stay small however large a partition is.
 
 Null and empty texts have the end id alone. Duplicate ids keep every row, in the order of their texts; null ids come first.
+Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ their text's id, whatever the size of the corpus.
 
 Null, empty and blank texts have no clauses and get the score of a text without evidence, below 0.5. A score of exactly 0.5
 is predicted toxic. Repeated rows get equal scores; null ids are scored like others. Without labels, or with labels of one kind only, the seed words alone are the
-grammar. Columns other than those named are ignored.
+grammar. Empty tables give no rows. Columns other than those named are ignored.
 """
 
 from __future__ import annotations

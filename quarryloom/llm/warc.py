@@ -7,7 +7,8 @@ that its text writer puts after each value is itself an empty skippable frame, s
 
 Of records with equal payloads of MIN_REVISIT bytes or more, the one with the smallest id is the response and the
 others revisit it, with no payload of their own. Null html is an empty payload; null urls are written as an empty
-target. Very long pages are single records. Rows that share an id keep a record each. Columns other than the three are ignored.
+target. Very long pages are single records. Rows that share an id keep a record each. Empty tables
+give no rows. Columns other than the three are ignored.
 """
 
 from __future__ import annotations
