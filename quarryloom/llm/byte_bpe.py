@@ -109,14 +109,7 @@ class ByteEncoder(Encoder):
     """The encoder of one file of ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.tokenizer = tokenizer_of(ranks, pattern)
-        self.model = self.tokenizer.model
-        self.alphabet = ALPHABET
-        self.break_ids = self._whole(["\n"])[0]
-        self.marks = {m: self._whole([m])[0] for m in (".", ",")}
-        self.scanner = WordScanner(SPACED, fold_case=False)
-        self.variants = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-        self._forget()
+        self._prepare(tokenizer_of(ranks, pattern))
 
     def ids(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For rows [first, last) at a time: their ids and how many each has."""

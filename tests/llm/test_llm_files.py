@@ -39,6 +39,53 @@ def test_encoder_is_exact(plain, monkeypatch):
     assert got == [plain(t) for t in TEXTS]
 
 
+def test_a_word_is_learnt_once_whatever_mark_or_break_is_by_it(plain):
+    encoder = K.Encoder(K.default_path())
+    words = ["alpha", "été", "x3", "foo-bar"]
+    text = "\n".join(" ".join([w, w, w + ",", w + ".", w]) for w in words)
+    (_, _, ids, _), = encoder.encode(pa.array([text]))
+    assert ids.tolist() == plain(text)
+    assert len(encoder.known) == 2 * len(words)  # with a space before it, and without
+
+
+def test_new_words_of_letters_share_calls_of_the_library(plain, monkeypatch):
+    encoder = K.Encoder(K.default_path())
+    words = [a + b + c + "é" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd"]
+    calls, held = [], encoder.merges
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return held.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(encoder, "merges", Counted())
+    text = " ".join(words)
+    (_, _, ids, _), = encoder.encode(pa.array([text]))
+    assert ids.tolist() == plain(text) and len(calls) == -(-len(words) // K.AT_ONCE)
+
+
+def test_encoder_is_exact_on_marks_after_every_kind_of_character(plain, monkeypatch):
+    rng = random.Random(5)
+    ends = ["a", "Z", "7", "é", "×", "÷", "ÿ", "ª", "ſ", "ɏ", "ɐ", "é", "٣", "²", "中", "…", ".", ",", "'s", "-", " ", "\u0085", " ", "　", "\x1c", "<|endoftext|>", "Ġ", "Ċ", "đ", "ȿ", "😀"]
+    texts = []
+    for _ in range(300):
+        words = ["".join(rng.choices(ends, k=rng.randint(1, 4))) + rng.choice(["", ".", ",", ".,", ",,"]) for _ in range(rng.randint(1, 12))]
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n"]) for w in words).rstrip(" \n"))
+    monkeypatch.setattr(K, "AT_ONCE", 3)
+    encoder = K.Encoder(K.default_path())
+    for _ in range(2):  # words that are new, and words that are remembered
+        got = []
+        for _, _, ids, counts in encoder.encode(pa.array(texts)):
+            got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [plain(t) for t in texts]
+    monkeypatch.setattr(K, "POOL", 10)  # what is remembered is dropped again and again
+    monkeypatch.setattr(K, "CHUNK_BYTES", 200)
+    got = []
+    for _, _, ids, counts in encoder.encode(pa.array(texts)):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [plain(t) for t in texts]
+
+
 def test_frames_round_trip():
     rng = np.random.default_rng(0)
     ids = np.concatenate([rng.integers(0, 2**32, 5000, dtype=np.uint32), np.zeros(3000, np.uint32), rng.integers(0, 2, 3001, dtype=np.uint32), rng.geometric(0.01, 4000).astype(np.uint32)])
