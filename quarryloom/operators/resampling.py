@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.ranks import ranks_of_values
 from ..functions.rolling import ratio, rounded
 from ..sources.scratch import written
 from .research import holdout
-from .validation import percentiles, ranks_of_values
+from .validation import percentiles
 from .weights import fold_table, in_folds
 
 c = F.col

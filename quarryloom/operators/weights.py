@@ -10,9 +10,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.ranks import ranks_of_values
 from ..functions.rolling import ratio, rounded
 from ..sources.scratch import written
-from .validation import ranks_of_values
 
 c = F.col
 
