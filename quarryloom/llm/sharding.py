@@ -29,6 +29,8 @@ from .shared import Scratch
 FANOUT = 4
 SMALL_BYTES = 1 << 20
 TARGET_BYTES = 64 << 20
+#: Of a shard's row groups, as a writer holds a whole one in memory and a reader its columns.
+ROW_GROUP_BYTES = 8 << 20
 #: How many of the last manifests keep their shards through a vacuum.
 KEPT = 1
 
@@ -76,7 +78,7 @@ class ShardSet:
     def _write(self, rows: DataFrame) -> list[dict]:
         """One immutable shard for each file that Spark writes."""
         name = f"shards/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
+        rows.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{self.path}/{name}")
         files = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
         held = files.groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows")).collect()  # a row for each file
         return [{"path": f"{name}/{r['name']}", "bytes": r["bytes"], "rows": r["rows"], "sealed": False} for r in held]

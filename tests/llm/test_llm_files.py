@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quarryloom.llm import html_text as H, packing as P, sharding as S, token_counts as C, token_files as F, tokens as K, warc as W
@@ -250,6 +251,23 @@ def test_compaction_ends_when_the_writer_makes_more_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
 
 
+def test_row_groups_of_shards_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "ROW_GROUP_BYTES", 1 << 20, raising=False)
+    shards = S.ShardSet(spark, f"file://{tmp_path}/s")
+    rows = spark.range(6000).selectExpr("id as doc_id", "concat_ws('', transform(sequence(1, 16), k -> sha2(concat(id, ':', k), 256))) as text")
+    for k in range(4):
+        shards.append(rows.where(f"doc_id % 4 = {k}").coalesce(1))
+    appended = shards.manifest()["shards"]
+    shards.compact()
+    merged = shards.manifest()["shards"]
+    assert len(appended) == 4 and len(merged) < 4
+    for s in appended + merged:
+        held = pq.read_metadata(f"{tmp_path}/s/{s['path']}")
+        groups = [held.row_group(i) for i in range(held.num_row_groups)]
+        assert all(sum(g.column(i).total_compressed_size for i in range(g.num_columns)) < 1.3 * (1 << 20) for g in groups)
+    assert shards.read().exceptAll(rows).count() == 0 and shards.read().count() == 6000
+
+
 def test_sharded_edges(spark):
     kind = "doc_id long, text string, shard string, name int, bytes long, rows long, path string"
     assert S.sharded(spark.createDataFrame([], kind)).count() == 0
