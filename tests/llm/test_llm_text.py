@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from quarryloom.llm import decontamination as D, near_duplicates as N, quality as Q, toxicity as T
+from quarryloom.llm.shared import Scratch
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 random.seed(3)
@@ -76,6 +77,40 @@ def test_near_duplicates_match_all_pairs(spark, monkeypatch, small):
     assert got == components(ROWS)
 
 
+def test_near_duplicates_write_in_small_plans(spark, monkeypatch):
+    """The driver holds every query's plan, again after each of its stages: what several parts of a plan need is written first."""
+    monkeypatch.setattr(N, "SMALL", 4)
+    monkeypatch.setattr(N, "LARGE", 4)
+    seen, write = [], Scratch.table
+
+    def table(self, df, name):
+        seen.append((len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()), name))
+        return write(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    N.near_duplicates(frame(spark))
+    assert len([name for _, name in seen if name == "stars"]) > 1
+    assert max(seen)[0] <= 50
+
+
+def test_connected_finds_the_smallest_of_each_component(spark):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(150, 260, 3)] + [(300, 300)] + [tuple(rng.sample(range(400, 500), 2)) for _ in range(60)]
+    rng.shuffle(edges)
+    root = {i: i for e in edges for i in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    found = {r.node: r.component for r in N.connected(spark, Scratch(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {i: found.get(i, i) for i in root} == {i: find(i) for i in root}
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert N.near_duplicates(frame(spark, [])).count() == 0
     assert N.keep_one(frame(spark)).columns == frame(spark).columns
