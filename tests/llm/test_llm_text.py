@@ -77,7 +77,8 @@ def test_near_duplicates_match_all_pairs(spark, monkeypatch, small):
     assert got == components(ROWS)
 
 
-def test_near_duplicates_write_in_small_plans(spark, monkeypatch):
+@pytest.mark.parametrize("run", [N.near_duplicates, N.keep_one])
+def test_near_duplicates_write_in_small_plans(spark, monkeypatch, run):
     """The driver holds every query's plan, again after each of its stages: what several parts of a plan need is written first."""
     monkeypatch.setattr(N, "SMALL", 4)
     monkeypatch.setattr(N, "LARGE", 4)
@@ -88,7 +89,7 @@ def test_near_duplicates_write_in_small_plans(spark, monkeypatch):
         return write(self, df, name)
 
     monkeypatch.setattr(Scratch, "table", table)
-    N.near_duplicates(frame(spark))
+    run(frame(spark))
     assert len([name for _, name in seen if name == "stars"]) > 1
     assert max(seen)[0] <= 50
 
